@@ -59,7 +59,7 @@ def url_list_scan(spark, sf):
 
 
 def page_snapshot_lookup(spark, sf):
-    found = page_source.lookup(_urls(spark, sf), _pages(spark, sf).withColumn("n_chars", F.length("html")))
+    found = page_source.lookup(_urls(spark, sf), _pages(spark, sf).withColumn("n_chars", F.length("html").cast("bigint")))
     return found.select("line_no", "url", "page_id", "n_chars")
 
 

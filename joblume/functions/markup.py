@@ -8,6 +8,7 @@ page.  Everything after it is native.
 from __future__ import annotations
 
 import sys
+from collections import Counter
 from html.parser import HTMLParser
 
 import pyarrow as pa
@@ -55,13 +56,16 @@ IMPLIED_END = {
     "th": {"td", "th", "tr", "tbody", "tfoot"}, "thead": {"tbody", "tfoot"}, "tbody": {"tbody", "tfoot"},
     "head": {"body"},
 }
+ENDS = {tag: {open_tag for open_tag, closers in IMPLIED_END.items() if tag in closers}
+        for closers in IMPLIED_END.values() for tag in closers}
 # ... but never across one of these
 SCOPE = {"ul", "ol", "menu", "dl", "table", "select", "html", "body", "div", "article", "section", "main"}
 
 # Markdown of the elements that are not just unwrapped
 INLINE_MARKS = {"b": "**", "strong": "**", "i": "*", "em": "*", "del": "~~", "s": "~~",
                 "code": "`", "kbd": "`", "samp": "`"}
-ESCAPED = {"*": r"\*", "_": r"\_"}
+ESCAPED = str.maketrans({"*": r"\*", "_": r"\_"})
+LITERAL = ("pre", "code", "kbd", "samp")
 
 PAGE_TYPE = ("struct<cards: array<struct<pos: int, href: string, has_time: boolean, "
              "datetime_attr: string, time_text: string>>, anchors: array<string>, "
@@ -97,6 +101,7 @@ class PageReader(HTMLParser):
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.open = []          # (tag, list of what to do when it ends)
+        self.opened = Counter()  # how many of each tag are open
         self.hidden = 0         # depth inside removed elements
         self.muted = 0          # depth inside elements whose text is no page text
         self.pieces = []        # clean view: ("open"|"close"|"text", value)
@@ -130,17 +135,18 @@ class PageReader(HTMLParser):
             self._select(tag, named, classes, at_end)
             self.pieces.append(("open", tag))
         self.open.append((tag, at_end))
+        self.opened[tag] += 1
         if tag in VOID:
             self._end_top()
 
     def handle_startendtag(self, tag, attrs):
         # "<div/>" opens a div in HTML; only foreign and void elements end at once
         self.handle_starttag(tag, attrs)
-        if tag not in VOID and any(name == "svg" for name, _ in self.open):
+        if tag not in VOID and self.opened["svg"]:
             self._end_top()
 
     def handle_endtag(self, tag):
-        if any(name == tag for name, _ in self.open):
+        if self.opened[tag]:
             while self._end_top() != tag:
                 pass
 
@@ -152,12 +158,19 @@ class PageReader(HTMLParser):
         if not self.hidden:
             self.pieces.append(("text", data))
 
+    def parse_marked_section(self, i, report=1):
+        # "<![anything" is no error in HTML but a comment up to the next ">"
+        end = self.rawdata.find(">", i)
+        return end + 1 if end >= 0 else -1
+
     def finish(self):
         self.close()
         while self.open:
             self._end_top()
 
     def _end_implied(self, tag):
+        if not any(self.opened[name] for name in ENDS.get(tag, ())):
+            return
         for depth in range(len(self.open) - 1, -1, -1):
             name = self.open[depth][0]
             if tag in IMPLIED_END.get(name, ()):
@@ -170,6 +183,7 @@ class PageReader(HTMLParser):
 
     def _end_top(self):
         tag, at_end = self.open.pop()
+        self.opened[tag] -= 1
         if not self.hidden:
             self.pieces.append(("close", tag))
         for action in reversed(at_end):
@@ -228,21 +242,23 @@ def plain_text(pieces):
 
 def markdown_text(pieces):
     """Markdown with ATX headings; links, images, div, span, ul and li are unwrapped."""
-    stack = [("", [])]
+    stack, opened = [("", [])], Counter()
     for kind, value in pieces:
         if kind == "open":
             stack.append((value, []))
+            opened[value] += 1
         elif kind == "close":
             tag, parts = stack.pop()
-            stack[-1][1].append(_mark_up(tag, "".join(parts), [name for name, _ in stack]))
+            opened[tag] -= 1
+            stack[-1][1].append(_mark_up(tag, "".join(parts), opened))
         else:
-            literal = any(name in ("pre", "code", "kbd", "samp") for name, _ in stack)
-            stack[-1][1].append(value if literal else "".join(ESCAPED.get(c, c) for c in value))
+            literal = any(opened[name] for name in LITERAL)
+            stack[-1][1].append(value if literal else value.translate(ESCAPED))
     return "".join(stack[0][1])
 
 
-def _mark_up(tag, text, parents):
-    if tag in INLINE_MARKS and "pre" not in parents:
+def _mark_up(tag, text, around):
+    if tag in INLINE_MARKS and not around["pre"]:
         core = text.strip()
         mark = INLINE_MARKS[tag]
         if not core:
@@ -264,7 +280,7 @@ def _mark_up(tag, text, parents):
         return " " + " ".join(text.split()) + " |"
     if tag == "tr":
         row = text.strip()
-        rule = "\n" + "|" + " --- |" * row.count(" |") if "thead" in parents else ""
+        rule = "\n" + "|" + " --- |" * row.count(" |") if around["thead"] else ""
         return f"\n| {row}{rule}\n" if row else ""
     if tag == "q":
         return f'"{text}"'
