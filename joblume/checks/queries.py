@@ -64,7 +64,9 @@ def page_snapshot_lookup(spark, sf):
 
 
 def missing_pages(spark, sf):
-    return page_source.missing(_urls(spark, sf), _pages(spark, sf)).select("line_no", "url")
+    urls = _urls(spark, sf)
+    found = page_source.has_content(page_source.fetch(_pages(spark, sf), urls.select("url").distinct()))
+    return page_source.missing(urls, found).select("line_no", "url")
 
 
 def url_first_lines(spark, sf):
@@ -255,7 +257,7 @@ def batch_assign(spark, sf):
 
 def batch_text(spark, sf):
     assigned = links.assign_batches(_links(spark, sf)).select("listing_id", "batch_no", "pos", "href")
-    wanted = page_source.fetch(_pages(spark, sf), assigned.select(F.col("href").alias("url")))
+    wanted = page_source.fetch(_pages(spark, sf), assigned.select(F.col("href").alias("url")).distinct())
     cleaned = (batches.with_page(wanted, "text")
                .select(F.col("url").alias("href"), batches.clean_text(F.col("page")).alias("clean_text")))
     joined = batches.join_details(assigned, cleaned, keep_missing=True, row_id=["listing_id", "pos"])

@@ -327,7 +327,9 @@ def page_extract(html: Column, format: str = "markdown") -> Column:
     def extract(pages: pa.Array) -> pa.Array:
         return pa.array([read_page(page.as_py(), markdown) for page in pages], type=_PAGE)
 
-    return extract(html)
+    # not "nondeterministic" in truth: it keeps the optimizer from copying the
+    # call into a filter below it and reading every page twice
+    return extract.asNondeterministic()(html)
 
 
 # Ship this module's code with the plan, so that executors need no installation.

@@ -57,7 +57,7 @@ def follows_links(n_links: Column) -> Column:
 def explode_links(pages: DataFrame, keys: list[str], batch_size: int = BATCH_SIZE) -> DataFrame:
     """One row per link with its place and batch; the place in the array is the number."""
     return (pages.select(*keys, F.posexplode("links").alias("pos", "href"))
-            .withColumn("batch_no", F.floor(F.col("pos") / batch_size)))
+            .withColumn("batch_no", F.expr(f"pos div {batch_size}")))
 
 
 # -- cards as rows
@@ -83,4 +83,4 @@ def assign_batches(links: DataFrame, listing: str = "listing_id",
                    batch_size: int = BATCH_SIZE) -> DataFrame:
     """Cut each listing's links, in order, into batches of ``batch_size``."""
     numbered = number_within(links, [listing], "pos", "link_no")
-    return numbered.withColumn("batch_no", F.floor(F.col("link_no") / batch_size))
+    return numbered.withColumn("batch_no", F.expr(f"link_no div {batch_size}"))

@@ -48,7 +48,7 @@ def number_within(rows: DataFrame, group: list[str], position: str, name: str,
     chunk of positions, and what is added up over a group is one count per
     chunk.
     """
-    chunked = rows.withColumn("_chunk", F.floor(F.col(position) / chunk))
+    chunked = rows.withColumn("_chunk", F.expr(f"`{position}` div {chunk}"))
     in_chunk = Window.partitionBy(*group, "_chunk").orderBy(position)
     counts = chunked.groupBy(*group, "_chunk").agg(F.count(F.lit(1)).alias("_rows"))
     before = Window.partitionBy(*group).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)

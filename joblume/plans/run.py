@@ -1,9 +1,9 @@
 """The whole job: URL list and page snapshots to stored records.
 
 Three tables are landed on the way, in the shared folder: what was read off the
-listing pages (so HTML is parsed once), the replies (so no call to the model is
-repeated, and all sinks see the same), and the final records (which each sink
-reads).  A lost executor repeats tasks, never a finished stage.
+listing pages (so HTML is parsed once), the replies with the records parsed from
+them (so no call to the model is repeated, and all sinks see the same), and the
+final records (which each sink reads).  A lost executor repeats tasks, never a finished stage.
 """
 
 from __future__ import annotations
@@ -46,15 +46,15 @@ def land(frame: DataFrame, folder: str, name: str) -> DataFrame:
 
 def read_listings(urls: DataFrame, pages: DataFrame, now, format: str = "markdown",
                   char_limit: int = CONFIGURED_CHAR_LIMIT, **link_rules) -> DataFrame:
-    """(url_no, url, links, own_text): links to follow, or the text of a page that is the advert."""
-    visited = page_source.fetch(page_source.has_content(pages), urls)
+    """(url_no, url, n_lines, links, own_text, parse_error): links to follow, or the text of a page that is the advert."""
+    visited = page_source.has_content(page_source.fetch(pages, first_lines(urls)))
     page = F.col("page")
     found = (batches.with_page(visited, format)
              .withColumn("links", links.page_links(page["cards"], page["anchors"], now, **link_rules)))
     own = F.when(~links.follows_links(F.size("links")),
                  batches.route_text(F.col("html"), batches.clean_text(page, char_limit)))
-    return (found.select("url", "links", own.alias("own_text"), page["parse_error"].alias("parse_error"))
-            .join(first_lines(urls), "url"))
+    return found.select("url_no", "url", "n_lines", "links", own.alias("own_text"),
+                        page["parse_error"].alias("parse_error"))
 
 
 def batch_requests(listings: DataFrame, pages: DataFrame, format: str = "markdown",
@@ -62,7 +62,8 @@ def batch_requests(listings: DataFrame, pages: DataFrame, format: str = "markdow
     """(url_no, batch_no, url, text): batches of linked adverts, and single-advert pages."""
     listed = listings.where(links.follows_links(F.size("links")))
     linked = links.explode_links(listed, ["url_no", "url"], batch_size)
-    details = page_source.fetch(page_source.has_content(pages), linked.select(F.col("href").alias("url")))
+    wanted = linked.select(F.col("href").alias("url")).distinct()
+    details = page_source.has_content(page_source.fetch(pages, wanted))
     cleaned = (batches.with_page(details, format)
                .select(F.col("url").alias("href"),
                        batches.clean_text(F.col("page"), char_limit).alias("clean_text")))
@@ -75,10 +76,6 @@ def batch_requests(listings: DataFrame, pages: DataFrame, format: str = "markdow
     return followed.unionByName(own)
 
 
-def parse_batches(answered: DataFrame, spec: SchemaSpec = JOBS, per_record: bool = False) -> DataFrame:
-    return replies.parse_replies(answered, spec, per_record)
-
-
 def count_batches(parsed: DataFrame) -> DataFrame:
     """The numbers a run reports, per URL."""
     def counted(condition):
@@ -94,11 +91,12 @@ def run(spark: SparkSession, urls: DataFrame, pages: DataFrame, now: datetime |
         extractor: Callable[[str, str], str], sinks: Sequence[Sink] = (), work_dir: str | None = None,
         spec: SchemaSpec = JOBS, format: str = "markdown", char_limit: int = CONFIGURED_CHAR_LIMIT,
         batch_size: int = links.BATCH_SIZE, per_record: bool = False,
-        stored: DataFrame | None = None, **link_rules) -> Run:
+        stored: DataFrame | None = None, call_partitions: int | None = None, **link_rules) -> Run:
     """Visits ``urls`` (line_no, url) in ``pages`` and hands the records to the sinks.
 
     ``stored`` (item_key) leaves out what earlier runs stored; without it a
-    second run stores everything again.
+    second run stores everything again.  ``call_partitions`` is how many tasks
+    call the extractor, where its pace and not the data's size should tell.
     """
     for sink in sinks:
         if hasattr(sink, "reset"):
@@ -107,9 +105,10 @@ def run(spark: SparkSession, urls: DataFrame, pages: DataFrame, now: datetime |
     listings = land(read_listings(urls, pages, now, format, char_limit, **link_rules), folder, "listings")
     texts = batch_requests(listings, pages, format, char_limit, batch_size)
     requests = batches.build_requests(texts, "text", spec.niche)
-    keys = [*KEYS, "url", "n_links"]
-    answered = land(batches.call_extractor(requests, extractor, keys, "text"), folder, "replies")
-    parsed = parse_batches(answered, spec, per_record)
+    if call_partitions:
+        requests = requests.repartition(call_partitions)
+    answered = batches.call_extractor(requests, extractor, [*KEYS, "url", "n_links"], "text")
+    parsed = land(replies.parse_replies(answered, spec, per_record), folder, "replies")
     found = replies.explode_records(parsed.withColumn("source_url", F.col("url")), [*KEYS, "source_url"])
     unique = records.dedupe_first(found, key_parts=spec.key)
     if stored is not None:
@@ -118,6 +117,6 @@ def run(spark: SparkSession, urls: DataFrame, pages: DataFrame, now: datetime |
     if spec.niche == "jobs":
         final = records.repair(final)
     items = land(final, folder, "items")
-    return Run(listings=listings, replies=answered, quarantine=replies.quarantine(parsed), items=items,
-               counters=count_batches(parsed), dead_letters=page_source.missing(urls, pages),
+    return Run(listings=listings, replies=parsed, quarantine=replies.quarantine(parsed), items=items,
+               counters=count_batches(parsed), dead_letters=page_source.missing(urls, listings),
                status=fan_out(items, sinks, spec.niche) if sinks else None)

@@ -14,17 +14,18 @@ def has_content(pages: DataFrame) -> DataFrame:
 
 
 def fetch(pages: DataFrame, wanted: DataFrame) -> DataFrame:
-    """The latest snapshot of each wanted URL (``wanted`` has ``url``, repeats allowed).
+    """The latest snapshot of each wanted URL, with what else ``wanted`` has.
 
-    Which snapshot to take is settled on (url, page_id) alone, so that the wide
-    ``html`` of other pages is never moved: a short list of wanted pages is
-    broadcast by Spark and filters the scan, a long one is joined by both
-    columns, which also spreads the copies of a page.
+    ``wanted`` has each ``url`` once.  Which snapshot to take is settled on
+    (url, page_id) alone, so that this pass does not read ``html``.  Then a
+    short list of wanted pages is broadcast by Spark and filters the scan; a
+    long one is joined by both columns, which also spreads the copies of a page.
     """
-    latest = (pages.select("url", "page_id")
-              .join(wanted.select("url").distinct(), "url", "left_semi")
+    latest = (pages.select("url", "page_id").join(wanted.select("url"), "url", "left_semi")
               .groupBy("url").agg(F.max("page_id").alias("page_id")))
-    return pages.join(latest, ["url", "page_id"], "left_semi")
+    if len(wanted.columns) > 1:
+        latest = latest.join(wanted, "url")
+    return pages.join(latest, ["url", "page_id"])
 
 
 def lookup(urls: DataFrame, pages: DataFrame) -> DataFrame:
@@ -32,9 +33,9 @@ def lookup(urls: DataFrame, pages: DataFrame) -> DataFrame:
 
     A URL may fill a third of the list, so the join spreads hot ones.
     """
-    return spread_join(urls, fetch(pages, urls), "url", "left", ["line_no"])
+    return spread_join(urls, fetch(pages, urls.select("url").distinct()), "url", "left", ["line_no"])
 
 
-def missing(urls: DataFrame, pages: DataFrame) -> DataFrame:
-    """Lines without a page with content: the dead letters of the run."""
-    return urls.join(has_content(pages).select("url").distinct(), "url", "left_anti")
+def missing(urls: DataFrame, found: DataFrame) -> DataFrame:
+    """Lines whose URL is not among those ``found``: the dead letters of the run."""
+    return urls.join(found.select("url").distinct(), "url", "left_anti")
