@@ -40,14 +40,15 @@ def recent_stream(cards: DataFrame, key: str, now: datetime | str | Column, **re
 
     The filter against ``now`` decides; the watermark only bounds the state.  It
     follows the latest time seen, so times after ``now`` are held back to it:
-    what then falls behind the watermark is older than 36 hours, hence stale.
+    what then is an hour beyond the 36, as Spark drops what equals the
+    watermark, is stale.
     """
     moment, at = iso_moment(F.col("datetime_attr"), recency.get("convert_offset", False)), now_column(now)
     has_time = F.col("datetime_attr").isNotNull() | F.col("time_text").isNotNull()
     fresh = cards.where(is_recent(has_time, F.col("datetime_attr"), F.col("time_text"), now, **recency))
     seen = F.least(F.coalesce(moment, at), at).cast("string")
     timed = fresh.withColumn("_seen", F.concat(seen, F.lit("+00:00")).cast("timestamp"))
-    return dedupe_stream(timed, key, "_seen").drop("_seen")
+    return dedupe_stream(timed, key, "_seen", f"{MAX_AGE_HOURS + 1} hours").drop("_seen")
 
 
 def start_fan_out(items: DataFrame, sinks: Sequence[Sink], niche: str, checkpoint: str,
