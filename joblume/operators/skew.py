@@ -5,12 +5,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from joblume.session import checkpoint_root
+
 # At most this many keys get several slots; whatever key is not among them has
 # at most 1/HOT_KEYS of all rows.  The table that names them is broadcast: 1,000
 # rows of two numbers, whatever the data.
 HOT_KEYS = 1000
 ROWS_PER_SLOT = 1_000_000
+COUNT_ONE_IN = 64
 CHUNK = 65_536
+BROADCAST_BYTES = 64 * 1024 * 1024
 
 
 def spread_join(left: DataFrame, right: DataFrame, on: str, how: str,
@@ -18,12 +22,18 @@ def spread_join(left: DataFrame, right: DataFrame, on: str, how: str,
     """Equi-join of ``left``, where keys may be hot, with ``right``, where each is rare.
 
     A hot key's left rows go to as many slots as they need, its right rows to
-    each of them.  ``how`` is inner, left, left_semi or left_anti.  ``left`` is
-    read twice (key only, first), so give a table or something cheap.
+    each of them.  ``how`` is inner, left, left_semi or left_anti.  How hot keys
+    are is estimated from one left row in 64; the estimate decides on slots
+    only, and the result is that of a plain join whatever it says.
+
+    Both sides are shuffled: Spark's size estimates do not see what an explode
+    or a parse makes of its input, and would broadcast either side on them.
     """
     if how not in ("inner", "left", "left_semi", "left_anti"):
         raise ValueError(f"join type {how!r} cannot be spread")
-    hot = (left.groupBy(F.xxhash64(on).alias("_hash")).agg(F.count(F.lit(1)).alias("_rows"))
+    counted = left.where(F.pmod(F.xxhash64(*row_id), F.lit(COUNT_ONE_IN)) == 0)
+    hot = (counted.groupBy(F.xxhash64(on).alias("_hash"))
+           .agg((F.count(F.lit(1)) * COUNT_ONE_IN).alias("_rows"))
            .where(F.col("_rows") > rows_per_slot)
            .orderBy(F.desc("_rows"), "_hash").limit(HOT_KEYS)
            .select("_hash", F.ceil(F.col("_rows") / rows_per_slot).cast("int").alias("_slots")))
@@ -37,7 +47,20 @@ def spread_join(left: DataFrame, right: DataFrame, on: str, how: str,
               .withColumn("_slot", F.pmod(F.xxhash64(*row_id), slots).cast("int")).drop("_slots"))
     copied = (with_slots(right)
               .withColumn("_slot", F.explode(F.sequence(F.lit(0), slots - 1))).drop("_slots"))
-    return salted.join(copied, [on, "_slot"], how).drop("_slot")
+    return salted.join(copied.hint("merge"), [on, "_slot"], how).drop("_slot")
+
+
+def checked_broadcast(small: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
+    """``small`` with a broadcast hint if it is as small as thought, else to be shuffled.
+
+    Its size is measured, not estimated, on a checkpoint that the join then
+    reads.  Worth it where the other side is too wide to be shuffled for nothing.
+    """
+    checkpoint_root(small.sparkSession)
+    kept = small.checkpoint()
+    widths = [F.coalesce(F.octet_length(c), F.lit(0)) if t == "string" else F.lit(16) for c, t in kept.dtypes]
+    size = kept.agg(F.sum(sum(widths[1:], widths[0]) + 16)).first()[0] or 0
+    return F.broadcast(kept) if size <= limit else kept.hint("merge")
 
 
 def number_within(rows: DataFrame, group: list[str], position: str, name: str,

@@ -62,22 +62,28 @@ def contained(titles: DataFrame, searches: DataFrame, payload: list[str]) -> Dat
     needles = (searches.where(F.col("search").contains(ANCHOR))
                .select(left.alias("needle"), (F.length("search") - F.length(left) - size).alias("_length"))
                .groupBy("needle").agg(F.collect_set("_length").alias("_lengths")))
-    # both sides of every anchor of every title; anchors may overlap
-    places = F.filter(F.sequence(F.lit(1), F.length("text")),
-                      lambda at: F.substring(F.col("text"), at, F.lit(size)) == ANCHOR)
+    # both sides of every anchor of every title; there may be more, and they may overlap
+    first = F.instr("text", F.lit(ANCHOR))
+    places = (F.when(F.locate(ANCHOR, F.substring(F.col("text"), first + 1, F.length("text"))) == 0, F.array(first))
+              .otherwise(F.filter(F.sequence(F.lit(1), F.length("text")),
+                                  lambda at: F.substring(F.col("text"), at, F.lit(size)) == ANCHOR)))
     anchored = (titles.where(F.col("text").contains(ANCHOR))
                 .select("text", *payload, F.explode(places).alias("_at"))
                 .select(*payload,
                         F.left("text", F.col("_at") - 1).alias("before"),
                         F.substring(F.col("text"), F.col("_at") + size, F.length("text")).alias("after")))
-    # 2. suffixes of the distinct texts before an anchor; short ones are hot
+    # 2. suffixes of the distinct texts before an anchor, short ones of which are
+    #    hot.  There are many, so two hashes stand for them until step 3 compares
     suffixes = (anchored.where(F.length("before") > 0).select("before").distinct()
                 .select("before", F.explode(F.sequence(F.lit(1), F.length("before"))).alias("_n"))
-                .select("before", F.right("before", F.col("_n")).alias("needle")))
-    matched = spread_join(suffixes, needles, "needle", "inner", ["before"])
+                .select(F.xxhash64("before").alias("_before"),
+                        F.xxhash64(F.right("before", F.col("_n"))).alias("_needle")))
+    matched = (spread_join(suffixes, needles.withColumn("_needle", F.xxhash64("needle")), "_needle", "inner", ["_before"])
+               .select("_before", "needle", "_lengths"))
     # 3. the contained texts
     lengths = F.filter("_lengths", lambda n: n <= F.length("after"))
-    return (spread_join(anchored, matched, "before", "inner", ["after", *payload])
+    return (spread_join(anchored.withColumn("_before", F.xxhash64("before")), matched, "_before", "inner", ["after", *payload])
+            .where(F.endswith("before", "needle"))
             .select(*payload, "needle", "after",
                     (F.length("before") - F.length("needle")).alias("start"),
                     F.explode(lengths).alias("_n"))
@@ -93,7 +99,7 @@ def drop_known(items: DataFrame, known: DataFrame) -> DataFrame:
     items = items.withColumn("search", search_text())
     titles = known.select(known_title(F.col("title")).alias("text")).distinct()
     inside = contained(titles, items.select("search"), []).select("search").distinct()
-    return items.join(inside, "search", "left_anti").drop("search")
+    return items.join(inside.hint("merge"), "search", "left_anti").drop("search")
 
 
 def drop_repeats(items: DataFrame, order: list[str] | None = None) -> DataFrame:
@@ -111,7 +117,7 @@ def drop_repeats(items: DataFrame, order: list[str] | None = None) -> DataFrame:
     earliest = (contained(bodies, items.select("search"), ["_place"])
                 .groupBy("search").agg(F.min("_place").alias("_first")))
     # each search text lies in itself, so the first is at the latest its own place
-    still = (items.join(earliest, "search", "left")
+    still = (items.join(earliest.hint("merge"), "search", "left")
              .where(F.col("_first").isNull() | (F.col("_first") >= F.col("_place"))).drop("_first"))
 
     brackets = F.col("search").contains("]")
@@ -128,7 +134,7 @@ def drop_repeats(items: DataFrame, order: list[str] | None = None) -> DataFrame:
     inside = (contained(titles, still.where(brackets).select("search"), payload)
               .union(contained(titles.where("_odd"), still.select("search"), payload))
               .where(F.col("start") < F.col("_prefix")).select("search", "_by").distinct())
-    edges = (still.select("search", "_place").join(inside, "search")
+    edges = (still.select("search", "_place").join(inside.hint("merge"), "search")
              .where(F.col("_by") < F.col("_place")).select("_place", "_by"))
     dropped = _settle(edges)
     return still.join(dropped, "_place", "left_anti").drop("search", "_place")

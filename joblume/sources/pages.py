@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from joblume.operators.skew import spread_join
+from joblume.operators.skew import checked_broadcast, spread_join
 
 
 def has_content(pages: DataFrame) -> DataFrame:
@@ -18,14 +18,15 @@ def fetch(pages: DataFrame, wanted: DataFrame) -> DataFrame:
 
     ``wanted`` has each ``url`` once.  Which snapshot to take is settled on
     (url, page_id) alone, so that this pass does not read ``html``.  Then a
-    short list of wanted pages is broadcast by Spark and filters the scan; a
-    long one is joined by both columns, which also spreads the copies of a page.
+    list of wanted pages that is short, as measured, is broadcast and filters
+    the scan; a long one is joined by both columns, which also spreads the
+    copies of a page.
     """
     latest = (pages.select("url", "page_id").join(wanted.select("url"), "url", "left_semi")
               .groupBy("url").agg(F.max("page_id").alias("page_id")))
     if len(wanted.columns) > 1:
         latest = latest.join(wanted, "url")
-    return pages.join(latest, ["url", "page_id"])
+    return pages.join(checked_broadcast(latest), ["url", "page_id"])
 
 
 def lookup(urls: DataFrame, pages: DataFrame) -> DataFrame:

@@ -1,6 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from joblume.operators.skew import checked_broadcast
 from joblume.sources import pages
 from joblume.sources.replies import read_replies
 from joblume.sources.titles import LISTING_TYPE, scan_titles
@@ -43,8 +44,15 @@ def test_lookup_keeps_lines_and_tells_missing(spark, snapshots):
 def test_settling_snapshots_does_not_read_content(spark, tmp_path, snapshots):
     snapshots.write.parquet(str(tmp_path / "p"))
     stored = spark.read.parquet(str(tmp_path / "p"))
-    plan = pages.fetch(stored, stored.select("url").distinct()).select("page_id")._jdf.queryExecution().executedPlan().toString()
-    assert "html" not in plan
+    plan = pages.fetch(stored, stored.select("url").distinct())._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("html:string") == 1 and "BroadcastHashJoin" in plan
+
+
+def test_a_long_list_is_not_broadcast(spark):
+    small = spark.range(100).withColumn("url", F.lit("x" * 100))
+    for limit, strategy in ((10**6, "BroadcastHashJoin"), (1000, "SortMergeJoin")):
+        joined = spark.range(10).join(checked_broadcast(small, limit), "id")
+        assert strategy in joined._jdf.queryExecution().executedPlan().toString()
 
 
 def test_titles_until_the_first_failing_page(spark):
