@@ -73,6 +73,17 @@ SELECT p_partkey,
 FROM {part}
 """
 
+# replies hold the records of five parts; the batch (here times five) picks the variant
+_BATCH = "((p_partkey - p_partkey % 5) % 50)"
+RECORD_JSON = f"""concat('{{"titulo": ', CASE {_BATCH} WHEN 25 THEN '7' WHEN 30 THEN 'null' ELSE concat('"', p_name, '"') END,
+    ', "empresa": "', p_brand, '", "localizacao": "Remoto", "origem": "", "salario": "', CAST(p_size AS VARCHAR(20)), '"',
+    CASE {_BATCH} WHEN 5 THEN ', "requisitos": null' WHEN 10 THEN concat(', "requisitos": "', p_type, '"') WHEN 15 THEN ''
+        WHEN 20 THEN concat(', "requisitos": ["', p_type, '", 1]') ELSE concat(', "requisitos": ["', p_type, '", "x"]') END,
+    ', "link_inscricao": "/apply/', CAST(p_partkey AS VARCHAR(20)), '"',
+    CASE {_BATCH} WHEN 35 THEN ', "extra": {{"a": 1}}' ELSE '' END, '}}')"""
+RESPONSE_JSON = """CASE batch_id % 10 WHEN 8 THEN '{"vagas": []}' WHEN 9 THEN concat('{"vagas": [', list, ']')
+    ELSE concat('{"vagas": [', list, ']}') END"""
+
 # keys stored by an earlier run, with repeats
 STORED = """
 SELECT lower(concat(p_name, '|Brand#', CAST(p_size AS VARCHAR(20)))) AS item_key FROM {part}
@@ -130,24 +141,11 @@ def listing_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def replies(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(batch_id, response): replies of five records in ten variants."""
-    text = {name: f"""concat('"', {value}, '"')""" for name, value in
-            {"titulo": "p_name", "empresa": "p_brand", "salario": "CAST(p_size AS STRING)"}.items()}
-    kind = "(p_partkey div 5) % 10"
-    record = f"""concat('{{"titulo": ',
-        CASE {kind} WHEN 5 THEN '7' WHEN 6 THEN 'null' ELSE {text['titulo']} END,
-        ', "empresa": ', {text['empresa']}, ', "localizacao": "Remoto", "origem": "", "salario": ', {text['salario']},
-        CASE {kind} WHEN 1 THEN ', "requisitos": null' WHEN 2 THEN concat(', "requisitos": "', p_type, '"')
-            WHEN 3 THEN '' WHEN 4 THEN concat(', "requisitos": ["', p_type, '", 1]')
-            ELSE concat(', "requisitos": ["', p_type, '", "x"]') END,
-        ', "link_inscricao": "/apply/', CAST(p_partkey AS STRING), '"',
-        CASE {kind} WHEN 7 THEN ', "extra": {{"a": 1}}' ELSE '' END, '}}')"""
-    grouped = (table(spark, sf_dir, "part")
-               .selectExpr("p_partkey div 5 AS batch_id", f"struct(p_partkey, {record} AS json) AS entry")
-               .groupBy("batch_id")
-               .agg(F.array_join(F.transform(F.array_sort(F.collect_list("entry")), lambda e: e["json"]), ", ").alias("list")))
-    return grouped.selectExpr("batch_id", """CASE batch_id % 10
-        WHEN 8 THEN '{"vagas": []}' WHEN 9 THEN concat('{"vagas": [', list, ']')
-        ELSE concat('{"vagas": [', list, ']}') END AS response""")
+    return (table(spark, sf_dir, "part")
+            .selectExpr("p_partkey div 5 AS batch_id", f"struct(p_partkey, {RECORD_JSON} AS json) AS entry")
+            .groupBy("batch_id")
+            .agg(F.array_join(F.transform(F.array_sort(F.collect_list("entry")), lambda e: e["json"]), ", ").alias("list"))
+            .selectExpr("batch_id", f"{RESPONSE_JSON} AS response"))
 
 
 def hardware_replies(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -167,6 +167,8 @@ def oracle_sql() -> dict[str, str]:
         "url_first_lines": f"SELECT url, min(line_no) AS url_no, count(*) AS n_lines FROM {_LIST_URLS} GROUP BY url",
         "existing_titles_scan": f"""SELECT DISTINCT {_strip('lower(title)')} AS title FROM ({TITLES})
             WHERE p_partkey % 17 <> 0 AND p_partkey % 19 <> 0 AND title IS NOT NULL AND title <> ''""",
+        "response_scan": f"""SELECT batch_id, {fx.RESPONSE_JSON} AS response FROM (
+            SELECT p_partkey // 5 AS batch_id, string_agg({fx.RECORD_JSON}, ', ' ORDER BY p_partkey) AS list FROM part GROUP BY 1)""",
         "empty_content_filter": "SELECT page_id FROM pages WHERE html IS NOT NULL AND html <> ''",
         "recency_absolute": f"""SELECT event_id, ({_moment()}) IS NOT NULL AS readable,
             ({_moment()}) >= {NOW} - INTERVAL 36 HOUR AS fresh FROM ({TIMES})""",
@@ -196,6 +198,11 @@ def oracle_sql() -> dict[str, str]:
               CASE WHEN href IS NOT NULL THEN label || ' ' ELSE '' END || CASE WHEN other_href IS NOT NULL THEN 'more ' ELSE '' END
               || coalesce(time_text || ' ', '') || 'at ' || url, chr(10) || '---' || chr(10) ORDER BY pos), 18000) AS clean_text
             FROM cards GROUP BY listing_id""",
+        "markdown_render": f"""SELECT page_id, left(array_to_string(flatten(list_transform(
+              string_split(replace(replace({_ARTICLE}, '*', chr(92) || '*'), '_', chr(92) || '_'), '<p>'), lambda p: CASE
+              WHEN starts_with(p, '<h1>') THEN ['# ' || array_to_string(regexp_extract_all({_html_text('p')}, '\\S+'), ' ')]
+              WHEN starts_with(p, '<b>') THEN list_transform({_lines(_html_text('p'))}, lambda b: '**' || b || '**')
+              ELSE {_lines(_html_text('p'))} END)), chr(10)), 18000) AS clean_text FROM pages""",
         "line_compact": f"SELECT doc_id, {_compact('text')} AS compact FROM documents",
         "text_truncate": """SELECT doc_id, substr(text, 1, 18000) AS configured, substr(text, 1, 12000) AS standard
             FROM documents""",

@@ -64,9 +64,10 @@ SCOPE = {"ul", "ol", "menu", "dl", "table", "select", "html", "body", "div", "ar
 # Markdown of the elements that are not just unwrapped
 INLINE_MARKS = {"b": "**", "strong": "**", "i": "*", "em": "*", "del": "~~", "s": "~~",
                 "code": "`", "kbd": "`", "samp": "`"}
-ESCAPED = str.maketrans({"*": r"\*", "_": r"\_"})
 LITERAL = ("pre", "code", "kbd", "samp")
 
+NO_CLASSES = frozenset()
+
 PAGE_TYPE = ("struct<cards: array<struct<pos: int, href: string, has_time: boolean, "
              "datetime_attr: string, time_text: string>>, anchors: array<string>, "
              "card_texts: array<string>, body: string, main_selector: string, parse_error: string>")
@@ -118,7 +119,7 @@ class PageReader(HTMLParser):
             named.setdefault(name, value or "")
         self._end_implied(tag)
         at_end = []
-        classes = set(named.get("class", "").split())
+        classes = set(named["class"].split()) if "class" in named else NO_CLASSES
         if tag == "li" or classes & CARD_CLASSES:
             self._open_card(at_end)
         if tag == "a" and (classes & LINK_CLASSES or any(p in named.get("href", "") for p in LINK_PARTS)):
@@ -158,6 +159,9 @@ class PageReader(HTMLParser):
         if not self.hidden:
             self.pieces.append(("text", data))
 
+    def updatepos(self, i, j):
+        return j    # nobody asks for line numbers
+
     def parse_marked_section(self, i, report=1):
         # "<![anything" is no error in HTML but a comment up to the next ">"
         end = self.rawdata.find(">", i)
@@ -221,7 +225,7 @@ class PageReader(HTMLParser):
     # -- clean view: sees what is left after the removals
 
     def _select(self, tag, named, classes, at_end):
-        rank = main_rank(tag, named)
+        rank = main_rank(tag, named) if named or tag in MAIN_SELECTORS else None
         if rank is not None and rank not in self.main:
             self._range(self.main.setdefault(rank, []), at_end)
         if (classes & CARD_CLASSES or (tag == "li" and TEXT_CARD_ITEM_CLASS in classes)
@@ -253,7 +257,7 @@ def markdown_text(pieces):
             stack[-1][1].append(_mark_up(tag, "".join(parts), opened))
         else:
             literal = any(opened[name] for name in LITERAL)
-            stack[-1][1].append(value if literal else value.translate(ESCAPED))
+            stack[-1][1].append(value if literal else value.replace("*", r"\*").replace("_", r"\_"))
     return "".join(stack[0][1])
 
 

@@ -16,6 +16,8 @@ _SETTINGS = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.execution.arrow.maxRecordsPerBatch": "256",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # of a repeated JSON key the last one counts
+    "spark.sql.variant.allowDuplicateKeys": "true",
 }
 
 

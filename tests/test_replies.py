@@ -86,7 +86,7 @@ def test_random_replies_as_pydantic_judges_them(spark, spec, good):
     '{"vagas": []}', ' \n{"vagas": []}\t', '{"vagas": []} x', '{"vagas": []}, {"vagas": []}', '{"vagas": []}]', '{"vagas": []},',
     '{"vagas": []}{"vagas": []}', '{"vagas": [],}', "{'vagas': []}", '{vagas: []}', '[{"vagas": []}]', '{"vagas": null}', '{}', '',
     'null', '{"vagas": [', '{"vagas": {}}', '{"Vagas": []}', '{"vagas": [null]}', '{"vagas": ["x"]}', '{"vagas": [{}]}', '{"vagas": []}]]',
-    '{"vagas": []}],[', '{"other": 01, "vagas": []}'])
+    '{"vagas": [1], "vagas": []}', '{"vagas": [], "vagas": [1]}', '{"vagas": []}],[', '{"other": 01, "vagas": []}'])
 def test_odd_replies(spark, response):
     assert parsed(spark, JOBS, [response])[0] == [judged(JOBS, response)]
 
