@@ -50,16 +50,24 @@ def spread_join(left: DataFrame, right: DataFrame, on: str, how: str,
     return salted.join(copied.hint("merge"), [on, "_slot"], how).drop("_slot")
 
 
+def measured(small: DataFrame) -> tuple[DataFrame, int]:
+    """``small`` as a checkpoint, and its bytes: measured, not estimated."""
+    checkpoint_root(small.sparkSession)
+    kept = small.checkpoint()
+    widths = {"string": lambda c: F.coalesce(F.octet_length(c), F.lit(0)),
+              "array<int>": lambda c: F.greatest(F.size(c), F.lit(0)) * 4}
+    row = F.lit(16)
+    for name, kind in kept.dtypes:
+        row = row + widths.get(kind, lambda c: F.lit(16))(F.col(name))
+    return kept, kept.agg(F.sum(row)).first()[0] or 0
+
+
 def checked_broadcast(small: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
     """``small`` with a broadcast hint if it is as small as thought, else to be shuffled.
 
-    Its size is measured, not estimated, on a checkpoint that the join then
-    reads.  Worth it where the other side is too wide to be shuffled for nothing.
+    Worth its extra job where the other side is too wide to be shuffled for nothing.
     """
-    checkpoint_root(small.sparkSession)
-    kept = small.checkpoint()
-    widths = [F.coalesce(F.octet_length(c), F.lit(0)) if t == "string" else F.lit(16) for c, t in kept.dtypes]
-    size = kept.agg(F.sum(sum(widths[1:], widths[0]) + 16)).first()[0] or 0
+    kept, size = measured(small)
     return F.broadcast(kept) if size <= limit else kept.hint("merge")
 
 

@@ -7,8 +7,8 @@ if, at some `` @ `` of the title, ``left`` ends what stands before and ``right``
 begins what stands behind.  So:
 
 1. records tell which lefts exist and how long the rights behind each are;
-2. the distinct texts before an anchor are matched with those lefts by the
-   equality of a suffix;
+2. what stands before an anchor is matched with those lefts by the equality of
+   a suffix;
 3. each title writes down, for its matched lefts, the texts it contains, cut at
    lengths that exist.
 
@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from joblume.functions.text import strip
 from joblume.operators.records import ARRIVAL
-from joblume.operators.skew import spread_join
+from joblume.operators.skew import BROADCAST_BYTES, measured, spread_join
 from joblume.session import checkpoint_root
 
 # Fixed value: what stands between title and company.
@@ -51,10 +51,12 @@ def with_ticket_fields(items: DataFrame) -> DataFrame:
     return items.withColumns({"title": ticket_title(), "search": search_text(), "body": ticket_body()})
 
 
-def contained(titles: DataFrame, searches: DataFrame, payload: list[str]) -> DataFrame:
+def contained(titles: DataFrame, searches: DataFrame, payload: list[str],
+              broadcast_limit: int = BROADCAST_BYTES) -> DataFrame:
     """Which ``search`` lies in which ``text``: rows (search, start, *payload), exact.
 
     ``titles`` has ``text`` and the payload; ``start`` is the place of the match.
+    If the lefts of the searches are few, as measured, titles are not shuffled.
     """
     size = len(ANCHOR)
     # 1. lefts of the searches; a length set is bounded by the longest text
@@ -72,37 +74,56 @@ def contained(titles: DataFrame, searches: DataFrame, payload: list[str]) -> Dat
                 .select(*payload,
                         F.left("text", F.col("_at") - 1).alias("before"),
                         F.substring(F.col("text"), F.col("_at") + size, F.length("text")).alias("after")))
-    # 2. suffixes of the distinct texts before an anchor, short ones of which are
-    #    hot.  There are many, so two hashes stand for them until step 3 compares
-    suffixes = (anchored.where(F.length("before") > 0).select("before").distinct()
-                .select("before", F.explode(F.sequence(F.lit(1), F.length("before"))).alias("_n"))
-                .select(F.xxhash64("before").alias("_before"),
-                        F.xxhash64(F.right("before", F.col("_n"))).alias("_needle")))
-    matched = (spread_join(suffixes, needles.withColumn("_needle", F.xxhash64("needle")), "_needle", "inner", ["_before"])
-               .select("_before", "needle", "_lengths"))
+    needles, size_of_needles = measured(needles)
+    if size_of_needles <= broadcast_limit:
+        matched = (_suffixes(anchored, "before", "after", *payload, suffix="needle")
+                   .join(F.broadcast(needles), "needle"))
+    else:
+        matched = _match_shuffled(anchored, needles, payload)
     # 3. the contained texts
     lengths = F.filter("_lengths", lambda n: n <= F.length("after"))
-    return (spread_join(anchored.withColumn("_before", F.xxhash64("before")), matched, "_before", "inner", ["after", *payload])
-            .where(F.endswith("before", "needle"))
-            .select(*payload, "needle", "after",
-                    (F.length("before") - F.length("needle")).alias("start"),
-                    F.explode(lengths).alias("_n"))
+    return (matched.select(*payload, "needle", "after",
+                           (F.length("before") - F.length("needle")).alias("start"),
+                           F.explode(lengths).alias("_n"))
             .select(F.concat("needle", F.lit(ANCHOR), F.left("after", F.col("_n"))).alias("search"),
                     "start", *payload))
 
 
-def drop_known(items: DataFrame, known: DataFrame) -> DataFrame:
+def _suffixes(anchored: DataFrame, *columns: str, suffix: str) -> DataFrame:
+    return (anchored.where(F.length("before") > 0)
+            .select(*columns, F.explode(F.sequence(F.lit(1), F.length("before"))).alias("_n"))
+            .withColumn(suffix, F.right("before", F.col("_n"))).drop("_n"))
+
+
+def _match_shuffled(anchored: DataFrame, needles: DataFrame, payload: list[str]) -> DataFrame:
+    """Step 2 for many lefts: by the distinct texts before an anchor.
+
+    Short suffixes are hot, and so are common texts.  There are many suffixes,
+    so two hashes stand for each until the texts are compared at the end.
+    """
+    suffixes = (_suffixes(anchored.select("before").distinct(), "before", suffix="_suffix")
+                .select(F.xxhash64("before").alias("_before"), F.xxhash64("_suffix").alias("_needle")))
+    hashed = needles.withColumn("_needle", F.xxhash64("needle"))
+    pairs = (spread_join(suffixes, hashed, "_needle", "inner", ["_before"])
+             .select("_before", "needle", "_lengths"))
+    return (spread_join(anchored.withColumn("_before", F.xxhash64("before")), pairs, "_before", "inner",
+                        ["after", *payload])
+            .where(F.endswith("before", "needle")))
+
+
+def drop_known(items: DataFrame, known: DataFrame, broadcast_limit: int = BROADCAST_BYTES) -> DataFrame:
     """Leaves out records whose search text lies in a title of the history.
 
     Records have both fields, as after ``records.finalize``.
     """
     items = items.withColumn("search", search_text())
     titles = known.select(known_title(F.col("title")).alias("text")).distinct()
-    inside = contained(titles, items.select("search"), []).select("search").distinct()
+    inside = contained(titles, items.select("search"), [], broadcast_limit).select("search").distinct()
     return items.join(inside.hint("merge"), "search", "left_anti").drop("search")
 
 
-def drop_repeats(items: DataFrame, order: list[str] | None = None) -> DataFrame:
+def drop_repeats(items: DataFrame, order: list[str] | None = None,
+                 broadcast_limit: int = BROADCAST_BYTES) -> DataFrame:
     """Leaves out records whose search text lies in the title of an earlier accepted one.
 
     A text inside the search text of *any* earlier record is out: if that record
@@ -114,7 +135,7 @@ def drop_repeats(items: DataFrame, order: list[str] | None = None) -> DataFrame:
     place = F.col(order[0]) if len(order) == 1 else F.struct(*order)
     items = items.withColumns({"search": search_text(), "_place": place})
     bodies = items.select(F.col("search").alias("text"), "_place")
-    earliest = (contained(bodies, items.select("search"), ["_place"])
+    earliest = (contained(bodies, items.select("search"), ["_place"], broadcast_limit)
                 .groupBy("search").agg(F.min("_place").alias("_first")))
     # each search text lies in itself, so the first is at the latest its own place
     still = (items.join(earliest.hint("merge"), "search", "left")
@@ -131,8 +152,8 @@ def drop_repeats(items: DataFrame, order: list[str] | None = None) -> DataFrame:
     titles = still.select(known_title(ticket_title()).alias("text"), F.col("_place").alias("_by"),
                           prefix.alias("_prefix"), odd_origin.alias("_odd"))
     payload = ["_by", "_prefix"]
-    inside = (contained(titles, still.where(brackets).select("search"), payload)
-              .union(contained(titles.where("_odd"), still.select("search"), payload))
+    inside = (contained(titles, still.where(brackets).select("search"), payload, broadcast_limit)
+              .union(contained(titles.where("_odd"), still.select("search"), payload, broadcast_limit))
               .where(F.col("start") < F.col("_prefix")).select("search", "_by").distinct())
     edges = (still.select("search", "_place").join(inside.hint("merge"), "search")
              .where(F.col("_by") < F.col("_place")).select("_place", "_by"))

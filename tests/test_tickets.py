@@ -28,6 +28,8 @@ def random_items(rng, n, alphabet, origins):
     return [(i, word(), word(), rng.choice(origins), "", "") for i in range(n)]
 
 
+# lefts broadcast, or shuffled as if they were too many
+LIMITS = [10**6, 0, 0]
 CASES = [
     (["a", "b", "A", " "], ["", "o", "web"]),
     (["a", "b", "]", "[", " ", "[o] ", "o] "], ["o", "p", "q]", "[o"]),
@@ -41,7 +43,7 @@ CASES = [
 def test_repeats_match_a_loop(spark, case, seed):
     rng = random.Random(seed)
     items = random_items(rng, 150, *CASES[case])
-    got = tickets.drop_repeats(spark.createDataFrame(items, SCHEMA), ["pos"])
+    got = tickets.drop_repeats(spark.createDataFrame(items, SCHEMA), ["pos"], LIMITS[seed])
     assert sorted(r.pos for r in got.collect()) == loop(items)
 
 
@@ -52,8 +54,11 @@ def test_history_and_repeats_match_a_loop(spark, case):
     known = [f"[x] {t}{rng.choice(['', 'b'])} @ {rng.choice(['', ' '])}{e} " for _, t, e, *_ in random_items(rng, 40, *CASES[case])]
     known += [None, "", "no anchor", " @ ", "@"]
     history = spark.createDataFrame([(k,) for k in known], "title string")
-    out = new_tickets(spark.createDataFrame(items, SCHEMA), history, ["pos"])
+    frame = spark.createDataFrame(items, SCHEMA)
     accepted = loop(items, known)
+    rest = [{r.pos for r in tickets.drop_known(frame, history, limit).collect()} for limit in (0, 10**6)]
+    assert rest[0] == rest[1] >= set(accepted)
+    out = new_tickets(frame, history, ["pos"])
     expected = sorted(f"[{i[3]}] {i[1]} @ {i[2]}" for i in items if i[0] in set(accepted))
     assert sorted(r.title for r in out.collect()) == expected
 
@@ -74,8 +79,9 @@ def test_a_chain_is_settled_in_rounds(spark):
 
 def test_containment_has_no_theta_join(spark):
     items = spark.createDataFrame(random_items(random.Random(1), 20, *CASES[0]), SCHEMA)
-    plan = tickets.drop_repeats(items, ["pos"])._jdf.queryExecution().executedPlan().toString()
-    assert "NestedLoop" not in plan and "Cartesian" not in plan
+    for limit in (0, 10**6):
+        plan = tickets.drop_repeats(items, ["pos"], limit)._jdf.queryExecution().executedPlan().toString()
+        assert "NestedLoop" not in plan and "Cartesian" not in plan
 
 
 def test_fields(spark):
