@@ -39,9 +39,10 @@ def _html_text(x):
         x = f"regexp_replace({x}, '(?s)<{tag}[ >].*?</{tag}>', '', 'g')"
     x = f"regexp_replace({x}, '</?(p|h1|h2|h3|br|div|li|ul|ol|table|tr|td|th|title|head|body|html|article)( [^>]*)?/?>', chr(10), 'g')"
     x = f"regexp_replace({x}, '<[^>]*>', '', 'g')"
-    for entity, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "''"), ("&#x27;", "''"),
-                         ("&nbsp;", " "), ("&copy;", "©"), ("&middot;", "·"), ("&amp;", "&")):
-        x = f"replace({x}, '{entity}', '{char}')"
+    # old entities are read without their semicolon, too
+    for entity, char in (("&lt;?", "<"), ("&gt;?", ">"), ("&quot;?", '"'), ("&#39;?", "''"), ("&#x27;?", "''"),
+                         ("&nbsp;?", " "), ("&copy;?", "©"), ("&middot;?", "·"), ("&amp;?", "&")):
+        x = f"regexp_replace({x}, '{entity}', '{char}', 'g')"
     return x
 
 

@@ -75,10 +75,6 @@ def distinct_links(cards: DataFrame, listing: str = "listing_id") -> DataFrame:
     return first_per_key(cards, [listing, "href"], ["pos"])
 
 
-def count_links(links: DataFrame, listing: str = "listing_id") -> DataFrame:
-    return links.groupBy(listing).agg(F.count(F.lit(1)).alias("n_links"))
-
-
 def assign_batches(links: DataFrame, listing: str = "listing_id",
                    batch_size: int = BATCH_SIZE) -> DataFrame:
     """Cut each listing's links, in order, into batches of ``batch_size``."""

@@ -105,3 +105,21 @@ def test_other_niche(spark):
                 spec=HARDWARE, call_partitions=2).items.orderBy("pos").collect()
     assert [(r.produto, r.preco_vista, r.loja) for r in found] == \
         [("GPU", 1.5, "Loja não identificada"), ("Não informado", 0.0, "Loja não identificada")]
+
+
+def test_command(spark, tmp_path, monkeypatch):
+    from joblume.__main__ import main
+    spark.createDataFrame(PAGES, "page_id long, url string, html string").write.parquet(str(tmp_path / "pages"))
+    (tmp_path / "urls.txt").write_text("# list\nhttps://www.board.com/list\n\nhttps://nowhere.net/\n")
+    monkeypatch.syspath_prepend(str(tmp_path))
+    (tmp_path / "echo_titles.py").write_text(
+        "def reply(system, text):\n"
+        "    import json\n"
+        "    return json.dumps({'vagas': [dict(titulo=l[2:], empresa='E', localizacao='', origem='', salario='', requisitos=[],\n"
+        "        link_inscricao='') for l in text.splitlines() if l.startswith('# ')]})\n")
+    import echo_titles
+    cloudpickle.register_pickle_by_value(echo_titles)
+    main(["--urls", str(tmp_path / "urls.txt"), "--pages", str(tmp_path / "pages"), "--output", str(tmp_path / "out"),
+          "--extractor", "echo_titles:reply", "--now", NOW])
+    assert spark.read.parquet(str(tmp_path / "out/jobs")).count() == 6
+    assert [r.url for r in spark.read.parquet(str(tmp_path / "out/dead_letters")).collect()] == ["https://nowhere.net/"]
