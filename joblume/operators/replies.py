@@ -28,7 +28,14 @@ def parse_json(response: Column) -> Column:
     reply cannot have anything behind it: the list would be longer, shorter or
     no JSON.
     """
-    pair = F.try_parse_json(F.concat(F.lit("["), response, F.lit(",0]")))
+    return _first_of_pair(_parse_pair(response))
+
+
+def _parse_pair(response: Column) -> Column:
+    return F.try_parse_json(F.concat(F.lit("["), response, F.lit(",0]")))
+
+
+def _first_of_pair(pair: Column) -> Column:
     items = F.try_variant_get(pair, "$", "array<variant>")
     return F.when(F.size(items) == 2, F.try_variant_get(pair, "$[0]", "variant"))
 
@@ -75,8 +82,13 @@ def _flag(value: Column):
 _READERS = {"text": _text, "texts": text_list, "number": _number, "flag": _flag}
 
 
+def _opened(record: Column, spec: SchemaSpec) -> Column:
+    """A record as a struct of its fields, NULL where absent; NULL if it is no object."""
+    return F.try_variant_get(record, "$", "struct<" + ", ".join(f"{f.name}: variant" for f in spec.fields) + ">")
+
+
 def _read(record: Column, field: Field):
-    value = F.try_variant_get(record, f"$.{field.name}", "variant")
+    value = record[field.name]
     ok, read = _READERS[field.kind](value)
     if field.default is None:
         return F.coalesce(value.isNotNull() & ok, F.lit(False)), read
@@ -88,7 +100,7 @@ def _read(record: Column, field: Field):
 
 def _check(record: Column, spec: SchemaSpec) -> Column:
     parts = [_read(record, field) for field in spec.fields]
-    ok = F.coalesce(_type(record).startswith("OBJECT"), F.lit(False))
+    ok = record.isNotNull()
     for field_ok, _ in parts:
         ok = ok & field_ok
     value = F.struct(*[read.alias(field.name) for field, (_, read) in zip(spec.fields, parts)])
@@ -99,6 +111,9 @@ def parse_replies(replies: DataFrame, spec: SchemaSpec = JOBS, per_record: bool
     """Adds ``records`` (NULL for a rejected batch) and ``reason`` (NULL for a good one).
 
     One bad record rejects its batch; ``per_record`` keeps the good ones.
+
+    Both come out of a generator: a filter on them then stays above it, where
+    else the optimizer would parse every reply a second time inside the filter.
     """
     reply = F.col("_reply")
     is_object = F.coalesce(_type(reply).startswith("OBJECT"), F.lit(False))
@@ -109,15 +124,18 @@ def parse_replies(replies: DataFrame, spec: SchemaSpec = JOBS, per_record: bool
     checked = F.col("_checked")
     good = F.filter(checked, lambda c: c["ok"]) if per_record else checked
     accepted = F.lit(True) if per_record else F.forall(checked, lambda c: c["ok"])
-    return (replies
-            .withColumn("_reply", parse_json(F.col("response")))
-            .withColumn("_checked", F.when(is_object, F.transform(records, lambda r: _check(r, spec))))
-            .withColumn("records", F.when(accepted, F.transform(good, lambda c: c["value"])))
-            .withColumn("reason", F.when(F.col("response").isNull(), "no reply")
-                        .when(reply.isNull(), "no JSON")
-                        .when(checked.isNull(), "no list")
-                        .when(F.col("records").isNull(), "invalid record"))
-            .drop("_reply", "_checked"))
+    judged = (replies
+              .withColumn("_pair", _parse_pair(F.col("response")))
+              .withColumn("_reply", _first_of_pair(F.col("_pair")))
+              .withColumn("_opened", F.when(is_object, F.transform(records, lambda r: _opened(r, spec))))
+              .withColumn("_checked", F.transform("_opened", lambda r: _check(r, spec)))
+              .withColumn("_good", F.when(accepted, F.transform(good, lambda c: c["value"]))))
+    reason = (F.when(F.col("response").isNull(), "no reply")
+              .when(reply.isNull(), "no JSON")
+              .when(checked.isNull(), "no list")
+              .when(F.col("_good").isNull(), "invalid record"))
+    return judged.select(*replies.columns, F.inline(F.array(
+        F.struct(F.col("_good").alias("records"), reason.alias("reason")))))
 
 
 def quarantine(parsed: DataFrame) -> DataFrame:
