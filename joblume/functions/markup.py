@@ -105,6 +105,7 @@ class PageReader(HTMLParser):
         self.opened = Counter()  # how many of each tag are open
         self.hidden = 0         # depth inside removed elements
         self.muted = 0          # depth inside elements whose text is no page text
+        self.text = []          # the text node being read, in parts
         self.pieces = []        # clean view: ("open"|"close"|"text", value)
         self.main = {}          # selector rank -> [first piece, end piece]
         self.text_cards = []    # [first piece, end piece]
@@ -114,18 +115,19 @@ class PageReader(HTMLParser):
     # -- elements
 
     def handle_starttag(self, tag, attrs):
+        self._end_text()
         named = {}
         for name, value in attrs:
             named.setdefault(name, value or "")
         self._end_implied(tag)
         at_end = []
         classes = set(named["class"].split()) if "class" in named else NO_CLASSES
-        if tag == "li" or classes & CARD_CLASSES:
-            self._open_card(at_end)
         if tag == "a" and (classes & LINK_CLASSES or any(p in named.get("href", "") for p in LINK_PARTS)):
             self._link(named.get("href"))
         if tag == "time":
             self._time(named.get("datetime"), at_end)
+        if tag == "li" or classes & CARD_CLASSES:
+            self._open_card(at_end)
         if tag in BOILERPLATE:
             self.hidden += 1
             at_end.append(self._show)
@@ -147,17 +149,27 @@ class PageReader(HTMLParser):
             self._end_top()
 
     def handle_endtag(self, tag):
+        self._end_text()
         if self.opened[tag]:
             while self._end_top() != tag:
                 pass
 
     def handle_data(self, data):
+        self.text.append(data)
+
+    def handle_comment(self, data):
+        self._end_text()    # text on both sides of a comment is two nodes
+
+    def _end_text(self):
+        if not self.text:
+            return
+        text, self.text = "".join(self.text), []
         if self.muted:
             return
-        for record in self.open_times:
-            record["time_text"] += data.strip()
+        for card in self.open_times:
+            card["time_text"] += text.strip()
         if not self.hidden:
-            self.pieces.append(("text", data))
+            self.pieces.append(("text", text))
 
     def updatepos(self, i, j):
         return j    # nobody asks for line numbers
@@ -169,6 +181,7 @@ class PageReader(HTMLParser):
 
     def finish(self):
         self.close()
+        self._end_text()
         while self.open:
             self._end_top()
 

@@ -63,7 +63,7 @@ def batch_requests(listings: DataFrame, pages: DataFrame, format: str = "markdow
     listed = listings.where(links.follows_links(F.size("links")))
     linked = links.explode_links(listed, ["url_no", "url"], batch_size)
     wanted = linked.select(F.col("href").alias("url")).distinct()
-    details = page_source.has_content(page_source.fetch(pages, wanted))
+    details = page_source.fetch(pages, wanted)      # an empty page is an empty text, no miss
     cleaned = (batches.with_page(details, format)
                .select(F.col("url").alias("href"),
                        batches.clean_text(F.col("page"), char_limit).alias("clean_text")))

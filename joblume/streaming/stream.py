@@ -28,7 +28,8 @@ def dedupe_stream(items: DataFrame, key: str = "item_key", event_time: str | Non
     """Each key passes once.
 
     Without ``event_time`` it is once and for all, and the state keeps every
-    key; with it, once within the delay, and the state stays bounded.
+    key (on disk, with the RocksDB state store); with it, once within the delay,
+    and the state stays bounded.
     """
     if event_time is None:
         return items.dropDuplicates([key])

@@ -104,6 +104,17 @@ def test_nested_cards_share_a_link():
     assert [c["href"] for c in found] == ["http://x/job/1"] * 2
 
 
+def test_a_card_does_not_contain_itself():
+    assert cards('<a class="job-search-card" href="http://x/job/1">a</a>')[0]["href"] is None
+    assert cards('<time class="job-search-card" datetime="d">a</time>')[0]["has_time"] is False
+
+
+def test_text_nodes(clean):
+    two = '<div class="job-card">a<5 &lt; b<!-- c -->d</div>' * 2
+    assert clean(two, "text") == "a<5 < b d\n---\na<5 < b d"
+    assert cards('<li><time> 1 <!-- x --> day</time></li>')[0]["time_text"] == "1day"
+
+
 def test_links_are_seen_in_removed_elements_too():
     page = markup.read_page('<nav><a href="http://x/job/1">1</a></nav><a href="http://x/job/2">2</a><a href="/z">z</a>', False)
     assert page["anchors"] == ["http://x/job/1", "http://x/job/2"]

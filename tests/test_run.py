@@ -29,6 +29,8 @@ PAGES = [
     (30, "https://single.org/p", detail("Single") + card("https://x/job/1")),
     (40, "https://plain.net/t", "no markup here"),
     (50, "https://empty.net/", ""),
+    (55, "https://hollow.net/", "<ul>" + card("https://gone/job/3") + card("https://void/job/1") + "</ul>"),
+    (56, "https://void/job/1", ""),
     (60, "https://bad.net/", detail("Bad reply")),
     (70, "https://dead.net/", "<ul>" + card("https://gone/job/1") + card("https://gone/job/2") + "</ul>"),
 ]
@@ -40,6 +42,9 @@ def extractor(system, text):
     if "no markup" in text:
         raise TimeoutError("slow")
     titles = [line[2:] for line in text.splitlines() if line.startswith("# ")]
+    if text.startswith("URL: https://void"):
+        assert text == "URL: https://void/job/1\n"
+        titles = ["Void"]
     return json.dumps({"vagas": [{"titulo": t, "empresa": "Acme", "localizacao": "", "origem": "", "salario": "",
                                   "requisitos": "Python", "link_inscricao": "apply"} for t in titles]})
 
@@ -48,7 +53,7 @@ def extractor(system, text):
 def done(spark, tmp_path_factory):
     folder = tmp_path_factory.mktemp("run")
     pages = spark.createDataFrame(PAGES, "page_id long, url string, html string")
-    listed = [p[1] for p in PAGES if "x/job" not in p[1]] + ["https://nowhere.net/", "https://www.board.com/list"]
+    listed = [p[1] for p in PAGES if "/job/" not in p[1]] + ["https://nowhere.net/", "https://www.board.com/list"]
     urls = spark.createDataFrame(list(enumerate(listed)), "line_no long, url string")
     sinks = [NoteTable(f"{folder}/notes", NOW), TicketOutbox(f"{folder}/outbox"), JobsTable(f"{folder}/jobs", NOW)]
     return run(spark, urls, pages, NOW, extractor, sinks, work_dir=f"{folder}/work"), folder, urls, pages
@@ -56,7 +61,7 @@ def done(spark, tmp_path_factory):
 
 def test_items(done):
     items = {r.titulo: r for r in done[0].items.collect()}
-    assert set(items) == {f"Job {i}" for i in range(1, 7)} | {"Single"}
+    assert set(items) == {f"Job {i}" for i in range(1, 7)} | {"Single", "Void"}
     job = items["Job 1"]
     assert (job.origem, job.link_inscricao, job.requisitos, job.source_url) == \
         ("Board", "https://www.board.com/apply", ["Python"], "https://www.board.com/list")
@@ -79,9 +84,8 @@ def test_counters_and_losses(done):
 def test_stores(spark, done):
     run_, folder, *_ = done
     assert [r.error for r in run_.status.collect()] == [None] * 3
-    assert spark.read.parquet(f"{folder}/jobs").count() == 7
-    assert spark.read.parquet(f"{folder}/notes").count() == 7
-    assert spark.read.parquet(f"{folder}/outbox").count() == 7
+    for store in ("jobs", "notes", "outbox"):
+        assert spark.read.parquet(f"{folder}/{store}").count() == 8
 
 
 def test_second_run_with_stored_keys_finds_nothing_new(spark, done):
