@@ -151,11 +151,8 @@ def card_time_select(spark, sf):
 
 
 def link_fallback(spark, sf):
-    page = F.col("page")
-    found = _listing(spark, sf).select(
-        F.col("page_id").alias("listing_id"),
-        links.page_links(page["cards"], page["anchors"], fx.NOW).alias("links"))
-    return (found.select("listing_id", F.posexplode("links").alias("pos", "href"))
+    found = links.with_links(_listing(spark, sf), F.col("page.cards"), F.col("page.anchors"), fx.NOW)
+    return (found.select(F.col("page_id").alias("listing_id"), F.posexplode("links").alias("pos", "href"))
             .select("listing_id", F.col("pos").cast("bigint").alias("pos"), "href"))
 
 
@@ -212,9 +209,8 @@ def link_distinct(spark, sf):
 
 
 def listing_route(spark, sf):
-    page = F.col("page")
-    n_links = F.size(links.page_links(page["cards"], page["anchors"], fx.NOW))
-    return (_listing(spark, sf).select(F.col("page_id").alias("listing_id"), n_links.cast("bigint").alias("n_links"))
+    found = links.with_links(_listing(spark, sf), F.col("page.cards"), F.col("page.anchors"), fx.NOW)
+    return (found.select(F.col("page_id").alias("listing_id"), F.size("links").cast("bigint").alias("n_links"))
             .withColumn("follows", links.follows_links(F.col("n_links"))))
 
 

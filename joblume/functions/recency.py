@@ -94,7 +94,6 @@ def is_recent_text(text: Column, extra_stale: str | None = None) -> Column:
 def is_recent(has_time: Column, attribute: Column, text: Column, now: datetime | str | Column,
               convert_offset: bool = False, extra_stale: str | None = None) -> Column:
     """The whole rule: no time tag passes, a readable attribute decides, else the text."""
-    moment = iso_moment(attribute, convert_offset)
-    return (F.when(~has_time, F.lit(True))
-            .when(moment.isNotNull(), is_recent_moment(moment, now_column(now)))
-            .otherwise(is_recent_text(text, extra_stale)))
+    # NULL, and so left to the text, exactly where there is no moment
+    by_moment = is_recent_moment(iso_moment(attribute, convert_offset), now_column(now))
+    return F.when(~has_time, F.lit(True)).otherwise(F.coalesce(by_moment, is_recent_text(text, extra_stale)))

@@ -35,18 +35,19 @@ def card_links(cards: Column, now: datetime | str | Column, **recency) -> Column
     return F.array_distinct(F.transform(F.filter(cards, keep), lambda card: card["href"]))
 
 
-def page_links(cards: Column, anchors: Column, now: datetime | str | Column,
-               recency_on_fallback: bool = False, **recency) -> Column:
-    """Links of a page: from its cards or, if none survives, from all its anchors.
+def with_links(pages: DataFrame, cards: Column, anchors: Column, now: datetime | str | Column,
+               recency_on_fallback: bool = False, **recency) -> DataFrame:
+    """Adds ``links``: from a page's cards or, if none survives, from all its anchors.
 
     The anchors are not tested for freshness, so a page of stale cards hands its
     links in again; ``recency_on_fallback`` keeps out those of stale cards.
     """
-    fresh = card_links(cards, now, **recency)
     others = F.array_distinct(F.filter(anchors, is_absolute))
     if recency_on_fallback:
         others = F.array_except(others, F.transform(cards, lambda card: card["href"]))
-    return F.when(F.size(fresh) > 0, fresh).otherwise(others)
+    fresh = F.col("_fresh")
+    return (pages.withColumn("_fresh", card_links(cards, now, **recency))
+            .withColumn("links", F.when(F.size(fresh) > 0, fresh).otherwise(others)).drop("_fresh"))
 
 
 def follows_links(n_links: Column) -> Column:

@@ -49,8 +49,7 @@ def read_listings(urls: DataFrame, pages: DataFrame, now, format: str = "markdow
     """(url_no, url, n_lines, links, own_text, parse_error): links to follow, or the text of a page that is the advert."""
     visited = page_source.has_content(page_source.fetch(pages, first_lines(urls)))
     page = F.col("page")
-    found = (batches.with_page(visited, format)
-             .withColumn("links", links.page_links(page["cards"], page["anchors"], now, **link_rules)))
+    found = links.with_links(batches.with_page(visited, format), page["cards"], page["anchors"], now, **link_rules)
     own = F.when(~links.follows_links(F.size("links")),
                  batches.route_text(F.col("html"), batches.clean_text(page, char_limit)))
     return found.select("url_no", "url", "n_lines", "links", own.alias("own_text"),

@@ -51,7 +51,7 @@ def random_pages(n=200):
 def test_page_links_match_a_loop(spark, fallback_recency):
     pages = random_pages()
     frame = spark.createDataFrame(pages, f"page_id int, cards array<struct<{CARD.replace(' ', ': ').replace(',: ', ', ')}>>, anchors array<string>")
-    found = frame.select("page_id", links.page_links(F.col("cards"), F.col("anchors"), NOW, fallback_recency).alias("links"))
+    found = links.with_links(frame, F.col("cards"), F.col("anchors"), NOW, fallback_recency)
     assert {r.page_id: r.links for r in found.collect()} == {p: expected_links(c, a, fallback_recency) for p, c, a in pages}
 
 
