@@ -88,18 +88,17 @@ def iso_timestamp(moment: Column) -> Column:
 
 def float_text(number: Column) -> Column:
     """A double the way a note shows it: ``10.5``, ``12000000.0``, ``1e+16``."""
+    def digits(count):
+        return F.format_string(f"%.{count - 1}e", number)
+    # the fewest digits that read back as the same double
+    shortest = (F.when(digits(15).try_cast("double") == number, digits(15))
+                .when(digits(16).try_cast("double") == number, digits(16)).otherwise(digits(17)))
+    plain = F.regexp_replace(shortest.try_cast("decimal(38,20)").cast("string"), r"(\.\d+?)0+$", "$1")
+    scientific = F.regexp_replace(shortest, r"\.?0*e", "e")
     size = F.abs(number)
-    plain = F.regexp_replace(number.cast("decimal(38,20)").cast("string"), r"(\.\d+?)0+$", "$1")
-    raw = number.cast("string")
-    mantissa = F.regexp_replace(F.split_part(raw, F.lit("E"), F.lit(1)), r"\.0$", "")
-    exponent = F.split_part(raw, F.lit("E"), F.lit(2)).try_cast("int")
-    scientific = F.concat(mantissa, F.lit("e"),
-                          F.when(exponent < 0, "-").otherwise("+"),
-                          F.lpad(F.abs(exponent).cast("string"),
-                                 F.greatest(F.length(F.abs(exponent).cast("string")), F.lit(2)), F.lit("0")))
     return (F.when(F.isnan(number), F.lit("nan"))
             .when(size == float("inf"), F.when(number > 0, "inf").otherwise("-inf"))
-            .when(size == 0, F.when(raw.startswith("-"), "-0.0").otherwise("0.0"))
+            .when(size == 0, F.when(number.cast("string").startswith("-"), "-0.0").otherwise("0.0"))
             .when((size >= 1e-4) & (size < 1e16), plain)
             .otherwise(scientific))
 
