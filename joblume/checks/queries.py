@@ -253,6 +253,7 @@ def batch_assign(spark, sf):
 
 def batch_text(spark, sf):
     assigned = links.assign_batches(_links(spark, sf)).select("listing_id", "batch_no", "pos", "href")
+    assigned = plan.land(assigned, scratch_path(spark, "batches"), "links")
     wanted = page_source.fetch(_pages(spark, sf), assigned.select(F.col("href").alias("url")).distinct())
     cleaned = (batches.with_page(wanted, "text")
                .select(F.col("url").alias("href"), batches.clean_text(F.col("page")).alias("clean_text")))

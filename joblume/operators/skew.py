@@ -51,7 +51,10 @@ def spread_join(left: DataFrame, right: DataFrame, on: str, how: str,
 
 
 def measured(small: DataFrame) -> tuple[DataFrame, int]:
-    """``small`` as a checkpoint, and its bytes: measured, not estimated."""
+    """``small`` as a checkpoint, and its bytes: measured, not estimated.
+
+    For a side that may be broadcast if it is as small as thought.
+    """
     checkpoint_root(small.sparkSession)
     kept = small.checkpoint()
     widths = {"string": lambda c: F.coalesce(F.octet_length(c), F.lit(0)),
@@ -62,15 +65,6 @@ def measured(small: DataFrame) -> tuple[DataFrame, int]:
     return kept, kept.agg(F.sum(row)).first()[0] or 0
 
 
-def checked_broadcast(small: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
-    """``small`` with a broadcast hint if it is as small as thought, else to be shuffled.
-
-    Worth its extra job where the other side is too wide to be shuffled for nothing.
-    """
-    kept, size = measured(small)
-    return F.broadcast(kept) if size <= limit else kept.hint("merge")
-
-
 def number_within(rows: DataFrame, group: list[str], position: str, name: str,
                   chunk: int = CHUNK) -> DataFrame:
     """``row_number`` from 0 per group in the order of a unique integer position.

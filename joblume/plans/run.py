@@ -47,13 +47,17 @@ def land(frame: DataFrame, folder: str, name: str) -> DataFrame:
 def read_listings(urls: DataFrame, pages: DataFrame, now, format: str = "markdown",
                   char_limit: int = CONFIGURED_CHAR_LIMIT, **link_rules) -> DataFrame:
     """(url_no, url, n_lines, links, own_text, parse_error): links to follow, or the text of a page that is the advert."""
-    visited = page_source.has_content(page_source.fetch(pages, first_lines(urls)))
     page = F.col("page")
-    found = links.with_links(batches.with_page(visited, format), page["cards"], page["anchors"], now, **link_rules)
-    own = F.when(~links.follows_links(F.size("links")),
-                 batches.route_text(F.col("html"), batches.clean_text(page, char_limit)))
-    return found.select("url_no", "url", "n_lines", "links", own.alias("own_text"),
-                        page["parse_error"].alias("parse_error"))
+
+    def reduce(rows):
+        found = links.with_links(batches.with_page(page_source.has_content(rows), format),
+                                 page["cards"], page["anchors"], now, **link_rules)
+        own = F.when(~links.follows_links(F.size("links")),
+                     batches.route_text(F.col("html"), batches.clean_text(page, char_limit)))
+        return found.select("url", "page_id", "links", own.alias("own_text"),
+                            page["parse_error"].alias("parse_error"))
+
+    return page_source.fetch(pages, first_lines(urls), reduce)
 
 
 def batch_requests(listings: DataFrame, pages: DataFrame, format: str = "markdown",
@@ -62,10 +66,13 @@ def batch_requests(listings: DataFrame, pages: DataFrame, format: str = "markdow
     listed = listings.where(links.follows_links(F.size("links")))
     linked = links.explode_links(listed, ["url_no", "url"], batch_size)
     wanted = linked.select(F.col("href").alias("url")).distinct()
-    details = page_source.fetch(pages, wanted)      # an empty page is an empty text, no miss
-    cleaned = (batches.with_page(details, format)
-               .select(F.col("url").alias("href"),
-                       batches.clean_text(F.col("page"), char_limit).alias("clean_text")))
+
+    def reduce(rows):       # an empty page is an empty text, no miss
+        text = batches.clean_text(F.col("page"), char_limit)
+        return batches.with_page(rows, format).select("url", "page_id", text.alias("clean_text"))
+
+    cleaned = (page_source.fetch(pages, wanted, reduce)
+               .select(F.col("url").alias("href"), "clean_text"))
     joined = batches.join_details(linked, cleaned, keep_missing=True, row_id=["url_no", "pos"])
     followed = (batches.batch_texts(joined, ["url_no", "url"])
                 .select(*KEYS, "url", F.col("batch_text").alias("text"), "n_links"))

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from joblume.operators.skew import checked_broadcast, spread_join
+from joblume.operators.skew import BROADCAST_BYTES, measured, spread_join
 
 
 def has_content(pages: DataFrame) -> DataFrame:
@@ -13,7 +15,8 @@ def has_content(pages: DataFrame) -> DataFrame:
     return pages.where(F.col("html").isNotNull() & (F.col("html") != ""))
 
 
-def fetch(pages: DataFrame, wanted: DataFrame) -> DataFrame:
+def fetch(pages: DataFrame, wanted: DataFrame, reduce: Callable[[DataFrame], DataFrame] | None = None,
+          broadcast_limit: int = BROADCAST_BYTES) -> DataFrame:
     """The latest snapshot of each wanted URL, with what else ``wanted`` has.
 
     ``wanted`` has each ``url`` once.  Which snapshot to take is settled on
@@ -21,12 +24,25 @@ def fetch(pages: DataFrame, wanted: DataFrame) -> DataFrame:
     list of wanted pages that is short, as measured, is broadcast and filters
     the scan; a long one is joined by both columns, which also spreads the
     copies of a page.
+
+    ``reduce`` makes narrow rows of pages, row by row, keeping ``url`` and
+    ``page_id``.  It is done on wanted pages only, unless most are wanted and
+    they would have to be shuffled: then all are reduced first, and the shuffle
+    is as narrow.
     """
+    reduce = reduce or (lambda rows: rows)
     latest = (pages.select("url", "page_id").join(wanted.select("url"), "url", "left_semi")
               .groupBy("url").agg(F.max("page_id").alias("page_id")))
     if len(wanted.columns) > 1:
         latest = latest.join(wanted, "url")
-    return pages.join(checked_broadcast(latest), ["url", "page_id"])
+    latest, size = measured(latest)
+    place = ["url", "page_id"]
+    strategy = "broadcast" if size <= broadcast_limit else "merge"
+    hinted = latest.hint(strategy)
+    if strategy == "merge" and latest.count() * 2 > pages.count():
+        return reduce(pages).join(hinted, place)
+    chosen = reduce(pages.join(latest.select(*place).hint(strategy), place, "left_semi"))
+    return chosen.join(hinted, place) if len(latest.columns) > 2 else chosen
 
 
 def lookup(urls: DataFrame, pages: DataFrame) -> DataFrame:

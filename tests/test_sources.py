@@ -1,7 +1,6 @@
 import pytest
 from pyspark.sql import functions as F
 
-from joblume.operators.skew import checked_broadcast
 from joblume.sources import pages
 from joblume.sources.replies import read_replies
 from joblume.sources.titles import LISTING_TYPE, scan_titles
@@ -48,11 +47,16 @@ def test_settling_snapshots_does_not_read_content(spark, tmp_path, snapshots):
     assert plan.count("html:string") == 1 and "BroadcastHashJoin" in plan
 
 
-def test_a_long_list_is_not_broadcast(spark):
-    small = spark.range(100).withColumn("url", F.lit("x" * 100))
-    for limit, strategy in ((10**6, "BroadcastHashJoin"), (1000, "SortMergeJoin")):
-        joined = spark.range(10).join(checked_broadcast(small, limit), "id")
-        assert strategy in joined._jdf.queryExecution().executedPlan().toString()
+@pytest.mark.parametrize("limit, wanted, reduced_first", [(10**6, "abcd", False), (0, "abcd", True), (0, "a", False)])
+def test_short_and_long_lists_fetch_the_same(spark, snapshots, limit, wanted, reduced_first):
+    listed = spark.createDataFrame([(u, ord(u)) for u in wanted], "url string, n int")
+    reduce = lambda rows: rows.select("url", "page_id", F.length("html").alias("size"))
+    found = pages.fetch(snapshots, listed, reduce, limit)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    expected = {"a": (2, 3), "b": (3, 0), "c": (4, None), "d": (5, 1)}
+    assert {r.url: (r.page_id, r.size, r.n) for r in found.collect()} == {u: (*expected[u], ord(u)) for u in wanted}
+    assert ("BroadcastHashJoin" in plan) == (limit > 0)
+    assert (plan.count("SortMergeJoin") == 1) == reduced_first
 
 
 def test_titles_until_the_first_failing_page(spark):
