@@ -8,7 +8,7 @@ page.  Everything after it is native.
 from __future__ import annotations
 
 import sys
-from collections import Counter
+from collections import defaultdict
 from html.parser import HTMLParser
 
 import pyarrow as pa
@@ -79,21 +79,18 @@ _PAGE = pa.struct([("cards", pa.list_(_CARD)), ("anchors", pa.list_(pa.string())
                    ("main_selector", pa.string()), ("parse_error", pa.string())])
 
 
-def main_rank(tag: str, attrs: dict) -> int | None:
+# one way to say a selector per kind of test
+_BY_TAG = {s: rank for rank, s in enumerate(MAIN_SELECTORS) if s[0].isalpha()}
+_BY_ID = {s[1:]: rank for rank, s in enumerate(MAIN_SELECTORS) if s[0] == "#"}
+_BY_CLASS = {s[1:]: rank for rank, s in enumerate(MAIN_SELECTORS) if s[0] == "."}
+_BY_ROLE = {s.split('"')[1]: rank for rank, s in enumerate(MAIN_SELECTORS) if s.startswith("[role=")}
+
+
+def main_rank(tag: str, attrs: dict, classes: set) -> int | None:
     """Index of the best main-content selector an element meets."""
-    classes = attrs.get("class", "").split()
-    for rank, selector in enumerate(MAIN_SELECTORS):
-        if selector[0] == "#":
-            hit = attrs.get("id") == selector[1:]
-        elif selector[0] == ".":
-            hit = selector[1:] in classes
-        elif selector[0] == "[":
-            hit = attrs.get("role") == "main"
-        else:
-            hit = tag == selector
-        if hit:
-            return rank
-    return None
+    ranks = [_BY_TAG.get(tag), _BY_ID.get(attrs.get("id")), _BY_ROLE.get(attrs.get("role")),
+             *[_BY_CLASS.get(name) for name in classes]]
+    return min((rank for rank in ranks if rank is not None), default=None)
 
 
 class PageReader(HTMLParser):
@@ -102,7 +99,7 @@ class PageReader(HTMLParser):
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.open = []          # (tag, list of what to do when it ends)
-        self.opened = Counter()  # how many of each tag are open
+        self.opened = defaultdict(int)  # how many of each tag are open
         self.hidden = 0         # depth inside removed elements
         self.muted = 0          # depth inside elements whose text is no page text
         self.text = []          # the text node being read, in parts
@@ -119,10 +116,11 @@ class PageReader(HTMLParser):
         named = {}
         for name, value in attrs:
             named.setdefault(name, value or "")
-        self._end_implied(tag)
+        if tag in ENDS:
+            self._end_implied(tag)
         at_end = []
         classes = set(named["class"].split()) if "class" in named else NO_CLASSES
-        if tag == "a" and (classes & LINK_CLASSES or any(p in named.get("href", "") for p in LINK_PARTS)):
+        if tag == "a" and self._is_link(named.get("href", ""), classes):
             self._link(named.get("href"))
         if tag == "time":
             self._time(named.get("datetime"), at_end)
@@ -186,7 +184,10 @@ class PageReader(HTMLParser):
             self._end_top()
 
     def _end_implied(self, tag):
-        if not any(self.opened[name] for name in ENDS.get(tag, ())):
+        for name in ENDS[tag]:
+            if self.opened[name]:
+                break
+        else:
             return
         for depth in range(len(self.open) - 1, -1, -1):
             name = self.open[depth][0]
@@ -203,8 +204,8 @@ class PageReader(HTMLParser):
         self.opened[tag] -= 1
         if not self.hidden:
             self.pieces.append(("close", tag))
-        for action in reversed(at_end):
-            action()
+        while at_end:
+            at_end.pop()()
         return tag
 
     def _show(self):
@@ -215,6 +216,10 @@ class PageReader(HTMLParser):
 
     # -- listing view: sees the whole page
 
+    @staticmethod
+    def _is_link(href, classes):
+        return classes & LINK_CLASSES or LINK_PARTS[0] in href or LINK_PARTS[1] in href
+
     def _open_card(self, at_end):
         card = {"pos": len(self.cards), "href": None, "has_time": False,
                 "datetime_attr": None, "time_text": None, "linked": False}
@@ -238,9 +243,13 @@ class PageReader(HTMLParser):
     # -- clean view: sees what is left after the removals
 
     def _select(self, tag, named, classes, at_end):
-        rank = main_rank(tag, named) if named or tag in MAIN_SELECTORS else None
+        if not named and tag not in MAIN_SELECTORS:
+            return
+        rank = main_rank(tag, named, classes)
         if rank is not None and rank not in self.main:
             self._range(self.main.setdefault(rank, []), at_end)
+        if not classes:
+            return
         if (classes & CARD_CLASSES or (tag == "li" and TEXT_CARD_ITEM_CLASS in classes)
                 or (tag == "div" and TEXT_CARD_DIV_PART in " ".join(named.get("class", "").split()))):
             self.text_cards.append([])
@@ -259,7 +268,7 @@ def plain_text(pieces):
 
 def markdown_text(pieces):
     """Markdown with ATX headings; links, images, div, span, ul and li are unwrapped."""
-    stack, opened = [("", [])], Counter()
+    stack, opened = [("", [])], defaultdict(int)
     for kind, value in pieces:
         if kind == "open":
             stack.append((value, []))
