@@ -5,6 +5,16 @@ from __future__ import annotations
 from joblume.llm.common import table
 from joblume.llm.line_dedup import remove_repeated_lines
 from joblume.llm.substring_dedup import remove_repeated_substrings
+from joblume.llm.token_counts import count_tokens
+
+
+def tokenizer_path(name="byte_bpe_50k.json"):
+    import public_tokenizers
+    return public_tokenizers.path(name)
+
+
+def op2_token_counts(spark, sf_dir):
+    return count_tokens(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
 def op4_line_dedup(spark, sf_dir):
@@ -18,7 +28,7 @@ def op8_substring_dedup(spark, sf_dir):
 
 
 def queries():
-    return {query.__name__: query for query in (op4_line_dedup, op8_substring_dedup)}
+    return {query.__name__: query for query in (op2_token_counts, op4_line_dedup, op8_substring_dedup)}
 
 
 def oracle_sql():
