@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from joblume.llm.common import table
+from joblume.llm.language_id import learn_and_identify
 from joblume.llm.line_dedup import remove_repeated_lines
 from joblume.llm.substring_dedup import remove_repeated_substrings
 from joblume.llm.token_counts import count_tokens
@@ -22,13 +23,17 @@ def op4_line_dedup(spark, sf_dir):
         .select("doc_id", "n_lines", "n_removed", "kept_sha256")
 
 
+def op6_language_id(spark, sf_dir):
+    return learn_and_identify(table(spark, sf_dir, "documents"))
+
+
 def op8_substring_dedup(spark, sf_dir):
     return remove_repeated_substrings(table(spark, sf_dir, "documents")) \
         .select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
 def queries():
-    return {query.__name__: query for query in (op2_token_counts, op4_line_dedup, op8_substring_dedup)}
+    return {query.__name__: query for query in (op2_token_counts, op4_line_dedup, op6_language_id, op8_substring_dedup)}
 
 
 def oracle_sql():
