@@ -16,12 +16,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from joblume.llm.common import identified, mix, runs, text_buffer
+from joblume.llm.common import identified, runs, text_buffer
 
 BATCH_BYTES = 8 * 1024 * 1024  # text that a task looks at together
+CHUNK_BYTES = 1024 * 1024  # text whose bytes are hashed together
+GROUP_BYTES = 8 * 1024 * 1024  # text that a task cuts together
 BUCKET_WINDOWS = 1_500_000  # windows of a bucket, about
 PACKED = "bucket int, settled boolean, notes binary, hashes binary"
-MARKS = "_id long, _tag long, starts binary"
+MARKS = "_group int, notes binary"
 
 # (bytes, offsets) of texts to (hashes, second hashes, number of windows of each text)
 Windows = Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray, np.ndarray]]
@@ -84,9 +86,9 @@ def _map_side(windows: Windows, buckets: int) -> Callable[[Iterator[pa.RecordBat
         for rows in runs(batches, BATCH_BYTES):
             rows = rows.sort_by([("_id", "ascending"), ("_tag", "ascending")]).combine_chunks()
             ids, tags = rows["_id"].to_numpy(), rows["_tag"].to_numpy()
-            hashes, second, counts = windows(*text_buffer(rows["text"].combine_chunks()
-                                                          if isinstance(rows["text"], pa.ChunkedArray)
-                                                          else rows["text"]))
+            found = [windows(*text_buffer(part.column(part.schema.get_field_index("text"))))
+                     for chunk in runs(rows.to_batches(), CHUNK_BYTES) for part in chunk.to_batches()]
+            hashes, second, counts = (np.concatenate(x) for x in zip(*found, strict=True))
             again = np.zeros(len(ids), bool)  # a repeated row is the same document
             again[1:] = (ids[1:] == ids[:-1]) & (tags[1:] == tags[:-1])
             docs = np.repeat(np.arange(len(ids)), counts)
@@ -118,7 +120,16 @@ def _map_side(windows: Windows, buckets: int) -> Callable[[Iterator[pa.RecordBat
     return map_batches
 
 
-def _settle(rows: pa.Table) -> pa.Table:
+def group_of(ids, groups: int):
+    """The group of documents in which a document is cut; Spark and numpy agree on it."""
+    return ids % groups
+
+
+def _settle(groups: int) -> Callable[[pa.Table], pa.Table]:
+    return lambda rows: _settle_bucket(rows, groups)
+
+
+def _settle_bucket(rows: pa.Table, groups: int) -> pa.Table:
     """The windows of one bucket that are not the first of their hash."""
     ids, tags, starts, hashes = [], [], [], []
     found = []
@@ -153,39 +164,74 @@ def _settle(rows: pa.Table) -> pa.Table:
         later = (i[lead] < i) | (s[own] < s)
         found.append((i[later], t[later], s[later]))
     i, t, s = (np.concatenate(x) for x in zip(*found, strict=True))
-    order = np.lexsort((s, t, i))
-    i, t, s = i[order], t[order], s[order]
-    new = np.ones(len(i), bool)
-    new[1:] = (i[1:] != i[:-1]) | (t[1:] != t[:-1])
+    group = group_of(i, groups)
+    order = np.lexsort((s, t, i, group))
+    i, t, s, group = i[order], t[order], s[order], group[order]
+    docs = np.zeros(len(i), np.int64)
+    docs[1:] = np.cumsum((i[1:] != i[:-1]) | (t[1:] != t[:-1]))
+    first = np.flatnonzero(np.diff(docs, prepend=-1))
+    cuts = np.append(np.flatnonzero(np.diff(group, prepend=-1)), len(i))
+    packed = [_pack(i[first], t[first], docs[a:b], s[a:b]) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+    return pa.table({"_group": pa.array(group[cuts[:-1]], pa.int32()), "notes": pa.array(packed, pa.binary())})
+
+
+def _merge(notes: pa.ChunkedArray) -> dict[tuple[int, int], np.ndarray]:
+    """Starts by document."""
+    found = []
+    for packed in notes:
+        ids, tags, counts, starts = _unpack(packed.as_py())
+        found.append((np.repeat(ids, counts), np.repeat(tags.astype(np.int64), counts), starts))
+    if not found:
+        return {}
+    ids, tags, starts = (np.concatenate(x) for x in zip(*found, strict=True))
+    order = np.lexsort((tags, ids))
+    ids, tags, starts = ids[order], tags[order], starts[order]
+    new = np.ones(len(ids), bool)
+    new[1:] = (ids[1:] != ids[:-1]) | (tags[1:] != tags[:-1])
     first = np.flatnonzero(new)
-    cuts = np.append(first, len(i))
-    packed = [gaps_to_bytes(np.diff(s[a:b], prepend=0)) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
-    return pa.table({"_id": pa.array(i[first], pa.int64()), "_tag": pa.array(t[first], pa.int64()),
-                     "starts": pa.array(packed, pa.binary())})
+    keys = zip(ids[first].tolist(), tags[first].tolist(), strict=True)
+    return dict(zip(keys, np.split(starts, first[1:]), strict=True))
 
 
-def later_windows(docs: DataFrame, windows: Windows, bytes_per_window: float) -> DataFrame:
-    """(_id, _tag, list of packed starts) of documents with windows that occur earlier.
+def cut_later_windows(docs: DataFrame, windows: Windows, bytes_per_window: float,
+                      cut: Callable[[str, np.ndarray | None], tuple], size: str) -> DataFrame:
+    """``cut(text, starts)`` of every row, with the starts of those of its windows that occur earlier.
 
     Earlier is: in a document of smaller doc_id, or in the same one at a smaller
     start.  Different texts under one doc_id have no order among each other.
+    Returns doc_id and what ``cut`` gives: the number of positions, named
+    ``size``, n_removed, kept_sha256, kept_text and removed, the intervals.
     """
-    keyed = identified(docs)
+    keyed = identified(docs, F.col("doc_id").cast("long").alias("doc_id"))
     total = keyed.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(1, math.ceil(total / bytes_per_window / BUCKET_WINDOWS))
-    packed = keyed.mapInArrow(_map_side(windows, buckets), PACKED).repartition(buckets, "bucket")
-    marks = packed.groupBy("bucket").applyInArrow(_settle, MARKS)
-    return marks.groupBy("_id", "_tag").agg(F.collect_list("starts").alias("starts"))
-
-
-def covered(starts: list[bytes], length: int, n: int) -> np.ndarray:
+    groups = max(1, math.ceil(total / GROUP_BYTES))
+    packed = keyed.drop("doc_id").mapInArrow(_map_side(windows, buckets), PACKED).repartition(buckets, "bucket")
+    marks = packed.groupBy("bucket").applyInArrow(_settle(groups), MARKS)
+    grouped = keyed.withColumn("_group", F.pmod("_id", F.lit(groups)).cast("int"))
+    kinds = {"doc_id": pa.int64(), size: pa.int64(), "n_removed": pa.int64(), "kept_sha256": pa.string(),
+             "kept_text": pa.string(), "removed": pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))}
+
+    def cut_group(rows: pa.Table, notes: pa.Table) -> pa.Table:
+        starts = _merge(notes["notes"])
+        out = [(doc_id, *cut(text, starts.get((id_, tag)))) for doc_id, id_, tag, text in
+               zip(*(rows[c].to_pylist() for c in ("doc_id", "_id", "_tag", "text")), strict=True)]
+        return pa.table([pa.array(c, kind) for c, kind in zip(zip(*out, strict=True) if out else [[]] * len(kinds),
+                                                              kinds.values(), strict=True)], names=list(kinds))
+
+    return (grouped.groupBy("_group").cogroup(marks.groupBy("_group")).applyInArrow(
+        cut_group, f"doc_id long, {size} long, n_removed long, kept_sha256 string, kept_text string, "
+                   "removed array<struct<start:bigint,stop:bigint>>"))
+
+
+def covered(starts: np.ndarray, length: int, n: int) -> np.ndarray:
     """Which of ``n`` positions windows of ``length`` at these starts cover."""
     edges = np.zeros(n + 1, np.int64)
-    for packed in starts or ():
-        at = np.cumsum(gaps_from_bytes(packed))
-        np.add.at(edges, at, 1)
-        np.add.at(edges, np.minimum(at + length, n), -1)
+    np.add.at(edges, starts, 1)
+    np.add.at(edges, starts + length, -1)
     return np.cumsum(edges[:n]) > 0
 
 
-__all__ = ["later_windows", "covered", "mix"]
+def intervals(gone: np.ndarray) -> list[dict[str, int]]:
+    edges = np.flatnonzero(np.diff(gone.astype(np.int8), prepend=0, append=0)).tolist()
+    return [{"start": a, "stop": b} for a, b in zip(edges[::2], edges[1::2], strict=True)]

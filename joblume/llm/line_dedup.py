@@ -5,12 +5,10 @@ from __future__ import annotations
 import hashlib
 
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from joblume.llm.common import identified, mix, runs, window_hashes
-from joblume.llm.first_seen import covered, later_windows
+from joblume.llm.common import mix, window_hashes
+from joblume.llm.first_seen import covered, cut_later_windows, intervals
 
 LINES = 3
 BASES = (0xA0761D6478BD642F, 0xE7037ED1A0B428DB)
@@ -54,27 +52,14 @@ def split_lines(text: str) -> list[str]:
 
 
 def _cut(length: int):
-    schema = pa.schema([("doc_id", pa.int64()), ("n_lines", pa.int64()), ("n_removed", pa.int64()),
-                        ("kept_sha256", pa.string()), ("kept_text", pa.string()),
-                        ("removed", pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())])))])
-
-    def cut(batches):
-        for rows in runs(batches, 4 * 1024 * 1024):
-            out = []
-            for id_, text, starts in zip(rows["doc_id"].to_pylist(), rows["text"].to_pylist(),
-                                         rows["starts"].to_pylist(), strict=True):
-                lines, spans = split_lines(text), []
-                kept = lines
-                if starts:
-                    gone = covered(starts, length, len(lines))
-                    edges = np.flatnonzero(np.diff(gone.astype(np.int8), prepend=0, append=0)).tolist()
-                    spans = [{"start": a, "stop": b} for a, b in zip(edges[::2], edges[1::2], strict=True)]
-                    kept = [x for x, g in zip(lines, gone.tolist(), strict=True) if not g]
-                joined = "\n".join(kept)
-                out.append((id_, len(lines), len(lines) - len(kept),
-                            hashlib.sha256(joined.encode()).hexdigest(), joined, spans))
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in
-                                              zip(zip(*out, strict=True), schema, strict=True)], schema=schema)
+    def cut(text, starts):
+        lines = split_lines(text)
+        kept, spans = lines, []
+        if starts is not None:
+            gone = covered(starts, length, len(lines))
+            spans, kept = intervals(gone), [x for x, g in zip(lines, gone.tolist(), strict=True) if not g]
+        joined = "\n".join(kept)
+        return len(lines), len(lines) - len(kept), hashlib.sha256(joined.encode()).hexdigest(), joined, spans
     return cut
 
 
@@ -93,8 +78,4 @@ def remove_repeated_lines(docs: DataFrame, length: int = LINES) -> DataFrame:
     result; different texts under one doc_id are not earlier than each other;
     an empty table gives an empty table; other columns are not read.
     """
-    marks = later_windows(docs, line_windows(length), BYTES_PER_LINE)
-    rows = identified(docs, F.col("doc_id").cast("long").alias("doc_id"))
-    joined = rows.join(marks, ["_id", "_tag"], "left").select("doc_id", "text", "starts")
-    return joined.mapInArrow(_cut(length), "doc_id long, n_lines long, n_removed long, kept_sha256 string, "
-                             "kept_text string, removed array<struct<start:long,stop:long>>")
+    return cut_later_windows(docs, line_windows(length), BYTES_PER_LINE, _cut(length), "n_lines")

@@ -5,12 +5,10 @@ from __future__ import annotations
 import hashlib
 
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from joblume.llm.common import NO_ID, hash_words, identified, mix, runs, window_hashes
-from joblume.llm.first_seen import covered, later_windows
+from joblume.llm.common import hash_words, mix, window_hashes
+from joblume.llm.first_seen import covered, cut_later_windows, intervals
 
 WINDOW = 20
 BASES = (0x9FB21C651E98DF25, 0xD6E8FEB86659FD93)
@@ -29,27 +27,14 @@ def word_windows(length: int):
 
 
 def _cut(length: int):
-    schema = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()),
-                        ("kept_sha256", pa.string()), ("kept_text", pa.string()),
-                        ("removed", pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())])))])
-
-    def cut(batches):
-        for rows in runs(batches, 4 * 1024 * 1024):
-            out = []
-            for id_, text, starts in zip(rows["doc_id"].to_pylist(), rows["text"].to_pylist(),
-                                         rows["starts"].to_pylist(), strict=True):
-                words, spans = text.encode().split(), []
-                kept = words
-                if starts:
-                    gone = covered(starts, length, len(words))
-                    edges = np.flatnonzero(np.diff(gone.astype(np.int8), prepend=0, append=0)).tolist()
-                    spans = [{"start": a, "stop": b} for a, b in zip(edges[::2], edges[1::2], strict=True)]
-                    kept = [w for w, g in zip(words, gone.tolist(), strict=True) if not g]
-                joined = b" ".join(kept)
-                out.append((id_, len(words), len(words) - len(kept), hashlib.sha256(joined).hexdigest(),
-                            joined.decode(), spans))
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in
-                                              zip(zip(*out, strict=True), schema, strict=True)], schema=schema)
+    def cut(text, starts):
+        words = text.encode().split()
+        kept, spans = words, []
+        if starts is not None:
+            gone = covered(starts, length, len(words))
+            spans, kept = intervals(gone), [w for w, g in zip(words, gone.tolist(), strict=True) if not g]
+        joined = b" ".join(kept)
+        return (len(words), len(words) - len(kept), hashlib.sha256(joined).hexdigest(), joined.decode(), spans)
     return cut
 
 
@@ -68,11 +53,4 @@ def remove_repeated_substrings(docs: DataFrame, length: int = WINDOW) -> DataFra
     empty table, other columns are not read.  Windows are equal if 64 bits of
     hash and the bucket, from an independent hash, are.
     """
-    marks = later_windows(docs, word_windows(length), BYTES_PER_WORD)
-    rows = identified(docs, F.col("doc_id").cast("long").alias("doc_id"))
-    joined = rows.join(marks, ["_id", "_tag"], "left").select("doc_id", "text", "starts")
-    return joined.mapInArrow(_cut(length), "doc_id long, n_words long, n_removed long, kept_sha256 string, "
-                             "kept_text string, removed array<struct<start:long,stop:long>>")
-
-
-__all__ = ["remove_repeated_substrings", "NO_ID"]
+    return cut_later_windows(docs, word_windows(length), BYTES_PER_WORD, _cut(length), "n_words")
