@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from joblume.llm.balanced_shards import balance_shards
 from joblume.llm.common import table
+from joblume.llm.jaccard_join import near_duplicate_classes
 from joblume.llm.language_id import learn_and_identify
 from joblume.llm.line_dedup import remove_repeated_lines
+from joblume.llm.source_mix import mix_sources
 from joblume.llm.substring_dedup import remove_repeated_substrings
 from joblume.llm.token_counts import count_tokens
 
@@ -18,6 +21,11 @@ def op2_token_counts(spark, sf_dir):
     return count_tokens(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op3_source_mix(spark, sf_dir):
+    return mix_sources(table(spark, sf_dir, "documents")) \
+        .select("doc_id", "size", "source_size", "target", "taken", "source", "draws")
+
+
 def op4_line_dedup(spark, sf_dir):
     return remove_repeated_lines(table(spark, sf_dir, "documents")) \
         .select("doc_id", "n_lines", "n_removed", "kept_sha256")
@@ -32,8 +40,17 @@ def op8_substring_dedup(spark, sf_dir):
         .select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
+def op9_balanced_shards(spark, sf_dir):
+    return balance_shards(table(spark, sf_dir, "documents"))
+
+
+def op10_jaccard_join(spark, sf_dir):
+    return near_duplicate_classes(table(spark, sf_dir, "documents"))
+
+
 def queries():
-    return {query.__name__: query for query in (op2_token_counts, op4_line_dedup, op6_language_id, op8_substring_dedup)}
+    return {query.__name__: query for query in (op2_token_counts, op3_source_mix, op4_line_dedup, op6_language_id, op8_substring_dedup,
+                                            op9_balanced_shards, op10_jaccard_join)}
 
 
 def oracle_sql():
