@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from joblume.llm.balanced_shards import balance_shards
 from joblume.llm.common import table
+from joblume.llm.embedding_dedup import near_duplicate_vectors
 from joblume.llm.jaccard_join import near_duplicate_classes
 from joblume.llm.language_id import learn_and_identify
 from joblume.llm.line_dedup import remove_repeated_lines
@@ -17,6 +18,10 @@ def tokenizer_path(name="byte_bpe_50k.json"):
     return public_tokenizers.path(name)
 
 
+def op1_embedding_dedup(spark, sf_dir):
+    return near_duplicate_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def op2_token_counts(spark, sf_dir):
     return count_tokens(table(spark, sf_dir, "documents"), tokenizer_path())
 
@@ -49,7 +54,7 @@ def op10_jaccard_join(spark, sf_dir):
 
 
 def queries():
-    return {query.__name__: query for query in (op2_token_counts, op3_source_mix, op4_line_dedup, op6_language_id, op8_substring_dedup,
+    return {query.__name__: query for query in (op1_embedding_dedup, op2_token_counts, op3_source_mix, op4_line_dedup, op6_language_id, op8_substring_dedup,
                                             op9_balanced_shards, op10_jaccard_join)}
 
 
