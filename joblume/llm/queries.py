@@ -11,6 +11,7 @@ from joblume.llm.line_dedup import remove_repeated_lines
 from joblume.llm.source_mix import mix_sources
 from joblume.llm.substring_dedup import remove_repeated_substrings
 from joblume.llm.token_counts import count_tokens
+from joblume.llm.toxicity import score_toxicity
 
 
 def tokenizer_path(name="byte_bpe_50k.json"):
@@ -36,6 +37,10 @@ def op4_line_dedup(spark, sf_dir):
         .select("doc_id", "n_lines", "n_removed", "kept_sha256")
 
 
+def op5_toxicity(spark, sf_dir):
+    return score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op6_language_id(spark, sf_dir):
     return learn_and_identify(table(spark, sf_dir, "documents"))
 
@@ -54,7 +59,7 @@ def op10_jaccard_join(spark, sf_dir):
 
 
 def queries():
-    return {query.__name__: query for query in (op1_embedding_dedup, op2_token_counts, op3_source_mix, op4_line_dedup, op6_language_id, op8_substring_dedup,
+    return {query.__name__: query for query in (op1_embedding_dedup, op2_token_counts, op3_source_mix, op4_line_dedup, op5_toxicity, op6_language_id, op8_substring_dedup,
                                             op9_balanced_shards, op10_jaccard_join)}
 
 
