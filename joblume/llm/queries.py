@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from joblume.llm.balanced_shards import balance_shards
 from joblume.llm.common import table
+from joblume.llm.decontamination import find_leaks
 from joblume.llm.embedding_dedup import near_duplicate_vectors
 from joblume.llm.jaccard_join import near_duplicate_classes
 from joblume.llm.language_id import learn_and_identify
@@ -45,6 +46,10 @@ def op6_language_id(spark, sf_dir):
     return learn_and_identify(table(spark, sf_dir, "documents"))
 
 
+def op7_decontamination(spark, sf_dir):
+    return find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op8_substring_dedup(spark, sf_dir):
     return remove_repeated_substrings(table(spark, sf_dir, "documents")) \
         .select("doc_id", "n_words", "n_removed", "kept_sha256")
@@ -59,8 +64,8 @@ def op10_jaccard_join(spark, sf_dir):
 
 
 def queries():
-    return {query.__name__: query for query in (op1_embedding_dedup, op2_token_counts, op3_source_mix, op4_line_dedup, op5_toxicity, op6_language_id, op8_substring_dedup,
-                                            op9_balanced_shards, op10_jaccard_join)}
+    return {query.__name__: query for query in (op1_embedding_dedup, op2_token_counts, op3_source_mix, op4_line_dedup, op5_toxicity, op6_language_id, op7_decontamination,
+                                            op8_substring_dedup, op9_balanced_shards, op10_jaccard_join)}
 
 
 def oracle_sql():
