@@ -10,6 +10,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from joblume.llm.common import land, runs
 
@@ -168,8 +169,9 @@ def identify_language(docs: DataFrame, profiles: DataFrame, keep: list[Column],
     shared = docs.sparkSession.sparkContext.broadcast(profiles.toArrow())
     texts = docs.select(*keep, F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     kept = texts.drop("text")
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema)
-    return texts.mapInArrow(_predict(shared, top, kept.columns), f"{schema}, lang_pred string, score double")
+    schema = T.StructType([*kept.schema.fields, T.StructField("lang_pred", T.StringType()),
+                           T.StructField("score", T.DoubleType())])
+    return texts.mapInArrow(_predict(shared, top, kept.columns), schema)
 
 
 def learn_and_identify(docs: DataFrame, top: int = TOP) -> DataFrame:
