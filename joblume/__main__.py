@@ -31,6 +31,8 @@ def parse_arguments(arguments: list[str] | None = None) -> argparse.Namespace:
 def main(arguments: list[str] | None = None) -> None:
     args = parse_arguments(arguments)
     spark = SparkSession.builder.appName("joblume").getOrCreate()
+    if not spark.conf.get("spark.checkpoint.dir", None):
+        spark.conf.set("spark.checkpoint.dir", f"{args.output}/checkpoints")
     module, function = args.extractor.split(":")
     now = args.now or datetime.now()
     known = spark.read.parquet(args.known_titles) if args.known_titles else None

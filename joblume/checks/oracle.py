@@ -3,14 +3,19 @@
 from __future__ import annotations
 
 from joblume.checks import fixtures as fx
-from joblume.functions.text import LINE_BREAKS, WHITESPACE
-from joblume.operators.batches import JOBS_PROMPT_SUFFIX, SYSTEM_PROMPT
 
 NAMES = {name: name for name in ("pages", "events", "part", "documents")}
 URLS, TIMES, CARDS, ITEMS, TITLES, STORED = (
     sql.format(**NAMES) for sql in (fx.URLS, fx.TIMES, fx.CARDS, fx.ITEMS, fx.TITLES, fx.STORED))
 NOW = f"TIMESTAMP '{fx.NOW}'"
-_SPACE = WHITESPACE
+# Fixed values, written out here so that the SQL does not borrow what it checks.
+_SPACE = ("\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007"
+          "\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000")
+_BREAKS = "[\\n\\r\\x0b\\f\\x1c-\\x1e\\x85\u2028\u2029]+"
+_PROMPT = (
+    "Você é um extrator de dados estruturados especialista. Extraia as informações detalhadas do texto, prestando "
+    "MUITA ATENÇÃO a Salário e Requisitos. O texto pode conter múltiplas vagas separadas por '=== NOVA VAGA ==='. "
+    "Extraia os detalhes de CADA UMA.")
 
 
 def _strip(x):
@@ -22,7 +27,7 @@ def _quoted(text):
 
 
 def _lines(x):
-    return f"list_filter(list_transform(regexp_split_to_array({x}, '{LINE_BREAKS}'), lambda l: {_strip('l')}), lambda l: l <> '')"
+    return f"list_filter(list_transform(regexp_split_to_array({x}, '{_BREAKS}'), lambda l: {_strip('l')}), lambda l: l <> '')"
 
 
 def _compact(x):
@@ -234,7 +239,7 @@ def oracle_sql() -> dict[str, str]:
                 FILTER (WHERE clean_text IS NOT NULL), '') AS batch_text,
               count(*) AS n_links, count(clean_text) AS n_texts FROM texts GROUP BY listing_id, batch_no""",
         "request_build": f"""SELECT doc_id, 'gemini-2.5-flash' AS model, 'system' AS first_role,
-            {_quoted(SYSTEM_PROMPT + JOBS_PROMPT_SUFFIX)} AS system, 'user' AS second_role, text AS content,
+            {_quoted(_PROMPT)} AS system, 'user' AS second_role, text AS content,
             CAST(0.1 AS DOUBLE) AS temperature, CAST(4096 AS BIGINT) AS max_output_tokens FROM documents""",
         "run_counters": f"""WITH {REPLIES} SELECT batch_id // 4 AS url_no, count(*) AS n_batches,
             CAST(count(*) * 5 AS BIGINT) AS n_links, CAST(sum(n_records) AS BIGINT) AS n_records,
@@ -277,8 +282,11 @@ def oracle_sql() -> dict[str, str]:
         "sink_protocol": f"WITH {FINAL} SELECT item_key, 'jobs' AS niche FROM final",
         "stream_page_dedupe": f"SELECT DISTINCT lower({_FIRST_LINE}) || '|' || lower({_site('url')}) AS item_key FROM pages",
         "stream_recency": f"SELECT event_id FROM ({TIMES}) WHERE {_fresh()}",
-        "stream_fan_out": f"""WITH {REPLIES} SELECT DISTINCT {_KEY} AS item_key FROM records
-            WHERE {_strip('titulo')} <> '' AND {_strip('empresa')} <> ''""",
+        "stream_fan_out": f"""WITH {REPLIES}, ranked AS (SELECT *, {_KEY} AS item_key,
+              row_number() OVER (PARTITION BY {_KEY} ORDER BY batch_id, pos) AS place FROM records),
+            stored AS (SELECT * FROM ranked WHERE place = 1 AND {_strip('titulo')} <> '' AND {_strip('empresa')} <> '')
+            SELECT item_key, titulo, empresa, salario, array_to_string(requisitos, ', ') AS requisitos,
+              (SELECT count(*) FROM stored) AS n_notes FROM stored""",
         "schema_spec": f"""WITH {REPLIES}, {HARDWARE}
             SELECT count(*) FILTER (WHERE valid) AS n_valid, count(*) FILTER (WHERE NOT valid) AS n_rejected, 'jobs' AS niche FROM judged
             UNION ALL SELECT count(*) FILTER (WHERE valid), count(*) FILTER (WHERE NOT valid), 'hardware' FROM hardware""",

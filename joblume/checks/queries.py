@@ -460,13 +460,15 @@ def stream_fan_out(spark, sf):
     fx.replies(spark, sf).write.parquet(f"{path}/landed")
     arriving = stream.read_stream(spark, f"{path}/landed", "batch_id long, response string")
     parsed = replies.parse_replies(arriving).withColumn("source_url", F.lit("https://list.example/"))
-    found = replies.explode_records(parsed, ["batch_id", "source_url"]).withColumn("item_key", records.item_key())
-    items = records.repair(records.require_fields(stream.dedupe_stream(found)))
+    items = replies.explode_records(parsed, ["batch_id", "source_url"]).withColumn("item_key", records.item_key())
     order = ["batch_id", "pos"]
     sinks = [NoteTable(f"{path}/notes", fx.NOW, order), TicketOutbox(f"{path}/outbox", None, order),
              JobsTable(f"{path}/jobs", fx.NOW)]
-    stream.start_fan_out(items, sinks, "jobs", f"{path}/checkpoint", order, f"{path}/work").awaitTermination()
-    return spark.read.parquet(f"{path}/jobs").select(records.item_key().alias("item_key"))
+    stream.start_fan_out(items, sinks, "jobs", f"{path}/checkpoint", order, f"{path}/work",
+                         lambda first: records.repair(records.require_fields(first))).awaitTermination()
+    notes = spark.read.parquet(f"{path}/notes").agg(F.count(F.lit(1)).alias("n_notes"))
+    return spark.read.parquet(f"{path}/jobs").select(
+        records.item_key().alias("item_key"), "titulo", "empresa", "salario", "requisitos").crossJoin(F.broadcast(notes))
 
 
 # -- extension surface

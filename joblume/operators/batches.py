@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
@@ -61,7 +62,8 @@ def join_details(links: DataFrame, details: DataFrame, keep_missing: bool = Fals
 
 def missing_details(links: DataFrame, details: DataFrame) -> DataFrame:
     """Links without a page: told, not fatal."""
-    return links.join(details.select("href"), "href", "left_anti")
+    return spread_join(links, details.select("href"), "href", "left_anti",
+                       [c for c in links.columns if c != "href"])
 
 
 def batch_texts(linked: DataFrame, keys: list[str], text: str = "clean_text") -> DataFrame:
@@ -95,12 +97,21 @@ def build_requests(texts: DataFrame, text: str, niche: str = "jobs", model: str
     })
 
 
-def call_extractor(requests: DataFrame, extractor: Callable[[str, str], str], keys: list[str],
-                   text: str) -> DataFrame:
+# How often a call is tried, and the shortest and longest wait in seconds.
+ATTEMPTS = 5
+WAIT = (10.0, 60.0)
+
+
+def call_extractor(requests: DataFrame, extractor: Callable[[str, str], str], keys: list[str], text: str,
+                   attempts: int = ATTEMPTS, wait: tuple[float, float] = WAIT,
+                   final: tuple[type[Exception], ...] = (ValueError, TypeError)) -> DataFrame:
     """The seam to a model: ``extractor(system, text) -> JSON``, called in the tasks.
 
-    A failing call loses its own batch only: the reply is NULL and the reason is
-    in ``call_error``.  Land the result before using it twice, or calls repeat.
+    A failing call is tried ``attempts`` times in all, with waits that double
+    between the two bounds; errors of the ``final`` kinds are not tried again.
+    What fails to the end loses its own batch only: the reply is NULL and the
+    reason is in ``call_error``.  Land the result before using it twice, or
+    calls repeat; ``unanswered`` picks what may be sent again.
     """
     fields = {field.name: field for field in requests.schema.fields}
     schema = ", ".join(f"`{key}` {fields[key].dataType.simpleString()}" for key in keys)
@@ -109,13 +120,24 @@ def call_extractor(requests: DataFrame, extractor: Callable[[str, str], str], ke
         for frame in frames:
             replies, errors = [], []
             for system, content in zip(frame.pop("_system"), frame.pop("_content")):
-                try:
-                    replies.append(extractor(system, content))
-                    errors.append(None)
-                except Exception as failure:
-                    replies.append(None)
-                    errors.append(f"{type(failure).__name__}: {failure}")
+                for attempt in range(max(1, attempts)):
+                    try:
+                        answer = extractor(system, content), None
+                        break
+                    except Exception as failure:
+                        answer = None, f"{type(failure).__name__}: {failure}"
+                        if isinstance(failure, final) or attempt + 1 >= attempts:
+                            break
+                        time.sleep(min(wait[0] * 2**attempt, wait[1]))
+                replies.append(answer[0])
+                errors.append(answer[1])
             yield frame.assign(response=replies, call_error=errors)
 
     return (requests.select(*keys, F.col("messages")[0]["content"].alias("_system"), F.col(text).alias("_content"))
             .mapInPandas(call, f"{schema}, response string, call_error string"))
+
+
+def unanswered(requests: DataFrame, answered: DataFrame, keys: list[str]) -> DataFrame:
+    """Requests whose landed call failed, to be sent again; what was answered is not paid for twice."""
+    failed = answered.where(F.col("call_error").isNotNull()).select(*keys)
+    return requests.join(failed, keys, "left_semi")

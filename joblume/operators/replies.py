@@ -24,20 +24,22 @@ NUMBER_TEXT = (r"(?i)^[+-]?(?:(?:\d+(?:_\d+)*(?:\.(?:\d+(?:_\d+)*)?)?|\.\d+(?:_\
 def parse_json(response: Column) -> Column:
     """The reply as a VARIANT, NULL unless all of it is one JSON value.
 
-    The parser ignores what follows a value.  As first of two elements the
-    reply cannot have anything behind it: the list would be longer, shorter or
-    no JSON.
+    The parser ignores what follows a value.  A reply that closes the list and
+    goes on, or brings elements of its own, makes a list of another length
+    either as its first element or as its last.
     """
-    return _first_of_pair(_parse_pair(response))
+    return _first_of_pair(_parse_pair(response), _parse_pair(response, last=True))
 
 
-def _parse_pair(response: Column) -> Column:
-    return F.try_parse_json(F.concat(F.lit("["), response, F.lit(",0]")))
+def _parse_pair(response: Column, last: bool = False) -> Column:
+    before, behind = ("[0,", "]") if last else ("[", ",0]")
+    return F.try_parse_json(F.concat(F.lit(before), response, F.lit(behind)))
 
 
-def _first_of_pair(pair: Column) -> Column:
-    items = F.try_variant_get(pair, "$", "array<variant>")
-    return F.when(F.size(items) == 2, F.try_variant_get(pair, "$[0]", "variant"))
+def _first_of_pair(pair: Column, turned: Column) -> Column:
+    def length(list_):
+        return F.size(F.try_variant_get(list_, "$", "array<variant>"))
+    return F.when((length(pair) == 2) & (length(turned) == 2), F.try_variant_get(pair, "$[0]", "variant"))
 
 
 def _type(value: Column) -> Column:
@@ -126,7 +128,8 @@ def parse_replies(replies: DataFrame, spec: SchemaSpec = JOBS, per_record: bool
     accepted = F.lit(True) if per_record else F.forall(checked, lambda c: c["ok"])
     judged = (replies
               .withColumn("_pair", _parse_pair(F.col("response")))
-              .withColumn("_reply", _first_of_pair(F.col("_pair")))
+              .withColumn("_turned", _parse_pair(F.col("response"), last=True))
+              .withColumn("_reply", _first_of_pair(F.col("_pair"), F.col("_turned")))
               .withColumn("_opened", F.when(is_object, F.transform(records, lambda r: _opened(r, spec))))
               .withColumn("_checked", F.transform("_opened", lambda r: _check(r, spec)))
               .withColumn("_good", F.when(accepted, F.transform(good, lambda c: c["value"]))))

@@ -7,10 +7,6 @@ from pyspark.sql import functions as F
 
 from joblume.session import checkpoint_root
 
-# At most this many keys get several slots; whatever key is not among them has
-# at most 1/HOT_KEYS of all rows.  The table that names them is broadcast: 1,000
-# rows of two numbers, whatever the data.
-HOT_KEYS = 1000
 ROWS_PER_SLOT = 1_000_000
 COUNT_ONE_IN = 64
 CHUNK = 65_536
@@ -21,8 +17,9 @@ def spread_join(left: DataFrame, right: DataFrame, on: str, how: str,
                 row_id: list[str], rows_per_slot: int = ROWS_PER_SLOT) -> DataFrame:
     """Equi-join of ``left``, where keys may be hot, with ``right``, where each is rare.
 
-    A hot key's left rows go to as many slots as they need, its right rows to
-    each of them.  ``how`` is inner, left, left_semi or left_anti.  How hot keys
+    The left rows of every key of more than ``rows_per_slot`` go to as many slots
+    as they need, its right rows to each of them; such keys number
+    ``rows / rows_per_slot`` at most, and are broadcast only if they fit.  ``how`` is inner, left, left_semi or left_anti.  How hot keys
     are is estimated from one left row in 64; the estimate decides on slots
     only, and the result is that of a plain join whatever it says.
 
@@ -32,16 +29,16 @@ def spread_join(left: DataFrame, right: DataFrame, on: str, how: str,
     if how not in ("inner", "left", "left_semi", "left_anti"):
         raise ValueError(f"join type {how!r} cannot be spread")
     counted = left.where(F.pmod(F.xxhash64(*row_id), F.lit(COUNT_ONE_IN)) == 0)
-    hot = (counted.groupBy(F.xxhash64(on).alias("_hash"))
-           .agg((F.count(F.lit(1)) * COUNT_ONE_IN).alias("_rows"))
-           .where(F.col("_rows") > rows_per_slot)
-           .orderBy(F.desc("_rows"), "_hash").limit(HOT_KEYS)
-           .select("_hash", F.ceil(F.col("_rows") / rows_per_slot).cast("int").alias("_slots")))
+    hot, size = measured(
+        counted.groupBy(F.xxhash64(on).alias("_hash"))
+        .agg((F.count(F.lit(1)) * COUNT_ONE_IN).alias("_rows")).where(F.col("_rows") > rows_per_slot)
+        .select("_hash", F.ceil(F.col("_rows") / rows_per_slot).cast("int").alias("_slots")))
+    hot = hot.hint("broadcast" if size <= BROADCAST_BYTES else "merge")
     slots = F.coalesce(F.col("_slots"), F.lit(1))
 
     def with_slots(side):
         return (side.withColumn("_hash", F.xxhash64(on))
-                .join(F.broadcast(hot), "_hash", "left").drop("_hash"))
+                .join(hot, "_hash", "left").drop("_hash"))
 
     salted = (with_slots(left)
               .withColumn("_slot", F.pmod(F.xxhash64(*row_id), slots).cast("int")).drop("_slots"))
@@ -57,11 +54,16 @@ def measured(small: DataFrame) -> tuple[DataFrame, int]:
     """
     checkpoint_root(small.sparkSession)
     kept = small.checkpoint()
-    widths = {"string": lambda c: F.coalesce(F.octet_length(c), F.lit(0)),
-              "array<int>": lambda c: F.greatest(F.size(c), F.lit(0)) * 4}
     row = F.lit(16)
     for name, kind in kept.dtypes:
-        row = row + widths.get(kind, lambda c: F.lit(16))(F.col(name))
+        column = F.col(f"`{name}`")
+        if kind in ("string", "binary"):
+            width = F.octet_length(column)
+        elif kind.startswith(("array", "map", "struct")):
+            width = F.length(F.to_json(F.struct(column)))   # no shorter than what it stands for, but for numbers of one digit
+        else:
+            width = F.lit(16)
+        row = row + F.coalesce(width, F.lit(16))
     return kept, kept.agg(F.sum(row)).first()[0] or 0
 
 
@@ -71,7 +73,8 @@ def number_within(rows: DataFrame, group: list[str], position: str, name: str,
 
     A plain window would sort a whole group in one task.  Here a task sorts one
     chunk of positions, and what is added up over a group is one count per
-    chunk.
+    chunk.  That is little for dense positions only; give no sparse ones, such
+    as those of ``monotonically_increasing_id``.
     """
     chunked = rows.withColumn("_chunk", F.expr(f"`{position}` div {chunk}"))
     in_chunk = Window.partitionBy(*group, "_chunk").orderBy(position)

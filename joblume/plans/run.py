@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from joblume.functions.text import CONFIGURED_CHAR_LIMIT
 from joblume.operators import batches, links, records, replies
 from joblume.plans.specs import JOBS, SchemaSpec
-from joblume.session import scratch_path
+from joblume.session import apply_rules, scratch_path
 from joblume.sinks.base import Sink, fan_out
 from joblume.sources import pages as page_source
 from joblume.sources.url_list import first_lines
@@ -104,6 +104,7 @@ def run(spark: SparkSession, urls: DataFrame, pages: DataFrame, now: datetime |
     second run stores everything again.  ``call_partitions`` is how many tasks
     call the extractor, where its pace and not the data's size should tell.
     """
+    apply_rules(spark)
     for sink in sinks:
         if hasattr(sink, "reset"):
             sink.reset(spark)

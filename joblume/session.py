@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -33,14 +34,22 @@ def local_session(cpus: int | str = "*", shuffle_partitions: int = 8,
     return builder.getOrCreate()
 
 
+def apply_rules(spark: SparkSession) -> None:
+    """Settings that results depend on, for a session that somebody else made."""
+    spark.conf.set("spark.sql.variant.allowDuplicateKeys", "true")
+
+
 def checkpoint_root(spark: SparkSession) -> str:
     """The shared folder for checkpoints and stage tables.
 
-    A cluster names it in ``spark.checkpoint.dir``.  Only where that is unset,
-    as in local tests, a temporary folder is made and put in its place.
+    A cluster names it in ``spark.checkpoint.dir``.  Only where that is unset
+    and the master is local, as in tests, a temporary folder is made and put in
+    its place; on a cluster other machines would not see it.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
         root = tempfile.mkdtemp(prefix="joblume-")
         spark.conf.set("spark.checkpoint.dir", root)
     # checkpoint() itself reads the context, which knows the folder only if it

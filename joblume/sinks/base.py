@@ -5,7 +5,8 @@ from __future__ import annotations
 from collections.abc import Sequence
 from typing import Protocol
 
-from pyspark.sql import DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession
 
 
 class Sink(Protocol):
@@ -18,9 +19,22 @@ class Sink(Protocol):
     def write(self, items: DataFrame, niche: str, batch_id: int | None = None) -> None: ...
 
 
+def stored(spark: SparkSession, path: str) -> DataFrame | None:
+    """What lies at ``path``; None if nothing does.  A store that cannot be read is an error."""
+    try:
+        return spark.read.parquet(path)
+    except AnalysisException as failure:
+        if failure.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):   # no folder, or no file in it
+            return None
+        raise
+
+
 def store(frame: DataFrame, path: str, batch_id: int | None, format: str = "parquet",
           mode: str = "append", **options) -> None:
     if batch_id is not None:
+        if not path:
+            # such a store has no part per batch that a replay could replace
+            raise ValueError(f"a stream needs a store with a path; {format} without one would be overwritten or repeated")
         path, mode = f"{path.rstrip('/')}/batch_id={batch_id}", "overwrite"
     writer = frame.write.format(format).mode(mode).options(**options)
     writer.save(path) if path else writer.save()
@@ -37,5 +51,5 @@ def fan_out(items: DataFrame, sinks: Sequence[Sink], niche: str, batch_id: int |
             sink.write(items, niche, batch_id)
             status.append((number, type(sink).__name__, None))
         except Exception as failure:
-            status.append((number, type(sink).__name__, f"{type(failure).__name__}: {failure}"[:1000]))
+            status.append((number, type(sink).__name__, f"{type(failure).__name__}: {failure}"))
     return items.sparkSession.createDataFrame(status, "sink_no int, sink string, error string")

@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from joblume.functions.recency import now_column
-from joblume.sinks.base import store
+from joblume.sinks.base import store, stored
 
 COLUMNS = ["titulo", "empresa", "localizacao", "origem", "salario", "requisitos", "link_inscricao"]
 
@@ -27,20 +26,20 @@ class JobsTable:
 
     ``id`` is unique and above all stored ones, but not dense: dense numbers
     would need one task to count them out.  Another ``format`` (say ``jdbc``)
-    with its ``options`` writes elsewhere; the key then is the store's own.
+    with its ``options`` writes elsewhere; the key then is the store's own, and
+    a stream into it is refused, as a replayed batch could not replace itself.
     """
 
     def __init__(self, path: str = "", now=None, format: str = "parquet", **options):
         self.path, self.now, self.format, self.options = path, now, format, options
 
     def last_id(self, items: DataFrame, batch_id: int | None) -> int:
-        try:
-            stored = items.sparkSession.read.parquet(self.path)
-        except AnalysisException:
+        rows = stored(items.sparkSession, self.path)
+        if rows is None:
             return 0
-        if batch_id is not None and "batch_id" in stored.columns:
-            stored = stored.where(F.col("batch_id") != batch_id)
-        return stored.agg(F.max("id")).first()[0] or 0
+        if batch_id is not None and "batch_id" in rows.columns:
+            rows = rows.where(F.col("batch_id") != batch_id)
+        return rows.agg(F.max("id")).first()[0] or 0
 
     def write(self, items: DataFrame, niche: str, batch_id: int | None = None) -> None:
         rows = job_rows(items, self.now)

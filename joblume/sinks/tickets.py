@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 
 from joblume.operators.tickets import drop_known, drop_repeats, with_ticket_fields
 from joblume.session import checkpoint_root
-from joblume.sinks.base import store
+from joblume.sinks.base import store, stored
 
 
 def new_tickets(items: DataFrame, known: DataFrame | None, order: list[str] | None = None) -> DataFrame:
@@ -26,13 +25,12 @@ class TicketOutbox:
         self.path, self.known, self.order = path, known, order
 
     def titles(self, spark: SparkSession, batch_id: int | None) -> DataFrame | None:
-        try:
-            sent = spark.read.parquet(self.path)
-            if batch_id is not None and "batch_id" in sent.columns:
-                sent = sent.where(sent.batch_id != batch_id)
-            sent = sent.select("title")
-        except AnalysisException:
+        sent = stored(spark, self.path)
+        if sent is None:
             return self.known
+        if batch_id is not None and "batch_id" in sent.columns:
+            sent = sent.where(sent.batch_id != batch_id)
+        sent = sent.select("title")
         return sent if self.known is None else self.known.select("title").unionByName(sent)
 
     def write(self, items: DataFrame, niche: str, batch_id: int | None = None) -> None:

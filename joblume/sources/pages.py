@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from joblume.operators.skew import BROADCAST_BYTES, measured, spread_join
 
+FILTER_BITS = 1 << 26
+
 
 def has_content(pages: DataFrame) -> DataFrame:
     """Pages with something in them; white space is something."""
@@ -23,7 +25,9 @@ def fetch(pages: DataFrame, wanted: DataFrame, reduce: Callable[[DataFrame], Dat
     (url, page_id) alone, so that this pass does not read ``html``.  Then a
     list of wanted pages that is short, as measured, is broadcast and filters
     the scan; a long one is joined by both columns, which also spreads the
-    copies of a page.
+    copies of a page.  Before that join a bit filter, which is broadcast and of
+    bounded size, takes unwanted pages out of the scan, so that their ``html``
+    is not shuffled; what it lets through by chance the join takes out.
 
     ``reduce`` makes narrow rows of pages, row by row, keeping ``url`` and
     ``page_id``.  It is done on wanted pages only, unless most are wanted and
@@ -39,12 +43,30 @@ def fetch(pages: DataFrame, wanted: DataFrame, reduce: Callable[[DataFrame], Dat
     place = ["url", "page_id"]
     strategy = "broadcast" if size <= broadcast_limit else "merge"
     hinted = latest.hint(strategy)
-    if strategy == "merge" and latest.count() * 2 > pages.count():
-        return reduce(pages).join(hinted, place)
+    if strategy == "merge":
+        n = latest.count()
+        if n * 2 > pages.agg(F.approx_count_distinct("url")).first()[0]:
+            return reduce(pages).join(hinted, place)
+        pages = probably_in(pages, latest, place, n)
     chosen = reduce(pages.join(latest.select(*place).hint(strategy), place, "left_semi"))
     return chosen.join(hinted, place) if len(latest.columns) > 2 else chosen
 
 
+def probably_in(rows: DataFrame, wanted: DataFrame, key: list[str], n: int) -> DataFrame:
+    """``rows`` without most of those whose ``key`` is not among the ``n`` of ``wanted``.
+
+    Eight bits a key, but no more than FILTER_BITS, in words of 32 that are
+    broadcast: at most 2,097,152 rows of two numbers.
+    """
+    bits = min(FILTER_BITS, max(32, 8 * n))
+    at = F.pmod(F.xxhash64(*key), F.lit(bits))
+    words = (wanted.select(at.alias("_at")).groupBy(F.expr("_at div 32").alias("_word"))
+             .agg(F.bit_or(F.expr("shiftleft(1L, CAST(_at % 32 AS INT))")).alias("_bits")))
+    return (rows.withColumn("_at", at).withColumn("_word", F.expr("_at div 32"))
+            .join(F.broadcast(words), "_word")
+            .where("(shiftright(_bits, CAST(_at % 32 AS INT)) & 1) = 1").select(*rows.columns))
+
+
 def lookup(urls: DataFrame, pages: DataFrame) -> DataFrame:
     """Every line of the list with its page; a URL without one has NULLs.
 
@@ -55,4 +77,4 @@ def lookup(urls: DataFrame, pages: DataFrame) -> DataFrame:
 
 def missing(urls: DataFrame, found: DataFrame) -> DataFrame:
     """Lines whose URL is not among those ``found``: the dead letters of the run."""
-    return urls.join(found.select("url").distinct(), "url", "left_anti")
+    return spread_join(urls, found.select("url").distinct(), "url", "left_anti", ["line_no"])

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from datetime import datetime
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 
 from joblume.functions.recency import MAX_AGE_HOURS, is_recent, iso_moment, now_column
 from joblume.operators.skew import first_per_key
-from joblume.session import scratch_path
-from joblume.sinks.base import Sink, fan_out
+from joblume.session import apply_rules, scratch_path
+from joblume.sinks.base import Sink, fan_out, store, stored
 
 PAGES_SCHEMA = "page_id long, url string, html string"
 
@@ -53,26 +53,41 @@ def recent_stream(cards: DataFrame, key: str, now: datetime | str | Column, **re
 
 
 def start_fan_out(items: DataFrame, sinks: Sequence[Sink], niche: str, checkpoint: str,
-                  order: list[str] | None = None, work_dir: str | None = None):
+                  order: list[str] | None = None, work_dir: str | None = None,
+                  finish: Callable[[DataFrame], DataFrame] | None = None, trigger: dict | None = None):
     """Each micro-batch to all sinks; a batch that is replayed replaces its own output.
 
-    A sink that failed is told at the end of the batch, after the others wrote,
-    so that the batch is tried again.
+    With ``order`` give all records, repeats included: of equal keys the first
+    in that order passes within a micro-batch, and what an earlier one let pass
+    is kept out of later ones by the keys stored beside the checkpoint.  Then
+    ``finish`` makes the final records.  A sink that failed is told at the end
+    of the batch, after the others wrote, so that the batch is tried again.
+
+    ``trigger`` is as for ``writeStream.trigger``; without it the stream ends
+    with what there is.
     """
-    folder = work_dir or scratch_path(items.sparkSession, "stream")
+    folder, keys = work_dir or scratch_path(items.sparkSession, "stream"), f"{checkpoint.rstrip('/')}-keys"
 
     def write(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        path = f"{folder}/batch-{batch_id}"
-        batch = first_per_key(batch, ["item_key"], order) if order else batch
+        if order:
+            apply_rules(spark)
+            batch = first_per_key(batch, ["item_key"], order)
+            seen = stored(spark, keys)
+            if seen is not None:
+                batch = batch.join(seen.where(F.col("batch_id") != batch_id).select("item_key"), "item_key", "left_anti")
+        path = f"{folder}/batch"
         batch.write.mode("overwrite").parquet(path)
-        status = fan_out(spark.read.parquet(path), sinks, niche, batch_id)
+        landed = spark.read.parquet(path)
+        if order:
+            store(landed.select("item_key"), keys, batch_id)
+        status = fan_out(finish(landed) if finish else landed, sinks, niche, batch_id)
         failed = status.where(F.col("error").isNotNull()).collect()   # one row per sink
         if failed:
             raise RuntimeError("; ".join(f"{row.sink}: {row.error}" for row in failed))
 
     return (items.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
-            .trigger(availableNow=True).start())
+            .trigger(**(trigger or {"availableNow": True})).start())
 
 
 def drain(stream: DataFrame, name: str) -> DataFrame:

@@ -55,7 +55,7 @@ def test_short_and_long_lists_fetch_the_same(spark, snapshots, limit, wanted, re
     plan = found._jdf.queryExecution().executedPlan().toString()
     expected = {"a": (2, 3), "b": (3, 0), "c": (4, None), "d": (5, 1)}
     assert {r.url: (r.page_id, r.size, r.n) for r in found.collect()} == {u: (*expected[u], ord(u)) for u in wanted}
-    assert ("BroadcastHashJoin" in plan) == (limit > 0)
+    assert ("SortMergeJoin" in plan) == (limit == 0)      # a bit filter may be broadcast before it
     assert (plan.count("SortMergeJoin") == 1) == reduced_first
 
 
