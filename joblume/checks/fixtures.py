@@ -81,7 +81,8 @@ RECORD_JSON = f"""concat('{{"titulo": ', CASE {_BATCH} WHEN 25 THEN '7' WHEN 30
         WHEN 20 THEN concat(', "requisitos": ["', p_type, '", 1]') ELSE concat(', "requisitos": ["', p_type, '", "x"]') END,
     ', "link_inscricao": "/apply/', CAST(p_partkey AS VARCHAR(20)), '"',
     CASE {_BATCH} WHEN 35 THEN ', "extra": {{"a": 1}}' ELSE '' END, '}}')"""
-RESPONSE_JSON = """CASE batch_id % 10 WHEN 8 THEN '{"vagas": []}' WHEN 9 THEN concat('{"vagas": [', list, ']')
+RESPONSE_JSON = """CASE batch_id % 10 WHEN 8 THEN '{"vagas": []}' WHEN 9 THEN
+    concat('{"vagas": [', list, CASE WHEN batch_id % 20 = 9 THEN ']' ELSE ']},1]' END)
     ELSE concat('{"vagas": [', list, ']}') END"""
 
 # keys stored by an earlier run, with repeats

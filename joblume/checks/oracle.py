@@ -285,7 +285,7 @@ def oracle_sql() -> dict[str, str]:
         "stream_fan_out": f"""WITH {REPLIES}, ranked AS (SELECT *, {_KEY} AS item_key,
               row_number() OVER (PARTITION BY {_KEY} ORDER BY batch_id, pos) AS place FROM records),
             stored AS (SELECT * FROM ranked WHERE place = 1 AND {_strip('titulo')} <> '' AND {_strip('empresa')} <> '')
-            SELECT item_key, titulo, empresa, salario, array_to_string(requisitos, ', ') AS requisitos,
+            SELECT item_key, titulo, empresa, salario, requisitos,
               (SELECT count(*) FROM stored) AS n_notes FROM stored""",
         "schema_spec": f"""WITH {REPLIES}, {HARDWARE}
             SELECT count(*) FILTER (WHERE valid) AS n_valid, count(*) FILTER (WHERE NOT valid) AS n_rejected, 'jobs' AS niche FROM judged
