@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-import re
-from collections import Counter, defaultdict
+from collections import defaultdict
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -17,9 +17,8 @@ from joblume.llm.common import land, runs
 TOP = 400  # n-grams of a profile
 MAX_LANGUAGES = 1000  # a profile table of more languages than there are is a mistake in the labels
 UNDETERMINED = "und"
-_BATCH_BYTES = 8 * 1024 * 1024
-_CACHED_TOKENS = 300_000
-_LETTERS = re.compile(r"[^\W\d_]+")
+_BATCH_BYTES = 1024 * 1024
+_HELD_GRAMS = 1_000_000
 
 
 def held_out(doc_id: Column) -> Column:
@@ -27,59 +26,38 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.pmod(F.crc32(doc_id.cast("string")), F.lit(5)) == 0, F.lit(False))
 
 
-class Grams:
-    """Counts of the 1-, 2- and 3-grams of the words of a text, words with a blank on either side.
+@lru_cache(maxsize=1)
+def _letters() -> np.ndarray:
+    return np.fromiter((chr(i).isalpha() for i in range(0x110000)), bool, 0x110000)
 
-    An n-gram is a number, 21 bits a character, so none are mixed up.  Tokens
-    are cut once; what is known of them is dropped when it grows large.
-    """
 
-    def __init__(self):
-        self._reset()
-
-    def _reset(self):
-        self._tokens: dict[str, np.ndarray] = {}
-        self._numbers: dict[int, int] = {}
-        self._codes: list[int] = []
-        self._code_array = np.empty(0, np.int64)
-
-    def _of(self, token: str) -> np.ndarray:
-        numbers = []
-        for word in _LETTERS.findall(token):
-            points = [32, *map(ord, word), 32]
-            for n in (1, 2, 3):
-                for i in range(len(points) - n + 1):
-                    code = 0
-                    for point in points[i:i + n]:
-                        code = code << 21 | point
-                    if code == 32:
-                        continue
-                    number = self._numbers.get(code)
-                    if number is None:
-                        number = self._numbers[code] = len(self._codes)
-                        self._codes.append(code)
-                    numbers.append(number)
-        return np.array(numbers, np.int64)
-
-    def count(self, tokens: Counter) -> tuple[np.ndarray, np.ndarray]:
-        """(n-grams, counts)."""
-        if len(self._tokens) > _CACHED_TOKENS or len(self._codes) > _CACHED_TOKENS:
-            self._reset()
-        known, parts = self._tokens, []
-        for token in tokens:
-            part = known.get(token)
-            if part is None:
-                part = known[token] = self._of(token)
-            parts.append(part)
-        if not parts:
-            return np.empty(0, np.int64), np.empty(0, np.int64)
-        weights = np.repeat(np.fromiter(tokens.values(), np.int64, len(parts)),
-                            np.fromiter(map(len, parts), np.int64, len(parts)))
-        counts = np.bincount(np.concatenate(parts), weights, len(self._codes))
-        if len(self._code_array) != len(self._codes):
-            self._code_array = np.array(self._codes, np.int64)
-        seen = np.flatnonzero(counts)
-        return self._code_array[seen], counts[seen].astype(np.int64)
+def gram_codes(text: str) -> np.ndarray:
+    """The 1-, 2- and 3-grams of the words of a text, words with a blank on either side.
+
+    An n-gram is a number, 21 bits a character, so none are mixed up.
+    """
+    points = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), np.uint32)
+    letter = np.concatenate([[False], _letters()[points], [False]])
+    blank_after = np.concatenate([letter[1:], [False]]) | np.concatenate([[False], letter[:-1]])
+    one = np.where(letter, np.concatenate([[32], points, [32]]).astype(np.int64), 32)[letter | blank_after]
+    two = one[:-1] << 21 | one[1:]
+    three = two[:-1] << 21 | one[2:]
+    blank = one == 32
+    # two blanks in a row part words, and no 3-gram reaches over a blank
+    return np.concatenate([one[~blank], two[~(blank[:-1] & blank[1:])], three[~blank[1:-1]]])
+
+
+def count_grams(codes: np.ndarray, weights: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(n-grams in order, counts)."""
+    if weights is None:
+        codes = np.sort(codes)
+    else:
+        order = np.argsort(codes, kind="stable")
+        codes, weights = codes[order], weights[order]
+    first = np.flatnonzero(np.concatenate([codes[:1] == codes[:1], codes[1:] != codes[:-1]]))
+    if weights is None:
+        return codes[first], np.diff(np.append(first, len(codes)))
+    return codes[first], np.add.reduceat(weights, first) if len(first) else weights[:0]
 
 
 def ranked(codes: np.ndarray, counts: np.ndarray, top: int) -> np.ndarray:
@@ -91,16 +69,47 @@ def ranked(codes: np.ndarray, counts: np.ndarray, top: int) -> np.ndarray:
     return codes[np.lexsort((codes, -counts))][:top]
 
 
+class _Totals:
+    """Counts by language; what was counted is put together whenever it has grown."""
+
+    def __init__(self):
+        self._parts: dict[str, list[tuple[np.ndarray, np.ndarray]]] = defaultdict(list)
+        self.size = 0
+
+    def add(self, lang: str, text: str):
+        part = count_grams(gram_codes(text))
+        self._parts[lang].append(part)
+        self.size += len(part[0])
+        if self.size > 2 * _HELD_GRAMS:
+            self.compact()
+
+    def compact(self):
+        for lang, parts in self._parts.items():
+            codes, counts = (np.concatenate(x) for x in zip(*parts, strict=True))
+            self._parts[lang] = [count_grams(codes, counts)]
+        self.size = sum(len(p[0][0]) for p in self._parts.values())
+
+    def rows(self) -> Iterator[pa.RecordBatch]:
+        self.compact()
+        for lang, [(codes, counts)] in self._parts.items():
+            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(codes), pa.string()), pa.array(codes),
+                                              pa.array(counts.astype(np.int64))], ["lang", "gram", "n"])
+
+
 def _learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    grams = Grams()
+    totals = _Totals()
     for rows in runs(batches, _BATCH_BYTES):
-        tokens = defaultdict(Counter)
+        texts = defaultdict(list)
         for lang, text in zip(rows["lang"].to_pylist(), rows["text"].to_pylist(), strict=True):
-            tokens[lang].update(text.lower().split())
-        for lang, found in tokens.items():
-            codes, counts = grams.count(found)
-            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(codes), pa.string()), pa.array(codes),
-                                              pa.array(counts)], ["lang", "gram", "n"])
+            texts[lang].append(text)
+        for lang, some in texts.items():
+            totals.add(lang, "\n".join(some))
+        if totals.size > _HELD_GRAMS:
+            totals.compact()
+            if totals.size > _HELD_GRAMS:
+                yield from totals.rows()
+                totals = _Totals()
+    yield from totals.rows()
 
 
 def learn_profiles(docs: DataFrame, top: int = TOP) -> DataFrame:
@@ -122,19 +131,18 @@ class _Profiles:
     def __init__(self, rows: pa.Table, top: int):
         self.names = sorted(set(rows["lang"].to_pylist()))
         where = {name: i for i, name in enumerate(self.names)}
-        self.grams = np.unique(rows["gram"].to_numpy())
         # the last column stands for n-grams of no profile
-        self.ranks = np.full((len(self.names), len(self.grams) + 1), -1, np.int64)
+        self.grams = np.append(np.unique(rows["gram"].to_numpy()), -1)
+        self.ranks = np.full((len(self.names), len(self.grams)), -1, np.int64)
         self.ranks[[where[x] for x in rows["lang"].to_pylist()],
-                   np.searchsorted(self.grams, rows["gram"].to_numpy())] = rows["rank"].to_numpy()
+                   np.searchsorted(self.grams[:-1], rows["gram"].to_numpy())] = rows["rank"].to_numpy()
         self.top = top
 
     def predict(self, grams: np.ndarray) -> tuple[str, float]:
         if not len(grams) or not self.names:
             return UNDETERMINED, 0.0
-        at = np.searchsorted(self.grams, grams)
-        at[at < len(self.grams)] = np.where(self.grams[at[at < len(self.grams)]] == grams[at < len(self.grams)],
-                                            at[at < len(self.grams)], len(self.grams))
+        at = np.searchsorted(self.grams[:-1], grams)
+        at[self.grams[at] != grams] = len(self.grams) - 1
         ranks = self.ranks[:, at]
         out = np.where(ranks < 0, self.top, np.abs(ranks - np.arange(len(grams))))
         distance = out.sum(axis=1) / (len(grams) * self.top)
@@ -144,10 +152,9 @@ class _Profiles:
 
 def _predict(profiles, top: int, columns: list[str]):
     def predict(batches):
-        model, grams = _Profiles(profiles.value, top), Grams()
+        model = _Profiles(profiles.value, top)
         for rows in runs(batches, _BATCH_BYTES):
-            found = [model.predict(ranked(*grams.count(Counter(text.lower().split())), top))
-                     for text in rows["text"].to_pylist()]
+            found = [model.predict(ranked(*count_grams(gram_codes(text)), top)) for text in rows["text"].to_pylist()]
             yield from rows.select(columns).append_column("lang_pred", pa.array([x[0] for x in found], pa.string())) \
                 .append_column("score", pa.array([x[1] for x in found], pa.float64())).to_batches()
     return predict
