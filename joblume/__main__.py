@@ -8,7 +8,7 @@ from importlib import import_module
 
 from pyspark.sql import SparkSession
 
-from joblume.plans.run import run
+from joblume.plans.run import lost_details, run
 from joblume.plans.specs import HARDWARE, JOBS
 from joblume.sinks.jobs_table import JobsTable
 from joblume.sinks.notes import NoteTable
@@ -42,7 +42,8 @@ def main(arguments: list[str] | None = None) -> None:
     done = run(spark, read_url_list(spark, args.urls), spark.read.parquet(args.pages), now,
                getattr(import_module(module), function), sinks,
                work_dir=f"{args.output}/work", spec=JOBS if args.niche == "jobs" else HARDWARE)
-    for name, frame in (("counters", done.counters), ("quarantine", done.quarantine), ("dead_letters", done.dead_letters)):
+    for name, frame in (("counters", done.counters), ("quarantine", done.quarantine), ("dead_letters", done.dead_letters),
+                        ("lost_details", lost_details(done.listings, spark.read.parquet(args.pages)))):
         frame.write.mode("overwrite").parquet(f"{args.output}/{name}")
     done.status.show(truncate=False)
 

@@ -243,7 +243,7 @@ def oracle_sql() -> dict[str, str]:
             CAST(0.1 AS DOUBLE) AS temperature, CAST(4096 AS BIGINT) AS max_output_tokens FROM documents""",
         "run_counters": f"""WITH {REPLIES} SELECT batch_id // 4 AS url_no, count(*) AS n_batches,
             CAST(count(*) * 5 AS BIGINT) AS n_links, CAST(sum(n_records) AS BIGINT) AS n_records,
-            count(*) FILTER (WHERE kind = 8) AS n_empty, count(*) FILTER (WHERE NOT valid) AS n_invalid
+            count(*) FILTER (WHERE kind = 8) AS n_empty, CAST(0 AS BIGINT) AS n_failed, count(*) FILTER (WHERE NOT valid) AS n_invalid
             FROM judged GROUP BY batch_id // 4""",
         "response_parse": f"WITH {REPLIES} SELECT batch_id, valid, n_records FROM judged",
         "requisitos_normalise": f"""SELECT p_partkey // 5 AS batch_id, '/apply/' || p_partkey AS link, {_KIND} NOT IN (3, 4) AS valid,

@@ -82,6 +82,13 @@ def batch_requests(listings: DataFrame, pages: DataFrame, format: str = "markdow
     return followed.unionByName(own)
 
 
+def lost_details(listings: DataFrame, pages: DataFrame, batch_size: int = links.BATCH_SIZE) -> DataFrame:
+    """(url_no, url, pos, href): linked pages of landed ``listings`` that have no snapshot.  Reads no ``html``."""
+    listed = listings.where(links.follows_links(F.size("links")))
+    linked = links.explode_links(listed, ["url_no", "url"], batch_size).select("url_no", "url", "pos", "href")
+    return batches.missing_details(linked, pages.select(F.col("url").alias("href")).distinct())
+
+
 def count_batches(parsed: DataFrame) -> DataFrame:
     """The numbers a run reports, per URL."""
     def counted(condition):
@@ -89,7 +96,8 @@ def count_batches(parsed: DataFrame) -> DataFrame:
     return (parsed.groupBy("url_no", F.col("url").alias("source_url"))
             .agg(F.count(F.lit(1)).alias("n_batches"), F.sum("n_links").alias("n_links"),
                  F.coalesce(F.sum(F.when(F.size("records") > 0, F.size("records"))), F.lit(0)).alias("n_records"),
-                 counted((F.size("records") == 0) | (F.col("reason") == "no reply")).alias("n_empty"),
+                 counted(F.size("records") == 0).alias("n_empty"),
+                 counted(F.col("reason") == "no reply").alias("n_failed"),
                  counted(F.col("reason").isNotNull() & (F.col("reason") != "no reply")).alias("n_invalid")))
 
 
@@ -97,12 +105,14 @@ def run(spark: SparkSession, urls: DataFrame, pages: DataFrame, now: datetime |
         extractor: Callable[[str, str], str], sinks: Sequence[Sink] = (), work_dir: str | None = None,
         spec: SchemaSpec = JOBS, format: str = "markdown", char_limit: int = CONFIGURED_CHAR_LIMIT,
         batch_size: int = links.BATCH_SIZE, per_record: bool = False,
-        stored: DataFrame | None = None, call_partitions: int | None = None, **link_rules) -> Run:
+        stored: DataFrame | None = None, call_partitions: int | None = None,
+        attempts: int = batches.ATTEMPTS, wait: tuple[float, float] = batches.WAIT, **link_rules) -> Run:
     """Visits ``urls`` (line_no, url) in ``pages`` and hands the records to the sinks.
 
     ``stored`` (item_key) leaves out what earlier runs stored; without it a
     second run stores everything again.  ``call_partitions`` is how many tasks
-    call the extractor, where its pace and not the data's size should tell.
+    call the extractor, where its pace and not the data's size should tell;
+    ``attempts`` and ``wait`` are those of ``call_extractor``.
     """
     apply_rules(spark)
     for sink in sinks:
@@ -114,7 +124,7 @@ def run(spark: SparkSession, urls: DataFrame, pages: DataFrame, now: datetime |
     requests = batches.build_requests(texts, "text", spec.niche)
     if call_partitions:
         requests = requests.repartition(call_partitions)
-    answered = batches.call_extractor(requests, extractor, [*KEYS, "url", "n_links"], "text")
+    answered = batches.call_extractor(requests, extractor, [*KEYS, "url", "n_links"], "text", attempts, wait)
     parsed = land(replies.parse_replies(answered, spec, per_record), folder, "replies")
     found = replies.explode_records(parsed.withColumn("source_url", F.col("url")), [*KEYS, "source_url"])
     unique = records.dedupe_first(found, key_parts=spec.key)

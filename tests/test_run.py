@@ -4,7 +4,7 @@ import sys
 import pytest
 from pyspark import cloudpickle
 
-from joblume.plans.run import run
+from joblume.plans.run import lost_details, run
 from joblume.plans.specs import HARDWARE
 from joblume.sinks.jobs_table import JobsTable
 from joblume.sinks.notes import NoteTable
@@ -56,7 +56,7 @@ def done(spark, tmp_path_factory):
     listed = [p[1] for p in PAGES if "/job/" not in p[1]] + ["https://nowhere.net/", "https://www.board.com/list"]
     urls = spark.createDataFrame(list(enumerate(listed)), "line_no long, url string")
     sinks = [NoteTable(f"{folder}/notes", NOW), TicketOutbox(f"{folder}/outbox"), JobsTable(f"{folder}/jobs", NOW)]
-    return run(spark, urls, pages, NOW, extractor, sinks, work_dir=f"{folder}/work"), folder, urls, pages
+    return run(spark, urls, pages, NOW, extractor, sinks, work_dir=f"{folder}/work", wait=(0.0, 0.0)), folder, urls, pages
 
 
 def test_items(done):
@@ -72,9 +72,11 @@ def test_counters_and_losses(done):
     counters = {r.source_url: r for r in done[0].counters.collect()}
     board = counters["https://www.board.com/list"]
     assert (board.n_links, board.n_batches, board.n_records, board.n_empty, board.n_invalid) == (7, 2, 6, 0, 0)
-    assert counters["https://bad.net/"].n_invalid == 1 and counters["https://plain.net/t"].n_empty == 1
+    assert counters["https://bad.net/"].n_invalid == 1 and (counters["https://plain.net/t"].n_failed, counters["https://plain.net/t"].n_empty) == (1, 0)
     dead = counters["https://dead.net/"]       # all pages gone: an empty text, still submitted
     assert (dead.n_batches, dead.n_links, dead.n_empty) == (1, 2, 1)
+    lost = lost_details(done[0].listings, done[3]).collect()
+    assert len([r for r in lost if r.url == "https://dead.net/"]) == 2
     assert sorted(r.url for r in done[0].dead_letters.collect()) == ["https://empty.net/", "https://nowhere.net/"]
     assert [r.url for r in done[0].quarantine.collect()] == ["https://bad.net/"]
     failed = done[0].replies.where("call_error is not null").collect()
