@@ -2,10 +2,13 @@
 
 A document is known by the signature of its shingle set, so copies are one node.
 Shingles are ordered by how often they occur, the rare ones first; two sets of
-similarity t share one of the first n - ceil(t n) + 1 of either.  The list of a
-prefix shingle is not expanded into pairs: its nodes are first compared with one
-of them each, and pairs are formed only where nodes that no link has yet joined
-meet in a list.
+similarity t share k of the first n - ceil(t n) + k of either, and prefixes are
+taken with a k of about n / 4.  So a node that shares too few of its prefix with
+anyone is left out before pairs are thought of, and of the others the most
+frequent shingles, now counted exactly, are left out: by k / 2, and k / 2 are asked
+for.  The list of a prefix shingle is
+not expanded into pairs: its nodes are first compared with one of them each, and
+pairs are formed only where nodes that no link has yet joined meet in a list.
 """
 
 from __future__ import annotations
@@ -14,7 +17,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from joblume.llm.common import hash_words, identified, land, mix, runs, text_buffer, window_hashes
@@ -24,12 +27,15 @@ WORDS = 5
 NUMERATOR, DENOMINATOR = 3, 4  # similarity of 0.75, in whole numbers
 FREQUENT = 200_000  # shingles whose counts every task gets: so many numbers, whatever the data
 OFTEN = 4  # a shingle counts as frequent in a batch from so many documents on
-STAR_ROUNDS = 2
+STAR_ROUNDS = 4  # at most; without new links there are fewer
 MEMBERS = 256  # sets that one task compares with one centre at a time
 CHUNK_BYTES = 1024 * 1024
 BATCH_BYTES = 8 * 1024 * 1024
 BUCKET_ENTRIES = 1_000_000
 SUFFIX_PARTS = 64
+EXTRA = 4  # prefixes have one shingle in so many more than one shared shingle asks for
+PEELS = 2  # times that nodes which share too little are left out
+FILTER_BITS = 1 << 24  # of the filter that picks documents whose sets are wanted: so many, whatever the data
 _BASE = 0xAF251AF3B0F025B5
 
 
@@ -86,7 +92,15 @@ def _survey(words: int):
 
 
 def prefix_length(n: int) -> int:
-    return n - -(-NUMERATOR * n // DENOMINATOR) + 1
+    return n - -(-NUMERATOR * n // DENOMINATOR) + 1 + n // EXTRA
+
+
+# what two nodes share of their prefixes at least, by the smaller size, and what a node shares with any other
+NODE_SHARES = f"(ceil({NUMERATOR}D * {{n}} / {DENOMINATOR}) div {EXTRA})"
+NODE_NEEDS = "1 + " + NODE_SHARES.format(n="n")
+# half of a node's share is left out where it is most frequent, so a pair has that much less to share
+LEFT_OUT = "(" + NODE_SHARES + " div 2)"
+PAIR_NEEDS = f"1 + least(x.n, y.n) div {EXTRA} - {LEFT_OUT.format(n='greatest(x.n, y.n)')}"
 
 
 class RareFirst:
@@ -232,12 +246,28 @@ def _unsettled(entries: DataFrame, roots: DataFrame | None) -> DataFrame:
     return known.join(mixed, "shingle", "left_semi")
 
 
+def _peel(entries: DataFrame, needs: str) -> DataFrame:
+    """Leaves out nodes with too few entries to be linked with any other, and lists of a single node."""
+    enough = entries.groupBy("sig", "n").agg(F.count(F.lit(1)).alias("_n")).where(f"_n >= {needs}").select("sig")
+    left = entries.join(enough, "sig", "left_semi")
+    shared = left.groupBy("shingle").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("shingle")
+    return land(left.join(shared, "shingle", "left_semi"), "entries")
+
+
+def _rarest(entries: DataFrame) -> DataFrame:
+    """Leaves out the entries of each node whose lists are longest, half as many as it must share."""
+    lengths = entries.groupBy("shingle").agg(F.count(F.lit(1)).alias("_length"))
+    longest = Window.partitionBy("sig").orderBy(F.desc("_length"), "shingle")
+    return land(entries.join(lengths, "shingle").withColumn("_rank", F.row_number().over(longest))
+                .where(f"_rank > {LEFT_OUT.format(n='n')}").drop("_rank", "_length"), "rarest")
+
+
 def _star_pairs(entries: DataFrame, number: int) -> DataFrame:
-    """Each node of a list with one of them, the same for all."""
+    """Each node of a list with one of them, the same for all; pairs that share half of what they need, to begin with."""
     centre = entries.groupBy("shingle").agg(F.min_by(F.struct("sig", "n", "pos", "root"),
-                                                     F.xxhash64("sig", F.lit(number))).alias("c"))
-    return (entries.alias("m").join(centre, "shingle").where("m.root <> c.root").where(F.expr(_can_link("m", "c")))
-            .select(F.col("c.sig").alias("a"), F.col("m.sig").alias("b")))
+                                                     F.xxhash64("sig", F.lit(number))).alias("x"))
+    return (entries.alias("y").join(centre, "shingle").where("y.root <> x.root").where(F.expr(_can_link("x", "y")))
+            .select(F.col("x.sig").alias("a"), F.col("y.sig").alias("b"), F.expr(f"({PAIR_NEEDS}) / 2").alias("needs")))
 
 
 def _remaining_pairs(entries: DataFrame) -> DataFrame:
@@ -248,19 +278,56 @@ def _remaining_pairs(entries: DataFrame) -> DataFrame:
     out = marked.where("_out").drop("_main", "_out")
     return (out.alias("x").join(marked.alias("y"), F.col("x.shingle") == F.col("y.shingle"))
             .where("x.root <> y.root AND (NOT y._out OR x.sig < y.sig)").where(F.expr(_can_link("x", "y")))
-            .select(F.col("x.sig").alias("a"), F.col("y.sig").alias("b")))
+            .select(F.col("x.sig").alias("a"), F.col("y.sig").alias("b"), F.expr(PAIR_NEEDS).alias("needs")))
 
 
 def _once(pairs: DataFrame, tested: DataFrame | None) -> DataFrame:
-    """Pairs without repetitions and without those tested before, whichever way round."""
+    """Pairs that share as many lists as they need, without those tested before, whichever way round."""
     both = pairs.withColumn("_low", F.least("a", "b")).withColumn("_high", F.greatest("a", "b"))
-    one = both.groupBy("_low", "_high").agg(F.first("a").alias("a"), F.first("b").alias("b"))
+    one = (both.groupBy("_low", "_high")
+           .agg(F.first("a").alias("a"), F.first("b").alias("b"), F.count(F.lit(1)).alias("_n"),
+                F.min("needs").alias("needs")).where("_n >= needs"))
     if tested is not None:
         one = one.join(tested.select(F.least("a", "b").alias("_low"), F.greatest("a", "b").alias("_high")),
                        ["_low", "_high"], "left_anti")
     return land(one.select("a", "b"), "candidates")
 
 
+def _bit(ids: np.ndarray, tags: np.ndarray) -> np.ndarray:
+    return (mix(ids.astype(np.int64).view(np.uint64) ^ tags.astype(np.uint64)) % np.uint64(FILTER_BITS)).astype(np.int64)
+
+
+def _sets(keyed: DataFrame, nodes: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
+    """(sig, shingles) of at least the ``wanted`` nodes (sig), each from one of its documents.
+
+    Which documents are read is told to the tasks by a bit filter of fixed size;
+    where it is full it lets more through, which does no harm.
+    """
+    def bits(batches):
+        for batch in batches:
+            bit = _bit(batch.column(0).to_numpy(), batch.column(1).to_numpy())
+            yield pa.RecordBatch.from_arrays([pa.array(bit // 32), pa.array(np.int64(1) << bit % 32)], ["at", "bits"])
+
+    first = nodes.groupBy("sig").agg(F.min(F.struct("_id", "_tag")).alias("f")) \
+        .join(wanted, "sig", "left_semi").select("f._id", "f._tag")
+    marked = first.mapInArrow(bits, "at long, bits long").groupBy("at").agg(F.bit_or("bits").alias("bits")).toArrow()
+    held = np.zeros(FILTER_BITS // 32, np.uint32)
+    held[marked["at"].to_numpy()] = marked["bits"].to_numpy()
+    shared = keyed.sparkSession.sparkContext.broadcast(held)
+
+    def with_sets(batches):
+        for batch in batches:
+            bit = _bit(batch.column(0).to_numpy(), batch.column(1).to_numpy())
+            some = batch.filter(pa.array(shared.value[bit // 32] >> (bit % 32).astype(np.uint32) & 1 == 1))
+            for rows in runs(iter([some]), CHUNK_BYTES):
+                sets = _sets_of(rows, words)
+                yield pa.RecordBatch.from_arrays([pa.array([signature(x) for x in sets], pa.int64()),
+                                                  pa.array([x.tobytes() for x in sets], pa.binary())],
+                                                 ["sig", "shingles"])
+
+    return land(keyed.mapInArrow(with_sets, "sig long, shingles binary"), "sets")
+
+
 def link_documents(docs: DataFrame, words: int = WORDS) -> DataFrame:
     """(_id, _tag, sig, n, root) of each distinct document: nodes of equal root are linked, directly or not."""
     keyed = identified(docs)
@@ -277,36 +344,27 @@ def link_documents(docs: DataFrame, words: int = WORDS) -> DataFrame:
                                                    "bucket int, frequent boolean, entries binary")
                    .repartition(buckets, "bucket").groupBy("bucket")
                    .applyInArrow(_shared_lists, "shingle long, sig long, n int, pos int"), "entries")
-    # one document stands for each node that shares a list
-    first = nodes.groupBy("sig").agg(F.min(F.struct("_id", "_tag")).alias("f")) \
-        .join(entries.select("sig").distinct(), "sig", "left_semi").select("f._id", "f._tag")
-
-    def with_sets(batches):
-        for rows in runs(batches, CHUNK_BYTES):
-            sets = _sets_of(rows, words)
-            yield pa.RecordBatch.from_arrays([pa.array([signature(x) for x in sets], pa.int64()),
-                                              pa.array([x.tobytes() for x in sets], pa.binary())], ["sig", "shingles"])
-
-    sets = land(keyed.join(first, ["_id", "_tag"], "left_semi").mapInArrow(with_sets, "sig long, shingles binary")
-                .groupBy("sig").agg(F.first("shingles").alias("shingles")), "sets")
-    roots = tested = links = None
-    for number in range(STAR_ROUNDS + 1):
+    for _ in range(PEELS):
+        entries = _peel(entries, NODE_NEEDS)
+    entries = _peel(_rarest(entries), f"{NODE_NEEDS} - {LEFT_OUT.format(n='n')}")
+    roots = tested = None
+    number, last = 0, False
+    while not last:
         unsettled = land(_unsettled(entries, roots), "lists")
-        pairs = _star_pairs(unsettled, number) if number < STAR_ROUNDS else _remaining_pairs(unsettled)
-        pairs = _once(pairs, tested)
+        last = number >= STAR_ROUNDS
+        pairs = _once(_remaining_pairs(unsettled) if last else _star_pairs(unsettled, number), tested)
+        number += 1
         if pairs.isEmpty():
-            if number < STAR_ROUNDS:
-                continue
-            break
-        found = land(_verify(pairs, sets), "links")
+            number = STAR_ROUNDS
+            continue
+        wanted = pairs.select(F.explode(F.array("a", "b")).alias("sig")).distinct()
+        found = land(_verify(pairs, _sets(keyed, nodes, wanted, words)).distinct(), "links")
         tested = pairs if tested is None else tested.unionByName(pairs)
-        links = found if links is None else links.unionByName(found)
+        if found.isEmpty():
+            number = STAR_ROUNDS
+            continue
         # what earlier rounds joined goes in as one link per node
-        old = [] if roots is None else [roots.toDF("a", "b")]
-        joined = found
-        for more in old:
-            joined = joined.unionByName(more)
-        roots = components(joined)
+        roots = components(found if roots is None else found.unionByName(roots.toDF("a", "b")))
     if roots is None:
         return nodes.withColumn("root", F.col("sig"))
     return (nodes.join(roots.withColumnRenamed("node", "sig"), "sig", "left")
