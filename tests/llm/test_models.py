@@ -7,7 +7,8 @@ import numpy as np
 import pytest
 
 from joblume.llm import toxicity
-from joblume.llm.decontamination import common_subsequence, find_leaks, latent_basis, verified
+from joblume.llm.decontamination import (STRIDE, _memberships, common_subsequence, find_leaks, held_words, latent_basis,
+                                         verified)
 from joblume.llm.language_id import count_grams, gram_codes, learn_and_identify, learn_profiles, ranked
 from joblume.llm.toxicity import fit, score_toxicity
 
@@ -138,6 +139,31 @@ def test_leaks(spark, documents, odd):
     assert find_leaks(documents(rows), table.limit(0)).count() == 0
 
 
+def test_verbatim_items_inside_repeated_words(spark, documents):
+    r = random.Random(7)
+    items = [(i, " ".join(f"v{r.randrange(1500)}" for _ in range(r.randrange(20, 60)))) for i in range(40)]
+    rows, expected = [], set()
+    for i, text in items:
+        for k, word in enumerate(r.sample(" ".join(t for _, t in items).split(), 3)):
+            rows.append((100 * i + k, " ".join([word] * 60 + [text] + [word] * 60)))
+            expected.add((100 * i + k, i))
+    table = spark.createDataFrame(items, "item_id long, text string")
+    assert {(x.doc_id, x.item_id) for x in find_leaks(documents(rows), table).collect()} >= expected
+
+
+def test_counted_words_against_sets():
+    r = np.random.default_rng(8)
+    words = np.arange(30, dtype=np.uint64)
+    pieces = [r.choice(words, r.integers(1, 65)) for _ in range(11)] + [np.zeros(64, np.uint64)]
+    for width in (3, 4):
+        text = r.choice(30, 700) * (r.random(700) < 0.7)
+        starts = np.arange(-(-700 // STRIDE))
+        held = held_words(np.arange(700) // STRIDE, text, len(starts), _memberships(pieces, words), starts, width)
+        for s in starts:
+            there = set(text[s * STRIDE:(s + width) * STRIDE].tolist())
+            assert held[s, :12].tolist() == [sum(w in there for w in p.tolist()) for p in pieces]
+
+
 def test_common_subsequence_against_the_table():
     r = random.Random(5)
     for _ in range(200):
