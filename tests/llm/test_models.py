@@ -151,6 +151,21 @@ def test_verbatim_items_inside_repeated_words(spark, documents):
     assert {(x.doc_id, x.item_id) for x in find_leaks(documents(rows), table).collect()} >= expected
 
 
+def test_shared_items_beside_rare_ones(spark, documents):
+    r = random.Random(9)
+    items = [(i, " ".join(f"v{i}x{k}" for k in range(r.randrange(30, 50)))) for i in range(40)]
+    rows, expected = [], set()
+    for i in range(20):
+        for k in range(30):  # passages with the item's words, in another order
+            words = items[i][1].split()
+            r.shuffle(words)
+            rows.append((10_000 + 100 * i + k, " ".join(words + [f"u{r.randrange(3000)}" for _ in range(20)])))
+        rows.append((i, f"{items[i][1]} {items[20 + i][1]}"))
+        expected |= {(i, i), (i, 20 + i)}
+    table = spark.createDataFrame(items, "item_id long, text string")
+    assert {(x.doc_id, x.item_id) for x in find_leaks(documents(rows), table).collect()} == expected
+
+
 def test_counted_words_against_sets():
     r = np.random.default_rng(8)
     words = np.arange(30, dtype=np.uint64)
