@@ -166,6 +166,37 @@ def test_shared_items_beside_rare_ones(spark, documents):
     assert {(x.doc_id, x.item_id) for x in find_leaks(documents(rows), table).collect()} == expected
 
 
+def test_stretches_between_windows(spark, documents):
+    r = random.Random(10)
+    items = [(i, " ".join(f"v{i}x{k}" for k in range(64))) for i in range(20)]
+    rows, expected = [], {}
+    for i, text in items:
+        for before in range(0, 48, 8):
+            words = text.split()[:52]  # 81 % and no answer, in a stretch of 96 with other words in between
+            for at in sorted(r.sample(range(1, 95), 44)):
+                words.insert(at, f"u{r.randrange(500)}")
+            if len(words) == 96 and words[0] == text.split()[0] and words[-1] == text.split()[51]:
+                expected[100 * i + before, i] = (52, before)
+            rows.append((100 * i + before, " ".join(f"u{r.randrange(500)}" for _ in range(before)) + " " + " ".join(words)
+                         + " " + " ".join(f"u{r.randrange(500)}" for _ in range(100))))
+    table = spark.createDataFrame(items, "item_id long, text string")
+    found = {(x.doc_id, x.item_id): (x.lcs_words, x.start_word) for x in find_leaks(documents(rows), table).collect()}
+    assert len(expected) > 20 and found.items() >= expected.items()
+
+
+def test_stretches_against_every_start():
+    r = np.random.default_rng(11)
+    for _ in range(300):
+        piece, words = r.integers(0, 12, r.integers(1, 20)).astype(np.uint64), r.integers(0, 14, 60).astype(np.uint64)
+        n, span, best = len(piece), -(-3 * len(piece) // 2), 0
+        for start in range(60):
+            stretch = words[start:start + span]
+            found = common_subsequence(piece, stretch)
+            if found >= 0.8 * n or found >= 0.6 * n and np.isin(piece[-8:], stretch).mean() >= 0.5:
+                best = max(best, found)
+        assert verified(piece, words) == best
+
+
 def test_counted_words_against_sets():
     r = np.random.default_rng(8)
     words = np.arange(30, dtype=np.uint64)
