@@ -179,18 +179,25 @@ def _unpack(packed: bytes) -> np.ndarray:
     return entries
 
 
+def _distinct(entries: np.ndarray) -> np.ndarray:
+    """The entries by shingle, one per node: copies of a text in several batches bring the same ones."""
+    entries = entries[np.lexsort((entries["sig"], entries["shingle"]))]
+    new = np.ones(len(entries), bool)
+    new[1:] = (entries["shingle"][1:] != entries["shingle"][:-1]) | (entries["sig"][1:] != entries["sig"][:-1])
+    return entries[new]
+
+
 def _shared_lists(rows: pa.Table) -> pa.Table:
-    """The entries of a bucket whose shingle occurs with another node too."""
+    """The distinct entries of a bucket whose shingle occurs with another node too."""
     often, rest = [np.empty(0, _ENTRY)], [np.empty(0, _ENTRY)]
     for frequent, packed in zip(rows["frequent"].to_pylist(), rows["entries"], strict=True):
         (often if frequent else rest).append(_unpack(packed.as_py()))
-    rest = np.concatenate(rest)
-    rest = rest[np.argsort(rest["shingle"], kind="stable")]
+    rest = _distinct(np.concatenate(rest))
     twin = np.zeros(len(rest), bool)
     same = rest["shingle"][1:] == rest["shingle"][:-1]
     twin[1:] |= same
     twin[:-1] |= same
-    found = np.concatenate([*often, rest[twin]])
+    found = np.concatenate([_distinct(np.concatenate(often)), rest[twin]])
     return pa.table({"shingle": pa.array(found["shingle"].view(np.int64)), "sig": pa.array(found["sig"]),
                      "n": pa.array(found["n"]), "pos": pa.array(found["pos"])})
 

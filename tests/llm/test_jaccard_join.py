@@ -3,6 +3,7 @@ import re
 from itertools import combinations
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from joblume.llm import jaccard_join
@@ -68,6 +69,17 @@ def test_empty_table(documents):
     assert near_duplicate_classes(documents([])).count() == 0
 
 
+def test_copies_in_several_batches_are_one_entry():
+    # one node in three batches, and with another one at shingle 7; 9 is a frequent shingle
+    def packed(*entries):
+        return jaccard_join._pack(np.array(list(entries), jaccard_join._ENTRY))
+    rest = [packed((5, 1, 8, 0), (7, 1, 8, 1))] * 3 + [packed((7, 2, 8, 0))]
+    often = [packed((9, 1, 8, 2))] * 3
+    rows = pa.table({"frequent": [False] * 4 + [True] * 3, "entries": pa.array(rest + often, pa.binary())})
+    found = jaccard_join._shared_lists(rows)
+    assert sorted(zip(found["shingle"].to_pylist(), found["sig"].to_pylist())) == [(7, 1), (7, 2), (9, 1)]
+
+
 def test_similar_sets_share_a_prefix_in_any_order():
     r = np.random.default_rng(2)
     pool = np.sort(r.integers(0, 2**63, 300, dtype=np.uint64))
