@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from joblume.llm.balanced_shards import balance_shards
 from joblume.llm.common import table
 from joblume.llm.decontamination import find_leaks
@@ -9,6 +11,7 @@ from joblume.llm.embedding_dedup import near_duplicate_vectors
 from joblume.llm.jaccard_join import near_duplicate_classes
 from joblume.llm.language_id import learn_and_identify
 from joblume.llm.line_dedup import remove_repeated_lines
+from joblume.llm.periodic_runs import collapse_runs
 from joblume.llm.source_mix import mix_sources
 from joblume.llm.substring_dedup import remove_repeated_substrings
 from joblume.llm.token_counts import count_tokens
@@ -63,9 +66,36 @@ def op10_jaccard_join(spark, sf_dir):
     return near_duplicate_classes(table(spark, sf_dir, "documents"))
 
 
+def with_planted_periods(docs):
+    """Documents as op13 takes them: in one of ten, by its id's CRC, words are repeated from some place on."""
+    h = F.crc32(F.col("doc_id").cast("long").cast("string"))
+    words = F.filter(F.split("text", r"[\x20\x09-\x0D]+"), lambda w: w != "")
+    planted = docs.select("doc_id", "text", h.alias("h"), F.when(h % 10 == 0, words).alias("words")) \
+        .withColumn("n", F.size("words")).withColumn("g", F.expr("h div 10")) \
+        .withColumn("a", F.when(F.col("n") > 0, F.expr("g % n"))) \
+        .withColumn("p", F.expr("1 + (n - a) div (3 + g % 8)"))
+    repeated = "transform(sequence(0L, n - 1L), i -> element_at(words, CAST(1 + if(i < a, i, a + (i - a) % p) AS INT)))"
+    return planted.select("doc_id", F.expr(f"CASE WHEN n > 0 THEN array_join({repeated}, ' ') ELSE text END").alias("text"))
+
+
+def op13_periodic_runs(spark, sf_dir):
+    found = collapse_runs(with_planted_periods(table(spark, sf_dir, "documents")))
+    # greatest length / period, then smallest start and period, without a fraction
+    first = F.get(F.expr("""array_sort(runs, (x, y) -> CASE
+        WHEN x.length * y.period <> y.length * x.period THEN IF(x.length * y.period > y.length * x.period, -1, 1)
+        WHEN x.start <> y.start THEN IF(x.start < y.start, -1, 1)
+        WHEN x.period <> y.period THEN IF(x.period < y.period, -1, 1) ELSE 0 END)"""), F.lit(0))
+    listed = F.array_join(F.transform("runs", lambda r: F.concat_ws(",", r["start"], r["length"], r["period"])), "\n")
+    return found.withColumn("best", first).select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), "best.start", "best.length", "best.period",
+        F.expr("1000 * best.length div best.period").alias("exponent_milli"),
+        F.sha2(F.when(F.size("runs") > 0, F.concat(listed, F.lit("\n"))).otherwise(""), 256).alias("runs_sha256"),
+        F.sha2("kept_text", 256).alias("collapsed_sha256"))
+
+
 def queries():
     return {query.__name__: query for query in (op1_embedding_dedup, op2_token_counts, op3_source_mix, op4_line_dedup, op5_toxicity, op6_language_id, op7_decontamination,
-                                            op8_substring_dedup, op9_balanced_shards, op10_jaccard_join)}
+                                            op8_substring_dedup, op9_balanced_shards, op10_jaccard_join, op13_periodic_runs)}
 
 
 def oracle_sql():
