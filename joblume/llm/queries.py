@@ -14,8 +14,10 @@ from joblume.llm.line_dedup import remove_repeated_lines
 from joblume.llm.periodic_runs import collapse_runs
 from joblume.llm.source_mix import mix_sources
 from joblume.llm.substring_dedup import remove_repeated_substrings
+from joblume.llm.token_alignment import align_tokens, count_links, group_texts
 from joblume.llm.token_counts import count_tokens
 from joblume.llm.toxicity import score_toxicity
+from joblume.llm.vector_search import nearest_vectors
 
 
 def tokenizer_path(name="byte_bpe_50k.json"):
@@ -66,6 +68,18 @@ def op10_jaccard_join(spark, sf_dir):
     return near_duplicate_classes(table(spark, sf_dir, "documents"))
 
 
+def op11_vector_search(spark, sf_dir):
+    return nearest_vectors(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
+def op12_token_alignment(spark, sf_dir):
+    aligned = align_tokens(table(spark, sf_dir, "documents"), tokenizer_path(), tokenizer_path("piece_bpe_32k.model"))
+    digest = F.when(F.col("groups") != "", F.sha2("groups", 256)).otherwise("")
+    texts = group_texts(aligned).select("_row", "doc_id", digest.alias("groups_sha256"))
+    return texts.join(count_links(aligned), "_row").select(
+        "doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
+
+
 def with_planted_periods(docs):
     """Documents as op13 takes them: in one of ten, by its id's CRC, words are repeated from some place on."""
     h = F.crc32(F.col("doc_id").cast("long").cast("string"))
@@ -95,7 +109,8 @@ def op13_periodic_runs(spark, sf_dir):
 
 def queries():
     return {query.__name__: query for query in (op1_embedding_dedup, op2_token_counts, op3_source_mix, op4_line_dedup, op5_toxicity, op6_language_id, op7_decontamination,
-                                            op8_substring_dedup, op9_balanced_shards, op10_jaccard_join, op13_periodic_runs)}
+                                            op8_substring_dedup, op9_balanced_shards, op10_jaccard_join, op11_vector_search,
+                                            op12_token_alignment, op13_periodic_runs)}
 
 
 def oracle_sql():

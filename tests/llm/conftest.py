@@ -31,3 +31,8 @@ def odd():
 
 def words(random_: random.Random, n: int, vocabulary: int = 2000) -> str:
     return " ".join(f"w{random_.randrange(vocabulary)}" for _ in range(n))
+
+
+@pytest.fixture(scope="session")
+def sf_small():
+    return "/root/testdata/sf0.01"

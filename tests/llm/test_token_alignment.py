@@ -1,0 +1,127 @@
+import hashlib
+import random
+from collections import Counter
+
+import pyarrow as pa
+import pytest
+
+from joblume.llm import token_alignment
+from joblume.llm.queries import op12_token_alignment, tokenizer_path
+from joblume.llm.token_alignment import BytePairs, Pieces, align_tokens, coder, count_links, group_texts
+
+A, B = tokenizer_path("byte_bpe_50k.json"), tokenizer_path("piece_bpe_32k.model")
+
+
+@pytest.fixture(scope="module")
+def libraries():
+    import sentencepiece
+    from tokenizers import Tokenizer
+    a = Tokenizer.from_file(A)
+    a.encode_special_tokens = True
+    return a, sentencepiece.SentencePieceProcessor(model_file=B)
+
+
+def token_bytes(libraries, text):
+    """[(id, bytes)] of both sides by the libraries alone; none if they do not spell the text."""
+    a, b = libraries
+    level = {v: k for k, v in bytes_to_chars().items()}
+    if not text:
+        return [], []
+    left = [(i, bytes(level[c] for c in a.id_to_token(i))) for i in a.encode(" " + text, add_special_tokens=False).ids]
+    right = []
+    for i in b.encode(text):
+        p = b.id_to_piece(i)
+        right.append((i, bytes([int(p[3:5], 16)]) if b.is_byte(i) else p.replace("▁", " ").encode()))
+    whole = (" " + text).encode()
+    return (left, right) if all(b"".join(x for _, x in side) == whole for side in (left, right)) else ([], [])
+
+
+def bytes_to_chars():
+    plain = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
+    return {b: chr(b) for b in plain} | {b: chr(256 + n) for n, b in enumerate(b for b in range(256) if b not in plain)}
+
+
+def brute_force(libraries, rows):
+    found = []
+    for doc_id, text in rows:
+        left, right = token_bytes(libraries, text)
+        spans = []
+        for side in (left, right):
+            at, out = 0, []
+            for i, x in side:
+                out.append((i, at, at + len(x)))
+                at += len(x)
+            spans.append(out)
+        links = [(i, j) for i, s, e in spans[0] for j, t, f in spans[1] if s < f and t < e]
+        common = sorted({e for _, _, e in spans[0]} & {e for _, _, e in spans[1]})
+        groups, start = [], 0
+        for end in common:
+            groups.append("|".join(",".join(str(i) for i, s, e in side if start < e <= end) for side in spans))
+            start = end
+        found.append((doc_id, len(left), len(right), len(common), links, ";".join(groups)))
+    counts = Counter(pair for *_, links, _ in found for pair in set(links))
+    best = {}
+    for (a, _), n in counts.items():
+        best[a] = max(best.get(a, 0), n)
+    return sorted(((str(d), na, nb, ng, len(links), sum(counts[p] == best[p[0]] for p in links),
+                    sum(counts[p] for p in links), hashlib.sha256(g.encode()).hexdigest() if g else "")
+                   for d, na, nb, ng, links, g in found), key=str)
+
+
+def corpus(odd):
+    r = random.Random(2)
+    some = ["the", "tokenizer", "naïve", "réunion", "日本語", "x1y2", "don't", "<|endoftext|>", "<s>", "▁", "  ", "\t", "\n\n",
+            " ", "🙂", "é", "123456", "==>", "ﬁ", "\x00", "Ünïcödé", "</s>", "<0x41>", "<unk>"]
+    rows = [(100 + i, "".join(r.choice([" ", "", " "]) + r.choice(some[:r.choice([7, 24])]) for _ in range(r.randrange(1, 30))))
+            for i in range(120)]
+    return rows + [(400, "<|endoftext|>"), (401, "▁"), (402, " "), (403, " leading"), (404, "trailing "), (404, "trailing "),
+                   (405, "a" * 300), *[(i, t if t is None or len(t) < 5000 else t[:5000]) for i, t in odd]]
+
+
+@pytest.mark.parametrize("head", [1_000_000, 40, 0])
+def test_query_against_brute_force(spark, documents, odd, libraries, tmp_path, monkeypatch, head):
+    monkeypatch.setattr(token_alignment, "BATCH_BYTES", 3000)
+    monkeypatch.setattr(token_alignment, "SLICE_TOKENS", 500)
+    monkeypatch.setattr(token_alignment, "FLUSH", 100)
+    rows = corpus(odd)
+    docs = documents(rows)
+    want = brute_force(libraries, rows)
+    aligned = align_tokens(docs, A, B)
+    got = group_texts(aligned).join(count_links(aligned, head), "_row").collect()
+    assert sorted(((str(r.doc_id), r.n_a, r.n_b, r.n_groups, r.n_links, r.n_best, r.count_sum,
+                    hashlib.sha256(r.groups.encode()).hexdigest() if r.groups else "") for r in got), key=str) == want
+    if head == 40:
+        docs.write.parquet(f"{tmp_path}/documents.parquet")
+        got = [(str(r[0]), *r[1:]) for r in op12_token_alignment(spark, str(tmp_path)).collect()]
+        assert sorted(got, key=str) == want
+        assert sum(w[1] == 0 for w in want) > 5 and sum(w[1] > 0 for w in want) > 50
+
+
+def test_ids_are_those_of_the_libraries(libraries, odd):
+    texts = [t for _, t in corpus(odd) if t]
+    a, b = libraries
+    assert [list(x) for x in BytePairs(A).encode(texts)] == [
+        e.ids for e in a.encode_batch(texts, add_special_tokens=False)]
+    assert Pieces(B).encode(texts) == b.encode(texts)
+
+
+def test_a_long_text_is_cut_where_nothing_changes(libraries, monkeypatch):
+    r = random.Random(4)
+    text = "".join(r.choice(["word", " ", "  ", "été", "\n", " a", "▁", "日"]) for _ in range(20_000))
+    monkeypatch.setattr(token_alignment, "CUT_CHARS", 100)
+    assert Pieces(B).encode([text]) == [libraries[1].encode(text)] and len(Pieces._parts(text)) > 100
+
+
+def test_ends_are_told_apart(libraries):
+    a, b, ends = token_alignment.align(pa.array(["tokenizer naïve", "", "▁"]), coder(A), coder(B))
+    for i, text in enumerate(["tokenizer naïve", "", "▁"]):
+        left, right = token_bytes(libraries, text)
+        assert a[i].as_py() == [t for t, _ in left] and b[i].as_py() == [t for t, _ in right]
+    kinds = ends.to_pylist()
+    assert kinds[1] == kinds[2] == [] and kinds[0][-1] == 3
+    assert sum(k != 2 for k in kinds[0]) == len(a[0].as_py()) and sum(k != 1 for k in kinds[0]) == len(b[0].as_py())
+
+
+def test_empty_table(documents):
+    aligned = align_tokens(documents([]), A, B)
+    assert group_texts(aligned).count() == 0 and count_links(aligned).count() == 0
