@@ -4,7 +4,8 @@ The work is on Arrow columns: tokens are flattened with their parents' numbers,
 their lengths are summed up per document, and an Acero join on the key of
 (document, byte offset of a token's end) says which ends are those of both.
 Each end of either side closes one link: the token of A and the token of B that
-cover the byte before it.  Texts are tokenized once; tokens and ends are landed.
+cover the byte before it.  Distinct words are tokenized and joined once per task
+and remembered; tokens and ends of documents are landed.
 """
 
 from __future__ import annotations
@@ -14,6 +15,7 @@ import os
 import re
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -25,13 +27,19 @@ from joblume.llm.common import runs
 from joblume.session import scratch_path
 
 BATCH_BYTES = 2 * 1024 * 1024  # text that is tokenized and joined together
+BATCH_ROWS = 1000  # rows that Spark hands to a task at a time: their tokens take some ten times their text
+TOGETHER = 500  # words that are encoded as one text
+KNOWN = 150_000  # distinct words that a task remembers
 CUT_CHARS = 65_536  # of a long text, where cuts change nothing
-SLICE_TOKENS = 1_000_000
+SLICE_TOKENS = 500_000
 FLUSH = 2_000_000  # distinct pairs of a task that are counted before they are handed on
 HEAD = 1_000_000  # pairs whose counts every task gets, at most: so many numbers, whatever the data
 DOC_BITS = 33  # of an end's key; the rest is the number of its document in the batch
 A_ENDS, B_ENDS = 1, 2
-ALIGNED = "doc_id long, a array<int>, b array<int>, ends array<tinyint>"
+# Two blanks of which one is a space: only there may a token of A reach over a cut at a space.
+_RUN_OF_BLANKS = re.compile(r" \s|\s ")
+ALIGNED = "doc_id long, a binary, b binary, ends binary"
+KINDS = {"a": np.dtype("<i4"), "b": np.dtype("<i4"), "ends": np.dtype("i1")}
 
 
 class BytePairs:
@@ -52,6 +60,7 @@ class BytePairs:
         for token in model["added_tokens"]:
             table[token["id"]] = token["content"].encode()
         self.table = pa.array(table, pa.binary())
+        self.lengths = np.array([len(x) for x in table], np.int64)
         merges = [m.split(" ") if isinstance(m, str) else m for m in model["model"]["merges"]]
         order = [vocabulary[a + b] for a, b in merges]
         # ids in the order of the merges: then the lowest id is the first merge, and the fast library gives the same
@@ -61,12 +70,14 @@ class BytePairs:
             from public_tokenizers import PATTERN
             coder = tiktoken.Encoding("ranks", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
             self.encode = lambda texts: [coder.encode_to_numpy(t, disallowed_special=()) for t in texts]
+            self.cuts = True  # the pattern begins a new token at each space that stands alone
         else:
             os.environ["TOKENIZERS_PARALLELISM"] = "false"
             from tokenizers import Tokenizer
             library = Tokenizer.from_file(path)
             library.encode_special_tokens = True
             self.encode = lambda texts: [e.ids for e in library.encode_batch(texts, add_special_tokens=False)]
+            self.cuts = False
 
 
 def _byte_level() -> dict[str, int]:
@@ -84,8 +95,9 @@ class Pieces:
         self._coder = sentencepiece.SentencePieceProcessor(model_file=path)
         pieces = [self._coder.id_to_piece(i) for i in range(self._coder.get_piece_size())]
         self.table = pa.array([self._bytes(p) for p in pieces], pa.binary())
+        self.lengths = np.array([len(self._bytes(p)) for p in pieces], np.int64)
         # no piece goes on into a further word: then words may be encoded apart, each with the space before it
-        self._cuts = not any(re.search("[^▁]▁", p) for p in pieces) and self._coder.id_to_piece(
+        self.cuts = not any(re.search("[^▁]▁", p) for p in pieces) and self._coder.id_to_piece(
             self._coder.encode("a")[0]).startswith("▁")
 
     @staticmethod
@@ -94,7 +106,7 @@ class Pieces:
         return bytes([int(byte[1], 16)]) if byte else piece.replace("▁", " ").encode()
 
     def encode(self, texts: list[str]) -> list[list[int]]:
-        if not self._cuts or max(map(len, texts), default=0) <= CUT_CHARS:
+        if not self.cuts or max(map(len, texts), default=0) <= CUT_CHARS:
             return self._coder.encode(texts, num_threads=1)
         return [[i for ids in self._coder.encode(self._parts(t), num_threads=1) for i in ids] for t in texts]
 
@@ -117,10 +129,25 @@ def coder(path: str):
     return BytePairs(path) if path.endswith(".json") else Pieces(path)
 
 
-def _listed(ids: list) -> pa.ListArray:
-    sizes = np.array([len(x) for x in ids], np.int64)
-    flat = np.concatenate([np.empty(0, np.int32), *[np.asarray(x, np.int32) for x in ids]])
-    return pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32), pa.array(flat, pa.int32()))
+def _encoded(side, texts: list[str], lead: str) -> pa.ListArray:
+    """Tokens of each text, with ``lead`` before it.  Words are encoded many at a time, as one text."""
+    ids, sizes = [np.empty(0, np.int32)], [np.empty(0, np.int64)]
+    for at in range(0, len(texts), TOGETHER):
+        some = texts[at:at + TOGETHER]
+        if side.cuts and all(t and t == t.strip() and " " not in t for t in some):
+            flat = np.asarray(side.encode([lead + " ".join(some)])[0], np.int32)
+            ends = np.cumsum(side.lengths[flat])
+            stops = np.cumsum([len(t.encode()) + 1 for t in some])
+            cuts = np.searchsorted(ends, stops)
+            if cuts[-1] < len(ends) and ends[-1] == stops[-1] and (ends[cuts] == stops).all():
+                ids.append(flat)
+                sizes.append(np.diff(cuts + 1, prepend=0))
+                continue
+        each = side.encode([lead + t for t in some])
+        ids += [np.asarray(x, np.int32) for x in each]
+        sizes.append(np.array([len(x) for x in each], np.int64))
+    offsets = np.concatenate([[0], np.cumsum(np.concatenate(sizes))]).astype(np.int32)
+    return pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(ids), pa.int32()))
 
 
 def _spelled(table: pa.Array, tokens: pa.ListArray) -> tuple[pa.Array, np.ndarray, np.ndarray]:
@@ -160,7 +187,8 @@ def align(texts: pa.Array, a, b) -> tuple[pa.ListArray, pa.ListArray, pa.ListArr
     """(tokens of A, tokens of B, ends in order: of A, of B or of both) of each text."""
     texts = texts.cast(pa.string())
     spaced = pc.binary_join_element_wise("", texts, " ")
-    sides = [_listed(a.encode(spaced.to_pylist())), _listed(b.encode(texts.to_pylist()))]
+    listed = texts.to_pylist()
+    sides = [_encoded(a, listed, " "), _encoded(b, listed, "")]
     raw = _raw(spaced)
     begins = np.concatenate([[0], np.cumsum(pc.binary_length(spaced).to_numpy().astype(np.int64))])
     good = pc.binary_length(texts).to_numpy() > 0
@@ -188,20 +216,103 @@ def _offsets(lists: pa.ListArray) -> pa.Array:
     return pa.array(np.concatenate([[0], np.cumsum(pc.list_value_length(lists).to_numpy())]).astype(np.int32))
 
 
+class _Words:
+    """Aligns texts word by word, each distinct word once.
+
+    Where a space stands alone both sides begin a token, so what lies between
+    two such spaces is aligned by itself, and a text is its words one after the
+    other.  Other texts are aligned whole.
+    """
+
+    def __init__(self, a, b):
+        self._a, self._b = a, b
+        self._apart = a.cuts and b.cuts
+        self._clear()
+
+    def _clear(self):
+        self._number: dict[str, int] = {}
+        self._sides = [(np.empty(0, kind), np.zeros(1, np.int64)) for kind in (np.int32, np.int32, np.int8)]
+
+    def _learn(self, sides, texts: list[str]):
+        """Tokens and ends, flat and where each text's begin, with those of more texts."""
+        if not texts:
+            return sides
+        return [(np.concatenate([flat, more.flatten().to_numpy()]),
+                 np.concatenate([begins, begins[-1] + more.offsets.to_numpy()[1:]]))
+                for (flat, begins), more in zip(sides, align(pa.array(texts, pa.string()), self._a, self._b), strict=True)]
+
+    def align(self, texts: list[str]) -> list[pa.ListArray]:
+        if len(self._number) > KNOWN:
+            self._clear()
+        number, old = self._number.setdefault, len(self._number)
+        parts, whole = [], {}
+        for i, text in enumerate(texts):
+            words = text.split(" ") if self._apart else [""]
+            if not text:
+                parts.append(np.empty(0, np.int64))
+            elif "" in words or _RUN_OF_BLANKS.search(text):
+                whole[i] = text
+                parts.append(None)
+            else:
+                known = list(map(self._number.get, words))
+                if None in known:
+                    known = [number(w, len(self._number)) if n is None else n for w, n in zip(words, known, strict=True)]
+                parts.append(np.array(known, np.int64))
+        self._sides = self._learn(self._sides, list(islice(self._number, old, None)))
+        for n, i in enumerate(whole):
+            parts[i] = np.array([len(self._number) + n])
+        sides = self._learn(self._sides, list(whole.values()))
+        sizes = np.array([len(p) for p in parts], np.int64)
+        owner = np.repeat(np.arange(len(texts)), sizes)
+        words = np.concatenate([np.empty(0, np.int64), *parts])
+        lost = np.zeros(len(texts), bool)  # where a word is not spelled, its text is not
+        begins = sides[0][1]
+        lost[owner[begins[words + 1] == begins[words]]] = True
+        words, owner = words[~lost[owner]], owner[~lost[owner]]
+        out = []
+        for flat, begins in sides:
+            n = begins[words + 1] - begins[words]
+            at = np.arange(int(n.sum())) + np.repeat(begins[words] - (np.cumsum(n) - n), n)
+            cuts = np.concatenate([[0], np.cumsum(np.bincount(owner, n, len(texts)))]).astype(np.int32)
+            out.append(pa.ListArray.from_arrays(cuts, pa.array(flat[at])))
+        return out
+
+
+def _packed(lists: pa.ListArray, kind: np.dtype) -> pa.Array:
+    """Each list's numbers as bytes: rows of few large values cost Spark little."""
+    flat = lists.flatten().to_numpy().astype(kind)
+    offsets = lists.offsets.to_numpy().astype(np.int64) * kind.itemsize
+    return pa.Array.from_buffers(pa.large_binary(), len(lists), [None, pa.py_buffer(offsets.tobytes()),
+                                                                 pa.py_buffer(flat.tobytes())]).cast(pa.binary())
+
+
+def _unpacked(batch: pa.RecordBatch, column: str) -> pa.ListArray:
+    """The lists of a column of ``_packed``."""
+    values, kind = batch.column(column).cast(pa.large_binary()), KINDS[column]
+    _, offsets, data = values.buffers()
+    ends = np.frombuffer(offsets, np.int64)[values.offset:values.offset + len(values) + 1]
+    raw = np.frombuffer(data, np.uint8)[ends[0]:ends[-1]] if data is not None else np.empty(0, np.uint8)
+    cuts = ((ends - ends[0]) // kind.itemsize).astype(np.int32)
+    return pa.ListArray.from_arrays(cuts, pa.array(np.frombuffer(raw.tobytes(), kind)))
+
+
 def _aligned(path_a: str, path_b: str):
     names = ["doc_id", "a", "b", "ends"]
 
     def aligned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        a, b = coder(path_a), coder(path_b)
+        words = _Words(coder(path_a), coder(path_b))
         for rows in runs(batches, BATCH_BYTES):
-            rows = rows.combine_chunks()
-            columns = align(rows["text"].combine_chunks(), a, b)
+            columns = [_packed(x, kind) for x, kind in
+                       zip(words.align(rows["text"].to_pylist()), KINDS.values(), strict=True)]
             yield pa.RecordBatch.from_arrays([rows["doc_id"].combine_chunks(), *columns], names)
+            pa.default_memory_pool().release_unused()
     return aligned
 
 
 def align_tokens(docs: DataFrame, path_a: str, path_b: str) -> DataFrame:
-    """_row, doc_id, tokens ``a`` and ``b``, and ``ends`` of each row of ``docs``, landed.
+    """_row, doc_id, tokens ``a`` and ``b``, and ``ends`` of each row of ``docs``, landed, packed.
+
+    ``token_lists`` makes arrays of them.
 
     ``path_a`` and ``path_b`` are files of byte-level BPE (``.json``) or of
     ``sentencepiece`` (``.model``).  A encodes a space and the text, B the text,
@@ -213,20 +324,33 @@ def align_tokens(docs: DataFrame, path_a: str, path_b: str) -> DataFrame:
     byte by byte, has no tokens.  A null doc_id stays null; a repeated row is a
     document each time; an empty table gives an empty table; other columns are
     not read.  A text is tokenized whole by one task, with some 200 bytes of
-    memory a character at most.
+    memory a character at most.  Spark hands over 1,000 rows at a time from then on.
     """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text")) \
         .mapInArrow(_aligned(path_a, path_b), ALIGNED)
-    path = scratch_path(docs.sparkSession, "tokens")
+    spark = docs.sparkSession
+    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > BATCH_ROWS:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    path = scratch_path(spark, "tokens")
     found.withColumn("_row", F.monotonically_increasing_id()).write.option("compression", "zstd").parquet(path)
-    return docs.sparkSession.read.parquet(path)
+    return spark.read.parquet(path)
+
+
+def token_lists(aligned: DataFrame) -> DataFrame:
+    """_row, doc_id, and a, b and ends as arrays."""
+    def lists(batches):
+        for batch in _slices(batches):
+            yield pa.RecordBatch.from_arrays([batch.column("_row"), batch.column("doc_id"),
+                                              *(_unpacked(batch, c) for c in KINDS)], ["_row", "doc_id", *KINDS])
+    return aligned.select("_row", "doc_id", *KINDS).mapInArrow(
+        lists, "_row long, doc_id long, a array<int>, b array<int>, ends array<tinyint>")
 
 
 def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows in batches of about SLICE_TOKENS ends; a longer document stands alone."""
     for batch in batches:
-        sums = np.concatenate([[0], np.cumsum(pc.list_value_length(batch.column("ends")).to_numpy())])
+        sums = np.concatenate([[0], np.cumsum(pc.binary_length(batch.column("ends")).to_numpy(), dtype=np.int64)])
         start = 0
         while start < batch.num_rows:
             stop = int(np.searchsorted(sums, sums[start] + SLICE_TOKENS, side="right")) - 1
@@ -237,9 +361,10 @@ def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _links(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(document in the batch, id of A, id of B) of each link."""
-    a, b, ends = (batch.column(c).flatten().to_numpy() for c in ("a", "b", "ends"))
+    lists = [_unpacked(batch, c) for c in KINDS]
+    a, b, ends = (x.flatten().to_numpy() for x in lists)
     in_a, in_b = ends & A_ENDS, ends >> 1
-    owner = pc.list_parent_indices(batch.column("ends")).to_numpy()
+    owner = pc.list_parent_indices(lists[2]).to_numpy()
     return owner, a[np.cumsum(in_a, dtype=np.int64) - in_a], b[np.cumsum(in_b, dtype=np.int64) - in_b]
 
 
@@ -287,14 +412,14 @@ def _score(shared):
             count = np.zeros(len(pair), np.int64)
             count[found] = counts[at.drop_null().to_numpy()]
             size = batch.num_rows
-            ends = batch.column("ends")
+            ends = _unpacked(batch, "ends")
             sums = lambda values: np.bincount(owner, values, size).astype(np.int64)
             row = batch.column("_row").to_numpy()
             total = np.zeros(size, np.int64)
             np.add.at(total, owner, count)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(c, pa.int64()) for c in (
-                    row, *(pc.list_value_length(batch.column(c)).to_numpy() for c in ("a", "b")),
+                    row, *(pc.binary_length(batch.column(c)).to_numpy() // KINDS[c].itemsize for c in ("a", "b")),
                     sums(ends.flatten().to_numpy() == A_ENDS + B_ENDS), pc.list_value_length(ends).to_numpy(),
                     sums(found & (count == best[a])), total,
                     -1 - row, np.zeros(size, np.int64))], schema=schema)  # a pair that none is: joins with nothing
@@ -348,15 +473,16 @@ def count_links(aligned: DataFrame, head: int = HEAD) -> DataFrame:
 
 def _group_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in _slices(batches):
-        ends = batch.column("ends").flatten().to_numpy()
+        lists = {c: _unpacked(batch, c) for c in KINDS}
+        ends = lists["ends"].flatten().to_numpy()
         closes = ends == A_ENDS + B_ENDS
         sides = []
         for column, taken in (("a", ends & A_ENDS), ("b", ends >> 1)):
             cuts = np.concatenate([[0], np.cumsum(taken, dtype=np.int64)[closes]]).astype(np.int32)
-            ids = batch.column(column).flatten().cast(pa.string())
+            ids = lists[column].flatten().cast(pa.string())
             sides.append(pc.binary_join(pa.ListArray.from_arrays(cuts, ids), ","))
         groups = pc.binary_join_element_wise(*sides, "|")
-        owner = pc.list_parent_indices(batch.column("ends")).to_numpy()[closes]
+        owner = pc.list_parent_indices(lists["ends"]).to_numpy()[closes]
         cuts = np.searchsorted(owner, np.arange(batch.num_rows + 1)).astype(np.int32)
         texts = pc.binary_join(pa.ListArray.from_arrays(cuts, groups), ";")
         yield pa.RecordBatch.from_arrays([batch.column("_row"), batch.column("doc_id"), texts],

@@ -7,7 +7,7 @@ import pytest
 
 from joblume.llm import token_alignment
 from joblume.llm.queries import op12_token_alignment, tokenizer_path
-from joblume.llm.token_alignment import BytePairs, Pieces, align_tokens, coder, count_links, group_texts
+from joblume.llm.token_alignment import BytePairs, Pieces, align_tokens, coder, count_links, group_texts, token_lists
 
 A, B = tokenizer_path("byte_bpe_50k.json"), tokenizer_path("piece_bpe_32k.model")
 
@@ -88,6 +88,8 @@ def test_query_against_brute_force(spark, documents, odd, libraries, tmp_path, m
     want = brute_force(libraries, rows)
     aligned = align_tokens(docs, A, B)
     got = group_texts(aligned).join(count_links(aligned, head), "_row").collect()
+    lists = {r._row: r for r in token_lists(aligned).collect()}
+    assert all(r.n_links == len(lists[r._row].ends) and r.n_a == len(lists[r._row].a) for r in got)
     assert sorted(((str(r.doc_id), r.n_a, r.n_b, r.n_groups, r.n_links, r.n_best, r.count_sum,
                     hashlib.sha256(r.groups.encode()).hexdigest() if r.groups else "") for r in got), key=str) == want
     if head == 40:
