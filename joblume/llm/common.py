@@ -20,7 +20,12 @@ _BYTE_KEYS = _rng.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.u
 _IS_BLANK = np.zeros(256, bool)
 _IS_BLANK[[9, 10, 11, 12, 13, 32]] = True
 _BYTE_KEYS[_IS_BLANK] = 0
-_POWERS = np.multiply.accumulate(np.full(1 << 16, 0x9E3779B97F4A7C15 | 1, np.uint64))
+BASE = 0x9E3779B97F4A7C15
+_BLOCK = 1 << 16
+_POWERS: dict[int, np.ndarray] = {}
+CUT_BYTES = 4 * 1024 * 1024  # a longer buffer is hashed in pieces, cut at blanks
+# what tells documents apart: a doc_id, and two independent 64-bit hashes of the text
+KEY = ["_id", "_tag", "_tag2"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -35,14 +40,15 @@ def land(frame: DataFrame, name: str) -> DataFrame:
 
 
 def identified(docs: DataFrame, *extra: Column) -> DataFrame:
-    """(_id, _tag, text): the key of a document and its text, null as "".
+    """(_id, _tag, _tag2, text): the key of a document and its text, null as "".
 
     A document is a doc_id with a text: rows that repeat both are one document,
-    rows that share the doc_id alone are told apart by the text's CRC.
+    rows that share the doc_id alone are told apart by two 64-bit hashes of the
+    text.  The first one has the doc_id in it, so that it spreads copies too.
     """
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("_id"),
-                       F.crc32(text).alias("_tag"), text.alias("text"), *extra)
+    text, id_ = F.coalesce(F.col("text").cast("string"), F.lit("")), F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID))
+    return docs.select(id_.alias("_id"), F.xxhash64(id_, text).alias("_tag"),
+                       F.xxhash64(F.lit(BASE >> 2), text).alias("_tag2"), text.alias("text"), *extra)
 
 
 def mix(values: np.ndarray) -> np.ndarray:
@@ -61,28 +67,58 @@ def text_buffer(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[ends[0]:ends[-1]] if len(ends) else raw, ends - (ends[0] if len(ends) else 0)
 
 
+def powers(places: np.ndarray, base: int = BASE) -> np.ndarray:
+    """``base`` to the power of each place, modulo 2^64: never the same twice in a row of 2^62."""
+    if base not in _POWERS:
+        _POWERS[base] = np.multiply.accumulate(np.full(_BLOCK, base, np.uint64))
+    low = _POWERS[base][places & (_BLOCK - 1)]
+    blocks = int(places.max(initial=0)) >> 16
+    if not blocks:
+        return low
+    high = np.array([pow(base, _BLOCK * k, 2**64) for k in range(blocks + 1)], np.uint64)
+    return low * high[places >> 16]
+
+
 def hash_words(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Word hashes of texts that lie one behind the other, and where each text's words begin.
 
-    A word's hash is the sum of its bytes' keys times powers of a base, mixed:
-    equal for equal words, whatever stands around them.
+    A word's hash is the sum of its bytes' keys times powers of a base, and its
+    length, mixed: equal for equal words, whatever stands around them.  A long
+    text is gone through in pieces, so that memory follows the words and not
+    the bytes; a word is never cut.
     """
-    if not len(raw):
-        return np.empty(0, np.uint64), np.zeros(len(offsets), np.int64)
+    first, hashes, start = [np.empty(0, np.int64)], [np.empty(0, np.uint64)], 0
+    while start < len(raw):
+        stop = min(start + CUT_BYTES, len(raw))
+        while stop < len(raw):  # up to the next blank
+            blank = np.flatnonzero(_IS_BLANK[raw[stop:stop + CUT_BYTES]])
+            if len(blank):
+                stop += int(blank[0])
+                break
+            stop = min(stop + CUT_BYTES, len(raw))
+        inside = offsets[np.searchsorted(offsets, start):np.searchsorted(offsets, stop)]
+        found, words = _hash_piece(raw[start:stop], inside - start)
+        first.append(found + start)
+        hashes.append(words)
+        start = stop
+    return np.concatenate(hashes), np.searchsorted(np.concatenate(first), offsets)
+
+
+def _hash_piece(raw: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(where words begin, their hashes); a word ends at a cut between texts too."""
     solid = ~_IS_BLANK[raw]
     begins = solid.copy()
     begins[1:] &= ~solid[:-1]
-    inner = offsets[:-1][offsets[:-1] < len(raw)]
-    begins[inner] = solid[inner]
+    begins[cuts] = solid[cuts]
     first = np.flatnonzero(begins)
     if not len(first):
-        return np.empty(0, np.uint64), np.zeros(len(offsets), np.int64)
+        return first, np.empty(0, np.uint64)
     place = np.arange(len(raw))
     place[:first[0]] = 0
-    lengths = np.diff(np.append(first, len(raw)))
-    place[first[0]:] -= np.repeat(first, lengths)
-    keyed = _BYTE_KEYS[raw] * _POWERS[place & 0xFFFF]
-    return mix(np.add.reduceat(keyed, first)), np.searchsorted(first, offsets)
+    place[first[0]:] -= np.repeat(first, np.diff(np.append(first, len(raw))))
+    keyed = _BYTE_KEYS[raw] * powers(place)
+    lengths = np.add.reduceat(solid, first, dtype=np.int64).astype(np.uint64)
+    return first, mix(np.add.reduceat(keyed, first) + mix(lengths))
 
 
 def window_hashes(words: np.ndarray, length: int, base: int) -> np.ndarray:

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from joblume.llm.common import NO_ID, hash_words, identified, land, runs, text_buffer
+from joblume.llm.common import KEY, NO_ID, hash_words, identified, land, runs, text_buffer
 
 PASSAGE = 64  # words of a passage that the SVD sees; longer items are looked for in pieces of so many
 WINDOW, STRIDE = 128, 32  # words of a passage that is searched: all stretches of 96 that begin in its first 32 lie in it
@@ -279,8 +279,7 @@ def _search(shared):
         needs = np.full(member.shape[1] * 8, 255, np.uint8)
         needs[:len(pieces)] = [math.ceil(LCS_LIKELY * len(p)) for p in pieces]
         for part, words, begins in _texts(batches):
-            ids = part.column(part.schema.get_field_index("_id")).to_numpy()
-            tags = part.column(part.schema.get_field_index("_tag")).to_numpy()
+            keys = [part.column(part.schema.get_field_index(c)).to_numpy() for c in KEY]
             hits = vocabulary.of(words)
             at = np.flatnonzero(hits >= 0)
             if not len(at):
@@ -293,7 +292,7 @@ def _search(shared):
             offset = np.cumsum(blocks) - blocks
             block = offset[doc] + (at - begins[doc]) // STRIDE
             starts = np.arange(int(windows.sum())) + np.repeat(offset - (np.cumsum(windows) - windows), windows)
-            owner = np.repeat(np.arange(len(ids)), windows)
+            owner = np.repeat(np.arange(len(windows)), windows)
             held = held_words(block, hits[at], int(blocks.sum()), member, starts, WINDOW // STRIDE)
             best: dict[tuple[int, int], tuple[int, float, int, float]] = {}
             row, query = np.nonzero(held >= needs)
@@ -315,10 +314,10 @@ def _search(shared):
             if best:
                 docs = np.array([d for d, _ in best])
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(ids[docs]), pa.array(tags[docs].astype(np.int64)), pa.array([i for _, i in best], pa.int64()),
+                    [*(pa.array(k[docs]) for k in keys), pa.array([i for _, i in best], pa.int64()),
                      *(pa.array([x[n] for x in best.values()], kind) for n, kind in
                        ((0, pa.int64()), (1, pa.float64()), (2, pa.int64()), (3, pa.float64())))],
-                    ["_id", "_tag", "item_id", "lcs_words", "cosine", "start_word", "share"])
+                    [*KEY, "item_id", "lcs_words", "cosine", "start_word", "share"])
     return search
 
 
@@ -352,12 +351,12 @@ def _block_leaks(texts: DataFrame, block: list[tuple[int, np.ndarray]], rank: in
     queries = np.stack([v @ basis[c] for c, v in rows])
     queries /= np.maximum(np.linalg.norm(queries, axis=1, keepdims=True), 1e-12)
     model = context.broadcast((known, idf, basis, [i for i, _ in block], [p for _, p in block], queries))
-    return texts.mapInArrow(_search(model), "_id long, _tag long, item_id long, lcs_words long, cosine double, "
+    return texts.mapInArrow(_search(model), "_id long, _tag long, _tag2 long, item_id long, lcs_words long, cosine double, "
                                             "start_word long, share double")
 
 
 def leaked_items(docs: DataFrame, benchmark: DataFrame, rank: int = RANK) -> DataFrame:
-    """(_id, _tag, item_id, lcs_words, cosine, start_word, share) of documents that hold a benchmark item.
+    """(_id, _tag, _tag2, item_id, lcs_words, cosine, start_word, share) of documents that hold a benchmark item.
 
     An item is held where a stretch half again as long as it has four fifths of
     its words in order, or three fifths of them and half of its last words, the
@@ -379,14 +378,14 @@ def leaked_items(docs: DataFrame, benchmark: DataFrame, rank: int = RANK) -> Dat
         block = land(_block_leaks(texts, pieces[at:at + BLOCK_PIECES], rank), "leaks")
         found = block if found is None else found.unionByName(block)
     if found is None:
-        return docs.sparkSession.createDataFrame([], "_id long, _tag long, item_id long, lcs_words long, "
+        return docs.sparkSession.createDataFrame([], "_id long, _tag long, _tag2 long, item_id long, lcs_words long, "
                                                      "cosine double, start_word long, share double")
-    return found.groupBy("_id", "_tag", "item_id").agg(
+    return found.groupBy(*KEY, "item_id").agg(
         F.max_by(F.struct("lcs_words", "cosine", "start_word", "share"), F.struct("share", "cosine", "start_word"))
-        .alias("b")).select("_id", "_tag", "item_id", "b.*")
+        .alias("b")).select(*KEY, "item_id", "b.*")
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """``leaked_items`` by doc_id: a row per row of ``docs`` and item that it holds."""
     rows = identified(docs, F.col("doc_id").cast("long").alias("doc_id")).drop("text")
-    return rows.join(leaked_items(docs, benchmark), ["_id", "_tag"]).drop("_id", "_tag")
+    return rows.join(leaked_items(docs, benchmark), KEY).drop(*KEY)

@@ -213,9 +213,14 @@ def near_duplicate_vectors(embeddings: DataFrame) -> DataFrame:
         F.when(component < NO_ID, component).alias("component_id"), (F.col("_id") == component).alias("kept"))
 
 
+def _scaled(vector: np.ndarray) -> np.ndarray:
+    """Times a power of two, which changes no digit, so that no square overflows or vanishes."""
+    return np.ldexp(vector, -np.frexp(np.abs(vector).max())[1])
+
+
 def _as_bytes(batches):
     for batch in batches:
-        packed = [np.asarray(x, np.float64).tobytes() for x in batch.column("vector").to_pylist()]
+        packed = [_scaled(np.asarray(x, np.float64)).tobytes() for x in batch.column("vector").to_pylist()]
         columns = [batch.column(c) for c in ("node", "label", "copies", "first", "dims")]
         yield pa.RecordBatch.from_arrays([*columns, pa.array(packed, pa.binary())],
                                          ["node", "label", "copies", "first", "dims", "vector"])

@@ -16,12 +16,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from joblume.llm.common import identified, runs, text_buffer
+from joblume.llm.common import KEY, identified, runs, text_buffer
 
 BATCH_BYTES = 8 * 1024 * 1024  # text that a task looks at together
 CHUNK_BYTES = 1024 * 1024  # text whose bytes are hashed together
 GROUP_BYTES = 8 * 1024 * 1024  # text that a task cuts together
-BUCKET_WINDOWS = 1_500_000  # windows of a bucket, about
+BUCKET_WINDOWS = 2_500_000  # windows of a bucket, about
 PACKED = "bucket int, settled boolean, notes binary, hashes binary"
 MARKS = "_group int, notes binary"
 
@@ -50,26 +50,35 @@ def _gaps(docs: np.ndarray, starts: np.ndarray) -> np.ndarray:
     return gaps
 
 
-def _pack(ids: np.ndarray, tags: np.ndarray, docs: np.ndarray, starts: np.ndarray) -> bytes:
-    """Keys and starts of windows that are ordered by document and start."""
+def _pack(keys: np.ndarray, docs: np.ndarray, starts: np.ndarray) -> bytes:
+    """Keys (a column per document) and starts of windows that are ordered by document and start."""
     new = np.flatnonzero(np.diff(docs, prepend=-1))
     counts = np.diff(np.append(new, len(docs)))
     gaps = gaps_to_bytes(_gaps(docs, starts))
     head = np.array([len(new)], np.int64).tobytes()
-    return pa.compress(head + ids[docs[new]].tobytes() + tags[docs[new]].astype(np.uint32).tobytes()
-                       + counts.astype(np.uint32).tobytes() + gaps, codec="zstd", asbytes=True) \
-        + np.array([8 + 16 * len(new) + len(gaps)], np.int64).tobytes()
+    return pa.compress(head + np.ascontiguousarray(keys[:, docs[new]]).tobytes() + counts.astype(np.uint32).tobytes()
+                       + gaps, codec="zstd", asbytes=True) \
+        + np.array([8 + (8 * len(KEY) + 4) * len(new) + len(gaps)], np.int64).tobytes()
 
 
-def _unpack(notes: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(ids, tags, number of windows) of documents, and the windows' starts."""
+def _unpack(notes: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(keys, number of windows) of documents, and the windows' starts."""
     size = int(np.frombuffer(notes[-8:], np.int64)[0])
     data = pa.decompress(notes[:-8], decompressed_size=size, codec="zstd", asbytes=True)
     n = int(np.frombuffer(data, np.int64, 1)[0])
-    ids = np.frombuffer(data, np.int64, n, 8)
-    tags = np.frombuffer(data, np.uint32, n, 8 + 8 * n)
-    counts = np.frombuffer(data, np.uint32, n, 8 + 12 * n).astype(np.int64)
-    return ids, tags, counts, _starts(gaps_from_bytes(data[8 + 16 * n:]), counts)
+    keys = np.frombuffer(data, np.int64, len(KEY) * n, 8).reshape(len(KEY), n)
+    counts = np.frombuffer(data, np.uint32, n, 8 + 8 * len(KEY) * n).astype(np.int64)
+    return keys, counts, _starts(gaps_from_bytes(data[8 + (8 * len(KEY) + 4) * n:]), counts)
+
+
+def _ranked(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(distinct keys in order, which of them each column of ``keys`` is)."""
+    order = np.lexsort(keys[::-1])
+    new = np.ones(len(order), bool)
+    new[1:] = (keys[:, order[1:]] != keys[:, order[:-1]]).any(axis=0)
+    rank = np.empty(len(order), np.int64)
+    rank[order] = np.cumsum(new) - 1
+    return keys[:, order[new]], rank
 
 
 def _starts(gaps: np.ndarray, counts: np.ndarray) -> np.ndarray:
@@ -84,13 +93,14 @@ def _map_side(windows: Windows, buckets: int) -> Callable[[Iterator[pa.RecordBat
 
     def map_batches(batches):
         for rows in runs(batches, BATCH_BYTES):
-            rows = rows.sort_by([("_id", "ascending"), ("_tag", "ascending")]).combine_chunks()
-            ids, tags = rows["_id"].to_numpy(), rows["_tag"].to_numpy()
+            rows = rows.sort_by([(c, "ascending") for c in KEY]).combine_chunks()
+            keys = np.stack([rows[c].to_numpy() for c in KEY])
+            ids = keys[0]
             found = [windows(*text_buffer(part.column(part.schema.get_field_index("text"))))
                      for chunk in runs(rows.to_batches(), CHUNK_BYTES) for part in chunk.to_batches()]
             hashes, second, counts = (np.concatenate(x) for x in zip(*found, strict=True))
             again = np.zeros(len(ids), bool)  # a repeated row is the same document
-            again[1:] = (ids[1:] == ids[:-1]) & (tags[1:] == tags[:-1])
+            again[1:] = (keys[:, 1:] == keys[:, :-1]).all(axis=0)
             docs = np.repeat(np.arange(len(ids)), counts)
             starts = np.arange(len(docs)) - np.repeat(np.cumsum(counts) - counts, counts)
             kept = ~again[docs]
@@ -106,13 +116,13 @@ def _map_side(windows: Windows, buckets: int) -> Callable[[Iterator[pa.RecordBat
             later[order] = (lead != order) & ((ids[docs[lead]] < ids[docs[order]]) | (docs[lead] == docs[order]))
             out = []
             if later.any():
-                out.append((int(ids[0] % buckets), True, _pack(ids, tags, docs[later], starts[later]), None))
+                out.append((int(keys[1, 0] % buckets), True, _pack(keys, docs[later], starts[later]), None))
             fresh = np.flatnonzero(~later)
             fresh = fresh[np.argsort(bucket[fresh], kind="stable")]
             cuts = np.searchsorted(bucket[fresh], np.arange(buckets + 1))
             for number in np.flatnonzero(np.diff(cuts)):
                 part = fresh[cuts[number]:cuts[number + 1]]
-                out.append((int(number), False, _pack(ids, tags, docs[part], starts[part]), hashes[part].tobytes()))
+                out.append((int(number), False, _pack(keys, docs[part], starts[part]), hashes[part].tobytes()))
             for at in range(0, len(out), 512):
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(column, kind.type) for column, kind in
@@ -120,77 +130,67 @@ def _map_side(windows: Windows, buckets: int) -> Callable[[Iterator[pa.RecordBat
     return map_batches
 
 
-def group_of(ids, groups: int):
-    """The group of documents in which a document is cut; Spark and numpy agree on it."""
-    return ids % groups
-
-
 def _settle(groups: int) -> Callable[[pa.Table], pa.Table]:
     return lambda rows: _settle_bucket(rows, groups)
 
 
 def _settle_bucket(rows: pa.Table, groups: int) -> pa.Table:
-    """The windows of one bucket that are not the first of their hash."""
-    ids, tags, starts, hashes = [], [], [], []
-    found = []
-    for settled, notes, packed in zip(rows["settled"].to_pylist(), rows["notes"], rows["hashes"], strict=True):
-        i, t, counts, s = _unpack(notes.as_py())
-        i, t = np.repeat(i, counts), np.repeat(t.astype(np.int64), counts)
-        if settled:
-            found.append((i, t, s))
-        else:
-            ids.append(i)
-            tags.append(t)
-            starts.append(s)
-            hashes.append(np.frombuffer(packed.as_py(), np.uint64))
-    if hashes:
-        h = np.concatenate(hashes)
-        order = np.argsort(h, kind="stable")
-        h = h[order]
-        twin = np.zeros(len(h), bool)
-        twin[1:] = h[1:] == h[:-1]
-        member = twin.copy()
-        member[:-1] |= twin[1:]
-        order, h = order[member], h[member]
-        i, t, s = (np.concatenate(x)[order] for x in (ids, tags, starts))
-        order = np.lexsort((s, t, i, h))
-        h, i, t, s = h[order], i[order], t[order], s[order]
-        lead = np.zeros(len(h), np.int64)
-        lead[1:] = np.where(h[1:] == h[:-1], 0, np.arange(1, len(h)))
-        lead = np.maximum.accumulate(lead)
-        own = np.zeros(len(h), np.int64)  # the first of the same document and hash
-        own[1:] = np.where((h[1:] == h[:-1]) & (i[1:] == i[:-1]) & (t[1:] == t[:-1]), 0, np.arange(1, len(h)))
-        own = np.maximum.accumulate(own)
-        later = (i[lead] < i) | (s[own] < s)
-        found.append((i[later], t[later], s[later]))
-    i, t, s = (np.concatenate(x) for x in zip(*found, strict=True))
-    group = group_of(i, groups)
-    order = np.lexsort((s, t, i, group))
-    i, t, s, group = i[order], t[order], s[order], group[order]
-    docs = np.zeros(len(i), np.int64)
-    docs[1:] = np.cumsum((i[1:] != i[:-1]) | (t[1:] != t[:-1]))
-    first = np.flatnonzero(np.diff(docs, prepend=-1))
-    cuts = np.append(np.flatnonzero(np.diff(group, prepend=-1)), len(i))
-    packed = [_pack(i[first], t[first], docs[a:b], s[a:b]) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
-    return pa.table({"_group": pa.array(group[cuts[:-1]], pa.int32()), "notes": pa.array(packed, pa.binary())})
-
-
-def _merge(notes: pa.ChunkedArray) -> dict[tuple[int, int], np.ndarray]:
+    """The windows of one bucket that are not the first of their hash, by the group of their document."""
+    keys, docs, starts, hashes, settled = [], [], [], [], []
+    n = 0
+    for done, notes, packed in zip(rows["settled"].to_pylist(), rows["notes"], rows["hashes"], strict=True):
+        key, counts, start = _unpack(notes.as_py())
+        keys.append(key)
+        docs.append(np.repeat(np.arange(n, n + len(counts), dtype=np.int32), counts))
+        n += len(counts)
+        starts.append(start.astype(np.int32))
+        settled.append(np.full(len(start), done))
+        hashes.append(np.zeros(len(start), np.uint64) if done else np.frombuffer(packed.as_py(), np.uint64))
+    keys, rank = _ranked(np.concatenate(keys, axis=1))
+    docs, starts, settled, h = (np.concatenate(x) for x in (docs, starts, settled, hashes))
+    del hashes
+    docs = rank[docs].astype(np.int32)
+    open_ = np.flatnonzero(~settled)
+    order = open_[np.argsort(h[open_], kind="stable")]
+    twin = np.zeros(len(order), bool)
+    twin[1:] = h[order[1:]] == h[order[:-1]]
+    member = twin.copy()
+    member[:-1] |= twin[1:]
+    order = order[member]
+    order = order[np.lexsort((starts[order], docs[order], h[order]))]
+    h, d, s = h[order], docs[order], starts[order]
+    same = h[1:] == h[:-1]
+    lead = np.zeros(len(h), np.int64)
+    lead[1:] = np.where(same, 0, np.arange(1, len(h)))
+    lead = np.maximum.accumulate(lead)
+    own = np.zeros(len(h), np.int64)  # the first of the same document and hash
+    own[1:] = np.where(same & (d[1:] == d[:-1]), 0, np.arange(1, len(h)))
+    own = np.maximum.accumulate(own)
+    ids = keys[0]
+    later = (ids[d[lead]] < ids[d]) | (s[own] < s)
+    d, s = np.concatenate([docs[settled], d[later]]), np.concatenate([starts[settled], s[later]])
+    group = keys[1] % groups
+    order = np.lexsort((s, d, group[d]))
+    d, s = d[order], s[order].astype(np.int64)
+    cuts = np.append(np.flatnonzero(np.diff(group[d], prepend=-1)), len(d))
+    packed = [_pack(keys, d[a:b], s[a:b]) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+    return pa.table({"_group": pa.array(group[d[cuts[:-1]]], pa.int32()), "notes": pa.array(packed, pa.binary())})
+
+
+def _merge(notes: pa.ChunkedArray) -> dict[tuple[int, ...], np.ndarray]:
     """Starts by document."""
     found = []
     for packed in notes:
-        ids, tags, counts, starts = _unpack(packed.as_py())
-        found.append((np.repeat(ids, counts), np.repeat(tags.astype(np.int64), counts), starts))
+        keys, counts, starts = _unpack(packed.as_py())
+        found.append((keys, counts, starts))
     if not found:
         return {}
-    ids, tags, starts = (np.concatenate(x) for x in zip(*found, strict=True))
-    order = np.lexsort((tags, ids))
-    ids, tags, starts = ids[order], tags[order], starts[order]
-    new = np.ones(len(ids), bool)
-    new[1:] = (ids[1:] != ids[:-1]) | (tags[1:] != tags[:-1])
-    first = np.flatnonzero(new)
-    keys = zip(ids[first].tolist(), tags[first].tolist(), strict=True)
-    return dict(zip(keys, np.split(starts, first[1:]), strict=True))
+    keys, rank = _ranked(np.concatenate([k for k, _, _ in found], axis=1))
+    docs = np.repeat(rank, np.concatenate([c for _, c, _ in found]))
+    order = np.argsort(docs, kind="stable")
+    first = np.flatnonzero(np.diff(docs[order], prepend=-1))
+    starts = np.concatenate([s for _, _, s in found])[order]
+    return dict(zip(zip(*keys.tolist(), strict=True), np.split(starts, first[1:]), strict=True))
 
 
 def cut_later_windows(docs: DataFrame, windows: Windows, bytes_per_window: float,
@@ -208,14 +208,15 @@ def cut_later_windows(docs: DataFrame, windows: Windows, bytes_per_window: float
     groups = max(1, math.ceil(total / GROUP_BYTES))
     packed = keyed.drop("doc_id").mapInArrow(_map_side(windows, buckets), PACKED).repartition(buckets, "bucket")
     marks = packed.groupBy("bucket").applyInArrow(_settle(groups), MARKS)
-    grouped = keyed.withColumn("_group", F.pmod("_id", F.lit(groups)).cast("int"))
+    # the tag spreads copies of a text, and texts of one doc_id
+    grouped = keyed.withColumn("_group", F.pmod("_tag", F.lit(groups)).cast("int"))
     kinds = {"doc_id": pa.int64(), size: pa.int64(), "n_removed": pa.int64(), "kept_sha256": pa.string(),
              "kept_text": pa.string(), "removed": pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))}
 
     def cut_group(rows: pa.Table, notes: pa.Table) -> pa.Table:
         starts = _merge(notes["notes"])
-        out = [(doc_id, *cut(text, starts.get((id_, tag)))) for doc_id, id_, tag, text in
-               zip(*(rows[c].to_pylist() for c in ("doc_id", "_id", "_tag", "text")), strict=True)]
+        out = [(doc_id, *cut(text, starts.get(tuple(key)))) for doc_id, text, *key in
+               zip(*(rows[c].to_pylist() for c in ("doc_id", "text", *KEY)), strict=True)]
         return pa.table([pa.array(c, kind) for c, kind in zip(zip(*out, strict=True) if out else [[]] * len(kinds),
                                                               kinds.values(), strict=True)], names=list(kinds))
 

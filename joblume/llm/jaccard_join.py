@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from joblume.llm.common import hash_words, identified, land, mix, runs, text_buffer, window_hashes
+from joblume.llm.common import KEY, hash_words, identified, land, mix, runs, text_buffer, window_hashes
 from joblume.llm.components import components
 
 WORDS = 5
@@ -69,7 +69,7 @@ def _sets_of(rows: pa.Table, words: int) -> list[np.ndarray]:
 
 def _survey(words: int):
     """A row per document, with its set's signature and size, and rows of shingles that are frequent in a batch."""
-    names = ["_id", "_tag", "sig", "n", "shingle", "count"]
+    names = [*KEY, "sig", "n", "shingle", "count"]
 
     def survey(batches):
         for rows in runs(batches, BATCH_BYTES):
@@ -77,8 +77,7 @@ def _survey(words: int):
             sigs = [signature(x) for x in sets]
             size = len(sets)
             yield pa.RecordBatch.from_arrays(
-                [*(pa.array(rows[c].combine_chunks() if not isinstance(rows[c], pa.Array) else rows[c])
-                   .cast(pa.int64()) for c in ("_id", "_tag")) , pa.array(sigs, pa.int64()),
+                [*(rows[c].combine_chunks() for c in KEY), pa.array(sigs, pa.int64()),
                  pa.array([len(x) for x in sets], pa.int64()), pa.nulls(size, pa.int64()), pa.nulls(size, pa.int64())],
                 names)
             distinct = dict(zip(sigs, sets, strict=True))
@@ -86,7 +85,7 @@ def _survey(words: int):
             some = counts >= OFTEN
             n = int(some.sum())
             yield pa.RecordBatch.from_arrays(
-                [pa.nulls(n, pa.int64())] * 4 + [pa.array(shingles[some].view(np.int64)),
+                [pa.nulls(n, pa.int64())] * (len(KEY) + 2) + [pa.array(shingles[some].view(np.int64)),
                                                  pa.array(counts[some].astype(np.int64))], names)
     return survey
 
@@ -315,8 +314,8 @@ def _sets(keyed: DataFrame, nodes: DataFrame, wanted: DataFrame, words: int) ->
             bit = _bit(batch.column(0).to_numpy(), batch.column(1).to_numpy())
             yield pa.RecordBatch.from_arrays([pa.array(bit // 32), pa.array(np.int64(1) << bit % 32)], ["at", "bits"])
 
-    first = nodes.groupBy("sig").agg(F.min(F.struct("_id", "_tag")).alias("f")) \
-        .join(wanted, "sig", "left_semi").select("f._id", "f._tag")
+    first = nodes.groupBy("sig").agg(F.min(F.struct(*KEY)).alias("f")) \
+        .join(wanted, "sig", "left_semi").select("f.*")
     marked = first.mapInArrow(bits, "at long, bits long").groupBy("at").agg(F.bit_or("bits").alias("bits")).toArrow()
     held = np.zeros(FILTER_BITS // 32, np.uint32)
     held[marked["at"].to_numpy()] = marked["bits"].to_numpy()
@@ -336,11 +335,11 @@ def _sets(keyed: DataFrame, nodes: DataFrame, wanted: DataFrame, words: int) ->
 
 
 def link_documents(docs: DataFrame, words: int = WORDS) -> DataFrame:
-    """(_id, _tag, sig, n, root) of each distinct document: nodes of equal root are linked, directly or not."""
+    """(_id, _tag, _tag2, sig, n, root) of each distinct document: nodes of equal root are linked, directly or not."""
     keyed = identified(docs)
-    surveyed = land(keyed.mapInArrow(_survey(words), "_id long, _tag long, sig long, n long, shingle long, count long"),
+    surveyed = land(keyed.mapInArrow(_survey(words), "_id long, _tag long, _tag2 long, sig long, n long, shingle long, count long"),
                     "survey")
-    nodes = surveyed.where("sig IS NOT NULL").select("_id", "_tag", "sig", "n").distinct()
+    nodes = surveyed.where("sig IS NOT NULL").select(*KEY, "sig", "n").distinct()
     frequent = (surveyed.where("shingle IS NOT NULL").groupBy("shingle").agg(F.sum("count").alias("count"))
                 .orderBy(F.desc("count"), "shingle").limit(FREQUENT).toArrow())
     shared = docs.sparkSession.sparkContext.broadcast(
@@ -375,7 +374,7 @@ def link_documents(docs: DataFrame, words: int = WORDS) -> DataFrame:
     if roots is None:
         return nodes.withColumn("root", F.col("sig"))
     return (nodes.join(roots.withColumnRenamed("node", "sig"), "sig", "left")
-            .withColumn("root", F.coalesce("root", "sig")).select("_id", "_tag", "sig", "n", "root"))
+            .withColumn("root", F.coalesce("root", "sig")).select(*KEY, "sig", "n", "root"))
 
 
 def near_duplicate_classes(docs: DataFrame, words: int = WORDS) -> DataFrame:
@@ -395,7 +394,7 @@ def near_duplicate_classes(docs: DataFrame, words: int = WORDS) -> DataFrame:
     linked = land(link_documents(docs, words), "linked")
     smallest = linked.where("n > 0").groupBy("root").agg(F.min("_id").alias("_first"))
     classes = linked.join(smallest, "root", "left").select(
-        "_id", "_tag", "n", F.when(F.col("n") > 0, F.col("_first")).otherwise(F.col("_id")).alias("_first"))
-    return rows.join(classes, ["_id", "_tag"]).select(
+        *KEY, "n", F.when(F.col("n") > 0, F.col("_first")).otherwise(F.col("_id")).alias("_first"))
+    return rows.join(classes, KEY).select(
         "doc_id", F.col("n").alias("n_shingles"),
         F.when(F.col("_first") < 2**63 - 1, F.col("_first")).alias("component_id"))

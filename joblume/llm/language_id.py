@@ -10,12 +10,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from joblume.llm.common import land, runs
 
 TOP = 400  # n-grams of a profile
-MAX_LANGUAGES = 1000  # a profile table of more languages than there are is a mistake in the labels
+BLOCK_LANGUAGES = 2000  # whose profiles go to every task at a time, about; more of them are more turns
 UNDETERMINED = "und"
 _BATCH_BYTES = 1024 * 1024
 _HELD_GRAMS = 1_000_000
@@ -128,36 +127,44 @@ def learn_profiles(docs: DataFrame, top: int = TOP) -> DataFrame:
 
 
 class _Profiles:
+    """Which languages have an n-gram, and at what rank: only what is there is kept."""
+
     def __init__(self, rows: pa.Table, top: int):
         self.names = sorted(set(rows["lang"].to_pylist()))
         where = {name: i for i, name in enumerate(self.names)}
-        # the last column stands for n-grams of no profile
-        self.grams = np.append(np.unique(rows["gram"].to_numpy()), -1)
-        self.ranks = np.full((len(self.names), len(self.grams)), -1, np.int64)
-        self.ranks[[where[x] for x in rows["lang"].to_pylist()],
-                   np.searchsorted(self.grams[:-1], rows["gram"].to_numpy())] = rows["rank"].to_numpy()
+        order = np.argsort(rows["gram"].to_numpy(), kind="stable")
+        self.grams = rows["gram"].to_numpy()[order]
+        self.langs = np.array([where[x] for x in rows["lang"].to_pylist()], np.int64)[order]
+        self.ranks = rows["rank"].to_numpy()[order]
         self.top = top
 
-    def predict(self, grams: np.ndarray) -> tuple[str, float]:
-        if not len(grams) or not self.names:
-            return UNDETERMINED, 0.0
-        at = np.searchsorted(self.grams[:-1], grams)
-        at[self.grams[at] != grams] = len(self.grams) - 1
-        ranks = self.ranks[:, at]
-        out = np.where(ranks < 0, self.top, np.abs(ranks - np.arange(len(grams))))
-        distance = out.sum(axis=1) / (len(grams) * self.top)
+    def nearest(self, grams: np.ndarray) -> tuple[int, str]:
+        """(out-of-place distance, language) of the nearest profile, ties by name."""
+        start, stop = np.searchsorted(self.grams, grams), np.searchsorted(self.grams, grams, side="right")
+        n = stop - start
+        at = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n) + np.repeat(start, n)
+        # a gram that a profile lacks is ``top`` places off, and no gram is further
+        nearer = self.top - np.abs(self.ranks[at] - np.repeat(np.arange(len(grams)), n))
+        distance = len(grams) * self.top - np.bincount(self.langs[at], nearer, len(self.names)).astype(np.int64)
         best = int(np.argmin(distance))
-        return self.names[best], float(1.0 - distance[best])
+        return int(distance[best]), self.names[best]
 
 
-def _predict(profiles, top: int, columns: list[str]):
-    def predict(batches):
+def _compare(profiles, top: int, columns: list[str]):
+    """Takes the nearest language of a block of profiles where it is nearer than what was found before."""
+    def compare(batches):
         model = _Profiles(profiles.value, top)
         for rows in runs(batches, _BATCH_BYTES):
-            found = [model.predict(ranked(*count_grams(gram_codes(text)), top)) for text in rows["text"].to_pylist()]
-            yield from rows.select(columns).append_column("lang_pred", pa.array([x[0] for x in found], pa.string())) \
-                .append_column("score", pa.array([x[1] for x in found], pa.float64())).to_batches()
-    return predict
+            found = []
+            for text, least, lang in zip(*(rows[c].to_pylist() for c in ("text", "_least", "_lang")), strict=True):
+                grams = ranked(*count_grams(gram_codes(text)), top)
+                one = (*model.nearest(grams), len(grams)) if len(grams) and model.names else None
+                before = None if lang is None else (least, lang, len(grams))
+                found.append(min((x for x in (one, before) if x), default=(None, None, None)))
+            yield from pa.table([*(rows[c] for c in columns), *(pa.array(c, kind) for c, kind in zip(
+                zip(*found, strict=True), (pa.int64(), pa.string(), pa.int64()), strict=True))],
+                names=[*columns, "_least", "_lang", "_grams"]).to_batches()
+    return compare
 
 
 def identify_language(docs: DataFrame, profiles: DataFrame, keep: list[Column], top: int = TOP) -> DataFrame:
@@ -168,17 +175,24 @@ def identify_language(docs: DataFrame, profiles: DataFrame, keep: list[Column],
     wins.  A null text, one without letters, and any text if there are no
     profiles is ``und`` with score 0.  Repeated rows and null ids are scored
     like any other; only ``text`` is read besides ``keep``; an empty table gives
-    an empty table.
+    an empty table.  Any number of languages is compared, in turns of some 2,000.
+    A text is read whole, with some 100 bytes of memory a character.
     """
+    spark = docs.sparkSession
     profiles = land(profiles, "profiles")
-    if (languages := profiles.select("lang").distinct().count()) > MAX_LANGUAGES:
-        raise ValueError(f"{languages} languages; profiles are sent to every task for {MAX_LANGUAGES} at most")
-    shared = docs.sparkSession.sparkContext.broadcast(profiles.toArrow())
+    turns = max(1, -(-profiles.select("lang").distinct().count() // BLOCK_LANGUAGES))
     texts = docs.select(*keep, F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    kept = texts.drop("text")
-    schema = T.StructType([*kept.schema.fields, T.StructField("lang_pred", T.StringType()),
-                           T.StructField("score", T.DoubleType())])
-    return texts.mapInArrow(_predict(shared, top, kept.columns), schema)
+    columns = texts.columns
+    found = texts.withColumns({c: F.lit(None).cast(kind) for c, kind in
+                               (("_least", "long"), ("_lang", "string"), ("_grams", "long"))})
+    for turn in range(turns):
+        block = profiles.where(F.pmod(F.xxhash64("lang"), F.lit(turns)) == turn)
+        shared = spark.sparkContext.broadcast(block.toArrow())
+        found = found.mapInArrow(_compare(shared, top, columns), found.schema)
+    score = 1.0 - F.col("_least") / (F.col("_grams") * top)
+    return found.select(*[F.col(f"`{c}`") for c in columns if c != "text"],
+                        F.coalesce("_lang", F.lit(UNDETERMINED)).alias("lang_pred"),
+                        F.coalesce(score, F.lit(0.0)).alias("score"))
 
 
 def learn_and_identify(docs: DataFrame, top: int = TOP) -> DataFrame:

@@ -7,32 +7,47 @@ import hashlib
 import numpy as np
 from pyspark.sql import DataFrame
 
-from joblume.llm.common import mix, window_hashes
+from joblume.llm.common import CUT_BYTES, mix, powers, window_hashes
 from joblume.llm.first_seen import covered, cut_later_windows, intervals
 
 LINES = 3
 BASES = (0xA0761D6478BD642F, 0xE7037ED1A0B428DB)
 BYTES_PER_LINE = 64.0
 _KEYS = np.random.Generator(np.random.PCG64(7)).integers(1, 2**63, 256, dtype=np.uint64)
-_POWERS = np.multiply.accumulate(np.full(1 << 16, 0xC2B2AE3D27D4EB4F, np.uint64))
+_BASE = 0xC2B2AE3D27D4EB4F
 
 
 def _line_hashes(raw, offsets):
-    """Hash of every line, blanks around it left out, and where each text's lines begin."""
+    """Hash of every line, blanks around it left out, and where each text's lines begin.
+
+    A long text is gone through in pieces that end with a line.
+    """
+    first, hashes, start = [np.empty(0, np.int64)], [np.empty(0, np.uint64)], 0
+    while start < len(raw):
+        stop = min(start + CUT_BYTES, len(raw))
+        while stop < len(raw) and raw[stop - 1] != 10:
+            feed = np.flatnonzero(raw[stop:stop + CUT_BYTES] == 10)
+            stop = stop + int(feed[0]) + 1 if len(feed) else min(stop + CUT_BYTES, len(raw))
+        inside = offsets[np.searchsorted(offsets, start):np.searchsorted(offsets, stop)]
+        found, lines = _hash_piece(raw[start:stop], inside - start)
+        first.append(found + start)
+        hashes.append(lines)
+        start = stop
+    return np.concatenate(hashes), np.searchsorted(np.concatenate(first), offsets)
+
+
+def _hash_piece(raw, cuts):
     # a text without a last line break ends its last line at its end
-    first = np.unique(np.concatenate([offsets[:-1], np.flatnonzero(raw == 10) + 1]))
-    first = first[first < len(raw)] if len(raw) else first[:0]
-    if not len(first):
-        return np.empty(0, np.uint64), np.zeros(len(offsets), np.int64)
+    first = np.unique(np.concatenate([[0], cuts, np.flatnonzero(raw[:-1] == 10) + 1]))
     blank = (raw == 32) | (raw == 9) | (raw == 13) | (raw == 10)
     place = np.arange(len(raw))
-    lengths = np.diff(np.append(first, len(raw)))
-    line = np.repeat(np.arange(len(first)), lengths)
+    line = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(raw))))
     begin = np.minimum.reduceat(np.where(blank, len(raw), place), first)
     end = np.maximum.reduceat(np.where(blank, -1, place), first)
     inside = (place >= begin[line]) & (place <= end[line])
-    keyed = np.where(inside, (_KEYS[raw] + np.uint64(1)) * _POWERS[(place - begin[line]) & 0xFFFF], np.uint64(0))
-    return mix(np.add.reduceat(keyed, first)), np.searchsorted(first, offsets)
+    keyed = np.where(inside, (_KEYS[raw] + np.uint64(1)) * powers(np.maximum(place - begin[line], 0), _BASE), np.uint64(0))
+    sizes = np.maximum(end - begin + 1, 0).astype(np.uint64)
+    return first, mix(np.add.reduceat(keyed, first) + mix(sizes))
 
 
 def line_windows(length: int):

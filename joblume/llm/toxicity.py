@@ -7,7 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from joblume.llm.common import land, runs
@@ -168,14 +168,19 @@ def _score(shared):
 
 def learn_model(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE,
                 features: int = FEATURES) -> tuple[list[str], np.ndarray, float]:
-    """(features, weights, bias), fitted on ``sample`` labelled documents at most, chosen by a hash of their id."""
+    """(features, weights, bias), fitted on ``sample`` labelled documents at most, chosen by a hash of their id.
+
+    The bound holds for rows: of several rows of a doc_id one is learned from.
+    """
     usable = (labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull())
               .groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").cast("int").alias("toxic"))
               .where(~held_out(F.col("doc_id"))).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample))
-    # so many rows of two numbers, whatever the data
+    # so many rows of two numbers, whatever the data; of a doc_id's rows one counts, as there may be very many
+    one = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"))
     labelled = land(docs.select(F.col("doc_id").cast("long").alias("doc_id"),
                                 F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-                    .join(F.broadcast(usable), "doc_id").select("toxic", "text"), "labelled")
+                    .join(F.broadcast(usable), "doc_id")
+                    .withColumn("_rank", F.row_number().over(one)).where("_rank = 1").select("toxic", "text"), "labelled")
     count = dict(labelled.groupBy("toxic").count().collect())
     names = _select(labelled, count.get(0, 0), count.get(1, 0), features)
     # feature numbers of the sample, not texts

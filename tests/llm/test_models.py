@@ -238,3 +238,69 @@ def test_basis_spans_the_leading_directions():
     leading = np.linalg.svd(matrix, full_matrices=False)[2][:5]
     assert np.allclose(np.linalg.norm(leading @ basis, axis=1), 1, atol=1e-2)
     assert np.allclose(basis.T @ basis, np.eye(basis.shape[1]), atol=1e-4)
+
+
+def test_any_number_of_languages(spark, documents, monkeypatch):
+    from joblume.llm import language_id
+    monkeypatch.setattr(language_id, "BLOCK_LANGUAGES", 400)
+    # a language a syllable pair; each says its own
+    rows = [(i, f"{chr(97 + i % 26)}{chr(97 + i // 26 % 26)}x{chr(97 + i // 676)}q " * 3, f"l{i:04d}") for i in range(1500)]
+    docs = documents(rows)
+    found = language_id.identify_language(docs, learn_profiles(docs), [docs.lang]).collect()
+    assert len(found) == 1500 and all(x.lang == x.lang_pred and x.score == 1.0 for x in found)
+
+
+def rank_order(texts, top=400):
+    """Profile of some texts by slicing and counting, n-grams in order."""
+    from collections import Counter
+    found = Counter()
+    for text in texts:
+        for word in re.findall(r"[^\W\d_]+", text.lower()):
+            padded = f" {word} "
+            found.update(g for n in (1, 2, 3) for i in range(len(padded) - n + 1) if (g := padded[i:i + n]) != " ")
+    code = lambda g: sum(ord(c) << 21 * k for k, c in enumerate(reversed(g)))
+    return sorted(found, key=lambda g: (-found[g], code(g)))[:top]
+
+
+def test_distance_against_brute_force_with_held_out_rows(documents):
+    import zlib
+    r = random.Random(6)
+    rows = [(i, say(r, lang, r.randrange(1, 12)), lang) for i, lang in enumerate(["aa", "bb", "cc"] * 20)]
+    out = lambda i: zlib.crc32(str(i).encode()) % 5 == 0
+    # a held-out row that would teach all of "cc" to "aa", were it learned from
+    wrong = next(i for i in range(1000, 2000) if out(i))
+    rows += [(wrong, " ".join(t for _, t, lang in rows if lang == "cc") * 3, "aa"), (900, "123 456", "aa"), (901, "zzzz", None)]
+    profiles = {lang: rank_order([t for i, t, x in rows if x == lang and not out(i)]) for lang in ("aa", "bb", "cc")}
+    for x in learn_and_identify(documents(rows)).collect():
+        grams = rank_order([next(t for i, t, _ in rows if i == x.doc_id)])
+        if not grams:
+            assert (x.lang_pred, x.score) == ("und", 0.0)
+            continue
+        distance = {lang: sum(abs(p.index(g) - k) if g in p else 400 for k, g in enumerate(grams)) for lang, p in profiles.items()}
+        best = min(distance, key=lambda lang: (distance[lang], lang))
+        assert x.lang_pred == best and abs(x.score - (1 - distance[best] / (400 * len(grams)))) < 1e-12
+        assert x.held_out == out(x.doc_id)
+
+
+def test_held_out_labels_would_flip_the_score(spark, documents):
+    import zlib
+    out = lambda i: zlib.crc32(str(i).encode()) % 5 == 0
+    r = random.Random(7)
+    learned = [i for i in range(2000) if not out(i)][:200]
+    rows = [(i, " ".join(f"w{r.randrange(50)}" for _ in range(20)) + (" vile" if k % 3 == 0 else "")) for k, i in enumerate(learned)]
+    labels = [(i, 1, int(k % 3 == 0)) for k, i in enumerate(learned)]
+    held = [i for i in range(2000, 9000) if out(i)][:600]
+    rows += [(i, " ".join(f"w{r.randrange(50)}" for _ in range(20)) + " mild") for i in held]
+    table = spark.createDataFrame(labels + [(i, 1, 1) for i in held], "doc_id long, quality int, toxic int")
+    got = {x.doc_id: x for x in score_toxicity(documents(rows), table).collect()}
+    assert all(got[i].held_out and got[i].predicted == 0 for i in held)
+    assert all(got[i].predicted == int(k % 3 == 0) for k, i in enumerate(learned))
+
+
+def test_a_labelled_id_of_very_many_rows_is_learned_from_once(spark, documents):
+    import zlib
+    ids = [i for i in range(100) if zlib.crc32(str(i).encode()) % 5]
+    rows = [(ids[0], f"word{i}") for i in range(500)] + [(i, "vile" if i % 2 else "kind") for i in ids[1:]]
+    table = spark.createDataFrame([(i, 1, i % 2) for i in ids], "doc_id long, quality int, toxic int")
+    names, weights, _ = toxicity.learn_model(documents(rows), table)
+    assert sum(n.strip("^$ ").startswith("word") for n in names) <= 9

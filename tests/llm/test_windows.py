@@ -103,3 +103,55 @@ def test_a_word_hashes_alike_wherever_it_stands():
 def test_gaps_come_back(values):
     packed = first_seen.gaps_to_bytes(np.array(values, np.int64))
     assert first_seen.gaps_from_bytes(packed).tolist() == values
+
+
+def test_documents_of_one_id_are_told_apart_by_more_than_a_crc(documents):
+    # two texts of one CRC-32, found by trying words
+    import zlib
+    seen, pair = {}, None
+    r = random.Random(0)
+    while pair is None:
+        text = " ".join(f"{r.randrange(10**6)}" for _ in range(25))
+        other = seen.setdefault(zlib.crc32(text.encode()), text)
+        pair = (other, text) if other != text else None
+    rows = [(None, pair[0]), (None, pair[1]), (None, pair[0] + " tail " + pair[0])]
+    assert result(remove_repeated_substrings(documents(rows)), "n_words") == brute_force(
+        rows, lambda t: re.findall(r"[^\x20\x09-\x0D]+", t), 20, " ")
+
+
+def test_long_words_and_lines_that_differ_far_apart(documents):
+    long = ["x" + "a" * 65_535 + "y", "y" + "a" * 65_535 + "x", "x" + "a" * 65_535 + "x"]
+    lead = " ".join(f"w{i}" for i in range(19))
+    rows = [(i, f"{lead} {w}") for i, w in enumerate(long)]
+    assert [r[2] for r in result(remove_repeated_substrings(documents(rows)), "n_words")] == [0, 0, 0]
+    rows = [(i, f"one\ntwo\n{w}") for i, w in enumerate(long)]
+    assert [r[2] for r in result(remove_repeated_lines(documents(rows)), "n_lines")] == [0, 0, 0]
+
+
+@pytest.mark.parametrize("piece", [5, 64, 1 << 22])
+def test_hashes_do_not_depend_on_the_pieces(monkeypatch, piece):
+    from joblume.llm import common, line_dedup
+    monkeypatch.setattr(common, "CUT_BYTES", piece)
+    monkeypatch.setattr(line_dedup, "CUT_BYTES", piece)
+    r = random.Random(8)
+    texts = [bytes(r.choice(b"  ab\n\r") for _ in range(r.randrange(50))) for _ in range(100)] + [b"w" * 300, b""]
+    raw, offsets = np.frombuffer(b"".join(texts), np.uint8), np.cumsum([0, *map(len, texts)])
+    for hashes, begins, units in (
+            (*hash_words(raw, offsets), [t.split() for t in texts]),
+            (*line_dedup._line_hashes(raw, offsets), [[x.strip(b" \r") for x in t.split(b"\n")][:-1 if t[-1:] in (b"", b"\n") else None]
+                                                      for t in texts])):
+        assert np.diff(begins).tolist() == [len(u) for u in units]
+        known = {}
+        for unit, value in zip([u for us in units for u in us], hashes.tolist(), strict=True):
+            assert known.setdefault(unit, value) == value
+        assert len(set(known.values())) == len(known)
+
+
+def test_a_text_of_fifty_megabytes_keeps_memory_flat():
+    import tracemalloc
+    raw = np.frombuffer(b"some words of a long text and 1 " * 1_600_000, np.uint8)
+    tracemalloc.start()
+    words, begins = hash_words(raw, np.array([0, len(raw)]))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(words) == begins[1] == 8 * 1_600_000 and peak < 700e6
