@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from joblume.llm.balanced_shards import balance_shards
-from joblume.llm.common import identified, land, table
+from joblume.llm.common import KEY, identified, land, table
 from joblume.llm.decontamination import leaked_items
 from joblume.llm.jaccard_join import link_documents
 from joblume.llm.language_id import UNDETERMINED, identify_language, learn_profiles
@@ -39,18 +39,18 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the document of the smallest doc_id of each group of near duplicates, and one of repeated rows."""
     linked = land(link_documents(docs), "linked")
-    group = F.when(F.col("n") > 0, F.struct(F.lit(0).alias("kind"), F.col("root"))) \
-        .otherwise(F.struct(F.lit(1).alias("kind"), F.xxhash64("_id", "_tag").alias("root")))
-    kept = linked.groupBy(group.alias("group")).agg(F.min(F.struct("_id", "_tag")).alias("k")).select("k._id", "k._tag")
-    rows = identified(docs, *_whole(docs)).drop("text").join(kept, ["_id", "_tag"], "left_semi")
-    same = Window.partitionBy("_id", "_tag").orderBy(F.xxhash64("_row"))
+    # a document without words is a group of its own
+    own = F.when(F.col("n") == 0, F.struct(*KEY))
+    kept = linked.groupBy("root", own.alias("own")).agg(F.min(F.struct(*KEY)).alias("k")).select("k.*")
+    rows = identified(docs, *_whole(docs)).drop("text").join(kept, KEY, "left_semi")
+    same = Window.partitionBy(*KEY).orderBy(F.xxhash64("_row"))
     return rows.withColumn("_rank", F.row_number().over(same)).where("_rank = 1").select("_row.*")
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that hold an item of the benchmark."""
-    leaks = leaked_items(docs, table(spark, sf_dir, "benchmark")).select("_id", "_tag").distinct()
-    return identified(docs, *_whole(docs)).drop("text").join(leaks, ["_id", "_tag"], "left_anti").select("_row.*")
+    leaks = leaked_items(docs, table(spark, sf_dir, "benchmark")).select(*KEY).distinct()
+    return identified(docs, *_whole(docs)).drop("text").join(leaks, KEY, "left_anti").select("_row.*")
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
