@@ -73,6 +73,8 @@ SELECT p_partkey,
 FROM {part}
 """
 
+FAILING_PAGE = "CAST(floor(count(*) * 3 / 200) AS BIGINT)"
+
 # replies hold the records of five parts; the batch (here times five) picks the variant
 _BATCH = "((p_partkey - p_partkey % 5) % 50)"
 RECORD_JSON = f"""concat('{{"titulo": ', CASE {_BATCH} WHEN 25 THEN '7' WHEN 30 THEN 'null' ELSE concat('"', p_name, '"') END,
@@ -90,6 +92,14 @@ STORED = """
 SELECT lower(concat(p_name, '|Brand#', CAST(p_size AS VARCHAR(20)))) AS item_key FROM {part}
 """
 
+# three snapshots of each URL: the first is cut short, the second has a mark before the page, the last is empty for some
+SNAPSHOTS = """
+SELECT page_id * 3 + k AS page_id, url,
+  CASE k WHEN 0 THEN left(html, 200) WHEN 1 THEN concat('<!-- ', CAST(page_id AS VARCHAR(20)), ' -->', html)
+         ELSE CASE WHEN page_id % 9 = 0 THEN '' ELSE replace(html, '<p>', '<p>again ') END END AS html
+FROM {pages} CROSS JOIN (VALUES (0), (1), (2)) AS v(k)
+"""
+
 # the cards of one listing page per page, by place k; `kind` picks the variant
 _KIND = "((page_id * 7 + k) % 8)"
 _ID = "concat(CAST(page_id AS VARCHAR(20)), '-', CAST(k AS VARCHAR(20)))"
@@ -166,14 +176,18 @@ def hardware_replies(spark: SparkSession, sf_dir: str) -> DataFrame:
         ELSE '{{}}' END AS response""")
 
 
-def title_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(page_no, nodes): the remote title list as it lands, 200 nodes a page."""
+def title_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(page_no, body): the remote title list page by page, 50 nodes each; three quarters on, a page is broken off."""
     content = """CASE WHEN p_partkey % 17 = 0 THEN NULL
         ELSE named_struct('content', CASE WHEN p_partkey % 19 = 0 THEN NULL ELSE named_struct('title', title) END) END"""
-    return (fixture(spark, sf_dir, TITLES)
-            .selectExpr("p_partkey div 200 AS page_no", f"{content} AS node")
-            .groupBy("page_no").agg(F.collect_list(F.struct("node")).alias("nodes"))
-            .select("page_no", F.transform("nodes", lambda n: n["node"]).alias("nodes")))
+    pages = (fixture(spark, sf_dir, TITLES)
+             .selectExpr("p_partkey div 50 AS page_no", f"{content} AS node")
+             .groupBy("page_no").agg(F.collect_list(F.struct("node")).alias("nodes")))
+    last = fixture(spark, sf_dir, TITLES).agg(F.expr("max(p_partkey) div 50"))
+    broken = fixture(spark, sf_dir, TITLES).agg(F.expr(FAILING_PAGE))
+    body = F.to_json(F.struct(F.transform("nodes", lambda n: n["node"]).alias("nodes"), F.when(
+        F.col("page_no") < last.scalar(), F.col("page_no") + 1).alias("next_page")), {"ignoreNullFields": "false"})
+    return pages.select("page_no", F.when(F.col("page_no") == broken.scalar(), F.left(body, F.lit(30))).otherwise(body).alias("body"))
 
 
 def job_site(spark: SparkSession, sf_dir: str, links: int = 7) -> tuple[DataFrame, DataFrame]:

@@ -5,8 +5,8 @@ from __future__ import annotations
 from joblume.checks import fixtures as fx
 
 NAMES = {name: name for name in ("pages", "events", "part", "documents")}
-URLS, TIMES, CARDS, ITEMS, TITLES, STORED = (
-    sql.format(**NAMES) for sql in (fx.URLS, fx.TIMES, fx.CARDS, fx.ITEMS, fx.TITLES, fx.STORED))
+URLS, TIMES, CARDS, ITEMS, TITLES, STORED, SNAPSHOTS = (
+    sql.format(**NAMES) for sql in (fx.URLS, fx.TIMES, fx.CARDS, fx.ITEMS, fx.TITLES, fx.STORED, fx.SNAPSHOTS))
 NOW = f"TIMESTAMP '{fx.NOW}'"
 # Fixed values, written out here so that the SQL does not borrow what it checks.
 _SPACE = ("\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007"
@@ -159,6 +159,7 @@ _NOTE = """('---' || chr(10) || 'titulo: ' || titulo || chr(10) || 'empresa: ' |
 _TITLE = "('[' || origem || '] ' || titulo || ' @ ' || empresa)"
 _BODY = "('Empresa: ' || empresa || chr(10) || 'Local: ' || localizacao || chr(10) || 'Link: ' || link_inscricao)"
 _LIST_URLS = f"(SELECT line_no, {_strip('value')} AS url FROM ({URLS}) WHERE NOT starts_with(value, '#') AND {_strip('value')} <> '')"
+_LATEST = f"(SELECT * FROM ({SNAPSHOTS}) QUALIFY row_number() OVER (PARTITION BY url ORDER BY page_id DESC) = 1)"
 _FIRST_LINE = f"split_part({_clean(_ARTICLE)}, chr(10), 1)"
 _HOST = "regexp_extract(url, '//([^/?#]*)', 1)"
 
@@ -166,13 +167,14 @@ _HOST = "regexp_extract(url, '//([^/?#]*)', 1)"
 def oracle_sql() -> dict[str, str]:
     return {
         "url_list_scan": f"SELECT line_no, url FROM {_LIST_URLS}",
-        "page_snapshot_lookup": f"""SELECT u.line_no, u.url, p.page_id, length(p.html) AS n_chars
-            FROM {_LIST_URLS} u LEFT JOIN pages p ON p.url = u.url""",
+        "page_snapshot_lookup": f"""SELECT u.line_no, u.url, p.page_id, length(p.html) AS n_chars, md5(p.html) AS digest
+            FROM {_LIST_URLS} u LEFT JOIN ({_LATEST}) p ON p.url = u.url""",
         "missing_pages": f"""SELECT line_no, url FROM {_LIST_URLS} u
             WHERE NOT EXISTS (SELECT 1 FROM pages p WHERE p.url = u.url AND html <> '')""",
         "url_first_lines": f"SELECT url, min(line_no) AS url_no, count(*) AS n_lines FROM {_LIST_URLS} GROUP BY url",
         "existing_titles_scan": f"""SELECT DISTINCT {_strip('lower(title)')} AS title FROM ({TITLES})
-            WHERE p_partkey % 17 <> 0 AND p_partkey % 19 <> 0 AND title IS NOT NULL AND title <> ''""",
+            WHERE p_partkey % 17 <> 0 AND p_partkey % 19 <> 0 AND title IS NOT NULL AND title <> ''
+              AND p_partkey // 50 < (SELECT {fx.FAILING_PAGE} FROM part)""",
         "response_scan": f"""SELECT batch_id, {fx.RESPONSE_JSON} AS response FROM (
             SELECT p_partkey // 5 AS batch_id, string_agg({fx.RECORD_JSON}, ', ' ORDER BY p_partkey) AS list FROM part GROUP BY 1)""",
         "empty_content_filter": "SELECT page_id FROM pages WHERE html IS NOT NULL AND html <> ''",
@@ -232,7 +234,7 @@ def oracle_sql() -> dict[str, str]:
         "batch_assign": f"WITH {FRESH_LINKS} SELECT listing_id, pos, link_no, link_no // 5 AS batch_no FROM numbered",
         "batch_text": f"""WITH {FRESH_LINKS},
             texts AS (SELECT n.listing_id, n.link_no // 5 AS batch_no, n.pos, n.href, {_clean(_ARTICLE)} AS clean_text
-                      FROM numbered n LEFT JOIN pages p ON p.url = n.href)
+                      FROM numbered n LEFT JOIN ({_LATEST}) p ON p.url = n.href)
             SELECT listing_id, batch_no,
               coalesce(string_agg('URL: ' || href || chr(10) || clean_text,
                 chr(10) || chr(10) || '=== NOVA VAGA ===' || chr(10) || chr(10) ORDER BY pos)
@@ -241,10 +243,29 @@ def oracle_sql() -> dict[str, str]:
         "request_build": f"""SELECT doc_id, 'gemini-2.5-flash' AS model, 'system' AS first_role,
             {_quoted(_PROMPT)} AS system, 'user' AS second_role, text AS content,
             CAST(0.1 AS DOUBLE) AS temperature, CAST(4096 AS BIGINT) AS max_output_tokens FROM documents""",
-        "run_counters": f"""WITH {REPLIES} SELECT batch_id // 4 AS url_no, count(*) AS n_batches,
-            CAST(count(*) * 5 AS BIGINT) AS n_links, CAST(sum(n_records) AS BIGINT) AS n_records,
-            count(*) FILTER (WHERE kind = 8) AS n_empty, CAST(0 AS BIGINT) AS n_failed, count(*) FILTER (WHERE NOT valid) AS n_invalid
-            FROM judged GROUP BY batch_id // 4""",
+        "run_counters": f"""WITH {FRESH_LINKS}, {REPLIES},
+            listed AS (SELECT listing_id, link_no // 5 AS batch_no, count(*) AS n_links FROM numbered GROUP BY 1, 2),
+            turns AS (SELECT *, row_number() OVER (ORDER BY listing_id, batch_no) - 1 AS turn, count(*) OVER () AS total FROM listed),
+            answered AS (SELECT j.*, listing_id AS url_no, url, n_links FROM judged j
+                         JOIN turns ON turn = batch_id % total JOIN pages ON page_id = listing_id),
+            counted AS (SELECT url AS source_url, count(*) AS n_batches, CAST(sum(n_links) AS BIGINT) AS n_links,
+                        CAST(sum(n_records) AS BIGINT) AS n_records, count(*) FILTER (WHERE kind = 8) AS n_empty,
+                        CAST(0 AS BIGINT) AS n_failed, count(*) FILTER (WHERE NOT valid) AS n_invalid FROM answered GROUP BY url),
+            keyed AS (SELECT r.*, a.url_no, {_KEY} AS item_key, {_site('a.url')} AS origem FROM records r
+                      JOIN answered a ON a.batch_id = r.batch_id),
+            firsts AS (SELECT *, row_number() OVER (PARTITION BY item_key ORDER BY url_no, batch_id, pos) AS place FROM keyed),
+            numbered_firsts AS (SELECT *, row_number() OVER (ORDER BY url_no, batch_id, pos) AS at, {_SEARCH} AS search,
+                        {_strip("lower('[' || origem || '] ' || titulo || ' @ ' || empresa)")} AS full_title
+                        FROM firsts WHERE place = 1),
+            unknown AS (SELECT * FROM numbered_firsts i WHERE {_NOT_KNOWN}),
+            accepted AS (SELECT * FROM unknown i WHERE NOT EXISTS (
+                        SELECT 1 FROM unknown j WHERE j.at < i.at AND contains(j.full_title, i.search))),
+            run AS (SELECT (SELECT count(*) FROM keyed) AS n_records, (SELECT count(*) FROM numbered_firsts) AS n_items,
+                        (SELECT count(*) FROM ({TITLES}) WHERE title <> '') AS n_known, (SELECT count(*) FROM accepted) AS n_sent)
+            SELECT source_url, name, value FROM (UNPIVOT counted ON n_batches, n_links, n_records, n_empty, n_failed, n_invalid)
+            UNION ALL SELECT NULL, v.name, v.value FROM run, LATERAL (VALUES ('n_records', n_records),
+              ('n_repeats', n_records - n_items), ('n_stored', 0), ('n_blank', 0), ('n_items', n_items), ('n_known', n_known),
+              ('n_suppressed', n_items - n_sent)) v(name, value)""",
         "response_parse": f"WITH {REPLIES} SELECT batch_id, valid, n_records FROM judged",
         "requisitos_normalise": f"""SELECT p_partkey // 5 AS batch_id, '/apply/' || p_partkey AS link, {_KIND} NOT IN (3, 4) AS valid,
             CASE WHEN {_KIND} NOT IN (3, 4) THEN {_SKILLS} END AS requisitos FROM part WHERE {_KIND} NOT IN (8, 9)""",
@@ -265,9 +286,16 @@ def oracle_sql() -> dict[str, str]:
         "ticket_fields": f"WITH {FINAL} SELECT pos, {_TITLE} AS title, search, {_BODY} AS body FROM searched",
         "requisitos_join": f"SELECT pos, replace(skills, ' ', ', ') AS requisitos FROM ({ITEMS})",
         "note_sink": f"WITH {FINAL} SELECT 'jobs' AS niche, {_NOTE_PATH} AS path, {_NOTE} AS content FROM final",
-        "jobs_table_sink": f"""WITH {FINAL}, flat AS (SELECT titulo, empresa, localizacao, origem, salario,
-              replace(skills, ' ', ', ') AS requisitos, link_inscricao, '2024-01-15 12:00:00' AS extraido_em FROM final)
-            SELECT * FROM flat UNION ALL SELECT * FROM flat""",
+        "jobs_table_sink": f"""WITH {FINAL}, flat AS (SELECT pos, titulo, empresa,
+              CASE WHEN pos % 41 <> 0 THEN localizacao END AS localizacao, origem, salario,
+              replace(skills, ' ', ', ') AS requisitos, link_inscricao, '2024-01-15 12:00:00' AS extraido_em FROM final),
+            judged AS (SELECT *, array_to_string(list_filter([CASE WHEN localizacao IS NULL THEN 'place' END,
+              CASE WHEN salario IN ('13', '14') THEN 'pay' END], lambda x: x IS NOT NULL), ', ') AS reason FROM flat),
+            good AS (SELECT *, row_number() OVER (ORDER BY pos) AS place, count(*) OVER () AS n FROM judged WHERE reason = '')
+            SELECT place + n * run AS id, titulo, empresa, localizacao, origem, salario, requisitos, link_inscricao, extraido_em,
+              NULL AS reason FROM good, (VALUES (0), (1)) runs(run)
+            UNION ALL SELECT NULL, titulo, empresa, localizacao, origem, salario, requisitos, link_inscricao, extraido_em, reason
+            FROM judged, (VALUES (0), (1)) runs(run) WHERE reason <> ''""",
         "ticket_outbox_sink": f"""WITH {FINAL}, unknown AS (SELECT * FROM searched i WHERE {_NOT_KNOWN})
             SELECT {_TITLE} AS title, {_BODY} AS body FROM unknown i
             WHERE NOT EXISTS (SELECT 1 FROM unknown j WHERE j.pos < i.pos AND contains(j.full_title, i.search))""",
@@ -279,14 +307,21 @@ def oracle_sql() -> dict[str, str]:
             UNION ALL SELECT 'JobsTable', true, count(*) FROM final
             UNION ALL SELECT 'TicketOutbox', true, count(*) FROM accepted
             UNION ALL SELECT 'BrokenSink', false, NULL""",
-        "sink_protocol": f"WITH {FINAL} SELECT item_key, 'jobs' AS niche FROM final",
-        "stream_page_dedupe": f"SELECT DISTINCT lower({_FIRST_LINE}) || '|' || lower({_site('url')}) AS item_key FROM pages",
+        "sink_protocol": f"WITH {FINAL} SELECT item_key || ' jobs' AS content, CAST(1 AS BIGINT) AS n_failed FROM final",
+        "stream_page_dedupe": f"""WITH cleaned AS (SELECT page_id, url, {_clean(_ARTICLE)} AS clean, {_site('url')} AS empresa FROM pages),
+            keyed AS (SELECT page_id, url, md5(clean) AS digest, length(clean) AS n_chars, left(clean, 1) AS titulo, empresa,
+                      lower(left(clean, 1)) || '|' || lower(empresa) AS item_key FROM cleaned)
+            SELECT * FROM keyed QUALIFY row_number() OVER (PARTITION BY item_key ORDER BY page_id) = 1""",
         "stream_recency": f"SELECT event_id FROM ({TIMES}) WHERE {_fresh()}",
-        "stream_fan_out": f"""WITH {REPLIES}, ranked AS (SELECT *, {_KEY} AS item_key,
-              row_number() OVER (PARTITION BY {_KEY} ORDER BY batch_id, pos) AS place FROM records),
-            stored AS (SELECT * FROM ranked WHERE place = 1 AND {_strip('titulo')} <> '' AND {_strip('empresa')} <> '')
-            SELECT item_key, titulo, empresa, salario, requisitos,
-              (SELECT count(*) FROM stored) AS n_notes FROM stored""",
+        "stream_fan_out": f"""WITH {REPLIES}, ranked AS (SELECT *, {_KEY} AS item_key, '' AS localizacao, 'List' AS origem,
+              row_number() OVER (PARTITION BY {_KEY} ORDER BY batch_id, pos) AS place,
+              'https://list.example' || link_inscricao AS link FROM records),
+            stored AS (SELECT * REPLACE ('Remoto' AS localizacao, link AS link_inscricao) FROM ranked
+              WHERE place = 1 AND {_strip('titulo')} <> '' AND {_strip('empresa')} <> '')
+            SELECT item_key, titulo, empresa, localizacao, origem, salario, requisitos, link_inscricao,
+              '2024-01-15 12:00:00' AS extraido_em,
+              replace({_NOTE_PATH}, '_' || pos || '.md', '_' || batch_id || '_' || pos || '.md') AS path, {_NOTE} AS content,
+              true AS gapless, CAST(0 AS BIGINT) AS n_unsent FROM stored""",
         "schema_spec": f"""WITH {REPLIES}, {HARDWARE}
             SELECT count(*) FILTER (WHERE valid) AS n_valid, count(*) FILTER (WHERE NOT valid) AS n_rejected, 'jobs' AS niche FROM judged
             UNION ALL SELECT count(*) FILTER (WHERE valid), count(*) FILTER (WHERE NOT valid), 'hardware' FROM hardware""",

@@ -2,22 +2,27 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from joblume.checks import fixtures as fx
 from joblume.functions import recency, text
 from joblume.operators import batches, links, records, replies, tickets
+from joblume.operators.skew import dense_rank_by
 from joblume.plans import run as plan
 from joblume.plans.specs import HARDWARE, JOBS
 from joblume.session import scratch_path
-from joblume.sinks.base import fan_out, store
+from joblume.sinks.base import current, fan_out, store
 from joblume.sinks.jobs_table import JobsTable, joined_list
 from joblume.sinks.notes import NoteTable, note_filename, render_notes
 from joblume.sinks.tickets import TicketOutbox
 from joblume.sources import pages as page_source
+from joblume.sources.title_pages import land_title_pages, read_title_pages
 from joblume.sources.titles import scan_titles
 from joblume.sources.url_list import first_lines, parse_lines
 from joblume.streaming import stream
+from joblume.streaming.state import first_by_order, settled
 
 POS = ["pos"]
 
@@ -58,9 +63,20 @@ def url_list_scan(spark, sf):
     return _urls(spark, sf)
 
 
+def _snapshots(spark, sf):
+    """A store of three snapshots of each URL, landed in two additions."""
+    store = page_source.PageStore(scratch_path(spark, "pages"), buckets=8)
+    snapshots = fx.fixture(spark, sf, fx.SNAPSHOTS)
+    for third in (True, False):
+        store.add(snapshots.where((F.col("page_id") % 3 == 2) == third))
+    return store
+
+
 def page_snapshot_lookup(spark, sf):
-    found = page_source.lookup(_urls(spark, sf), _pages(spark, sf).withColumn("n_chars", F.length("html").cast("bigint")))
-    return found.select("line_no", "url", "page_id", "n_chars")
+    def reduce(rows):
+        return rows.select("url", "page_id", F.length("html").cast("bigint").alias("n_chars"), F.md5("html").alias("digest"))
+    # as if the list were too long to be broadcast
+    return page_source.lookup(_urls(spark, sf), _snapshots(spark, sf), reduce, broadcast_limit=0)
 
 
 def missing_pages(spark, sf):
@@ -74,7 +90,9 @@ def url_first_lines(spark, sf):
 
 
 def existing_titles_scan(spark, sf):
-    return scan_titles(fx.title_listing(spark, sf))
+    path = scratch_path(spark, "titles")
+    land_title_pages(fx.title_pages(spark, sf), path)
+    return scan_titles(read_title_pages(spark, path))
 
 
 def response_scan(spark, sf):
@@ -233,8 +251,11 @@ def item_dedupe_first(spark, sf):
 
 
 def ticket_history_anti(spark, sf):
-    known = fx.fixture(spark, sf, fx.TITLES).where("title <> ''").select("title")
-    return tickets.drop_known(_final(spark, sf), known).select("pos", "titulo", "empresa")
+    index = tickets.TitleIndex(scratch_path(spark, "history"), buckets=8)
+    known = fx.fixture(spark, sf, fx.TITLES).where("title <> ''").select("p_partkey", "title")
+    for half in (0, 1):     # the history grows by additions
+        index.add(known.where(F.col("p_partkey") % 2 == half))
+    return tickets.drop_known(_final(spark, sf), index).select("pos", "titulo", "empresa")
 
 
 def ticket_self_suppress(spark, sf):
@@ -254,9 +275,13 @@ def batch_assign(spark, sf):
 def batch_text(spark, sf):
     assigned = links.assign_batches(_links(spark, sf)).select("listing_id", "batch_no", "pos", "href")
     assigned = plan.land(assigned, scratch_path(spark, "batches"), "links")
-    wanted = page_source.fetch(_pages(spark, sf), assigned.select(F.col("href").alias("url")).distinct())
-    cleaned = (batches.with_page(wanted, "text")
-               .select(F.col("url").alias("href"), batches.clean_text(F.col("page")).alias("clean_text")))
+
+    def reduce(rows):
+        text = batches.clean_text(F.col("page")).alias("clean_text")
+        return batches.with_page(rows, "text").select("url", "page_id", text)
+
+    cleaned = page_source.fetch(_snapshots(spark, sf), assigned.select(F.col("href").alias("url")).distinct(), reduce, 0) \
+        .select(F.col("url").alias("href"), "clean_text")
     joined = batches.join_details(assigned, cleaned, keep_missing=True, row_id=["listing_id", "pos"])
     return batches.batch_texts(joined, ["listing_id"])
 
@@ -271,10 +296,31 @@ def request_build(spark, sf):
 
 
 def run_counters(spark, sf):
-    parsed = replies.parse_replies(fx.replies(spark, sf))
-    pages = parsed.select(F.expr("batch_id div 4").alias("url_no"), F.lit("u").alias("url"), "records", "reason",
-                          F.lit(5).cast("bigint").alias("n_links"))
-    return plan.count_batches(pages).drop("source_url")
+    path = scratch_path(spark, "counted")
+    items, seen, parsed = _counted_run(spark, sf, path)
+    outbox = TicketOutbox(f"{path}/outbox", fx.fixture(spark, sf, fx.TITLES).where("title <> ''").select("title"))
+    outbox.write(items, "jobs")
+    per_url = plan.count_batches(parsed)
+    names = [c for c in per_url.columns if c.startswith("n_")]
+    per_url = per_url.select("source_url", F.explode(F.array(*[
+        F.struct(F.lit(c).alias("name"), F.col(c).alias("value")) for c in names])).alias("c")).select("source_url", "c.*")
+    counts = list((seen | outbox.seen).items())
+    return per_url.unionByName(spark.createDataFrame([(None, *c) for c in counts], per_url.schema))
+
+
+def _counted_run(spark, sf, path):
+    """Replies of the listings' batches, by turns, and the records that the run makes of them."""
+    listed = links.assign_batches(_links(spark, sf)).groupBy("listing_id", "batch_no").agg(F.count(F.lit(1)).alias("n_links"))
+    listed = plan.land(listed, path, "listed")
+    numbered = dense_rank_by(listed, ["listing_id", "batch_no"], "turn").drop("batch_no")
+    urls = _pages(spark, sf).select(F.col("page_id").alias("listing_id"), "url")
+    parsed = (replies.parse_replies(fx.replies(spark, sf))
+              .withColumn("turn", F.col("batch_id") % listed.count()).join(numbered, "turn").join(urls, "listing_id")
+              .select(F.col("listing_id").alias("url_no"), F.col("batch_id").alias("batch_no"), "url", "n_links",
+                      "records", "reason"))
+    parsed = plan.land(parsed, path, "parsed")
+    items, seen = plan.final_records(parsed, path)
+    return items, seen, parsed
 
 
 # -- replies
@@ -373,19 +419,30 @@ def note_sink(spark, sf):
     return spark.read.parquet(path).select("niche", "path", "content")
 
 
+JOB_RULES = {"place": "localizacao IS NOT NULL", "pay": "salario NOT IN ('13', '14')"}
+
+
+def _stored_jobs(spark, sink):
+    text = F.col("extraido_em").cast("string").alias("extraido_em")
+    columns = ["titulo", "empresa", "localizacao", "origem", "salario", "requisitos", "link_inscricao", text]
+    kept = spark.read.parquet(sink.path).select("id", *columns, F.lit(None).cast("string").alias("reason"))
+    aside = spark.read.parquet(sink.rejects).select(F.lit(None).cast("long").alias("id"), *columns, "reason")
+    return kept.unionByName(aside)
+
+
 def jobs_table_sink(spark, sf):
-    path = scratch_path(spark, "jobs")
-    sink = JobsTable(path, fx.NOW)
-    final = _final(spark, sf)
+    sink = JobsTable(scratch_path(spark, "jobs"), fx.NOW, order=POS, constraints=JOB_RULES)
+    some = F.when(F.col("pos") % 41 != 0, F.col("localizacao"))     # rows that the store refuses
+    final = _final(spark, sf).withColumn("localizacao", some)
     sink.write(final, "jobs")
     sink.write(final, "jobs")       # a second run stores everything again
-    return spark.read.parquet(path).drop("id").withColumn("extraido_em", F.col("extraido_em").cast("string"))
+    return _stored_jobs(spark, sink)
 
 
 def ticket_outbox_sink(spark, sf):
     path = scratch_path(spark, "outbox")
     known = fx.fixture(spark, sf, fx.TITLES).where("title <> ''").select("title")
-    sink = TicketOutbox(path, known, POS)
+    sink = TicketOutbox(path, known, POS, index=f"{path}-index")
     final = _final(spark, sf)
     sink.write(final, "jobs")
     sink.write(final, "jobs")       # all that was sent is known the second time
@@ -425,27 +482,49 @@ def fan_out_query(spark, sf):
 
 
 def sink_protocol(spark, sf):
-    class KeysOnly:
-        def __init__(self, path):
-            self.path = path
+    """A store of one's own, registered by name: two-phase files, once written and once failed in a task."""
+    from joblume.sinks.note_files import NoteFiles
 
-        def write(self, items, niche, batch_id=None):
-            store(items.select("item_key").withColumn("niche", F.lit(niche)), self.path, batch_id)
+    class Files:
+        def __init__(self, folder, broken=False):
+            self.folder, self.broken = folder, broken
 
-    path = scratch_path(spark, "keys")
-    fan_out(_final(spark, sf), [KeysOnly(path)], "jobs")
-    return spark.read.parquet(path)
+        def write(self, items, niche, batch_id=None):
+            lines = F.transform(F.array_sort(F.collect_list("item_key")), lambda key: F.concat(key, F.lit(f" {niche}")))
+            rows = (items.groupBy(F.expr("pos div 500").alias("part")).agg(F.array_join(lines, "\n").alias("content"))
+                    .withColumn("path", F.concat("part", F.lit(".txt"))))
+            if self.broken:     # one of the files cannot be written
+                rows = rows.withColumn("content", F.when(F.col("part") == 0, F.raise_error(F.lit("broken"))).otherwise(
+                    F.col("content")))
+            spark.dataSource.register(NoteFiles)
+            rows.write.format("note_files").option("folder", self.folder).mode("append").save()
+
+    path = scratch_path(spark, "files")
+    local = re.sub("^file:/*", "/", path)
+    status = fan_out(plan.land(_final(spark, sf), path, "items"), [Files(f"{local}/good"), Files(f"{local}/bad", True)], "jobs")
+    good = spark.read.text(f"{path}/good").select(F.col("value").alias("content"))
+    return good.crossJoin(F.broadcast(status.agg(F.count("error").alias("n_failed"))))
 
 
 # -- streams
 
+def _scrambled(frame, by, folder, parts=3):
+    """A table as files that land out of order, the first of them twice."""
+    for part in [*reversed(range(parts)), 0]:
+        frame.where(F.pmod(by, F.lit(parts)) == part).coalesce(1).write.mode("append").parquet(folder)
+
+
 def stream_page_dedupe(spark, sf):
-    pages = stream.read_stream(spark, sf, stream.PAGES_SCHEMA, "pages.parquet")
+    path = scratch_path(spark, "pages")
+    _scrambled(_pages(spark, sf), F.col("page_id"), path)
+    pages = stream.read_stream(spark, path, stream.PAGES_SCHEMA, files_per_trigger=1)
+    clean = batches.clean_text(F.col("page"))
     items = (batches.with_page(pages, "text")
-             .select(F.split_part(batches.clean_text(F.col("page")), F.lit("\n"), F.lit(1)).alias("titulo"),
-                     text.site_name(F.col("url")).alias("empresa"))
-             .select(records.item_key().alias("item_key")))
-    return stream.drain(stream.dedupe_stream(items), "dedupe")
+             .select("page_id", "url", F.md5(clean).alias("digest"), F.length(clean).cast("bigint").alias("n_chars"),
+                     F.left(clean, F.lit(1)).alias("titulo"), text.site_name(F.col("url")).alias("empresa"))
+             .withColumn("item_key", records.item_key()))
+    passed = stream.drain(first_by_order(items, "item_key", ["page_id"]), "dedupe")
+    return settled(passed, "item_key", ["page_id"])
 
 
 def stream_recency(spark, sf):
@@ -457,18 +536,29 @@ def stream_recency(spark, sf):
 
 def stream_fan_out(spark, sf):
     path = scratch_path(spark, "stream-fan-out")
-    fx.replies(spark, sf).write.parquet(f"{path}/landed")
-    arriving = stream.read_stream(spark, f"{path}/landed", "batch_id long, response string")
+    _scrambled(fx.replies(spark, sf), F.col("batch_id"), f"{path}/landed")
+    arriving = stream.read_stream(spark, f"{path}/landed", "batch_id long, response string", files_per_trigger=1)
     parsed = replies.parse_replies(arriving).withColumn("source_url", F.lit("https://list.example/"))
     items = replies.explode_records(parsed, ["batch_id", "source_url"]).withColumn("item_key", records.item_key())
     order = ["batch_id", "pos"]
-    sinks = [NoteTable(f"{path}/notes", fx.NOW, order), TicketOutbox(f"{path}/outbox", None, order),
-             JobsTable(f"{path}/jobs", fx.NOW)]
+    outbox = TicketOutbox(f"{path}/outbox", None, order, index=f"{path}/index")
+    sinks = [NoteTable(f"{path}/notes", fx.NOW, order), outbox, JobsTable(f"{path}/jobs", fx.NOW, order=order)]
     stream.start_fan_out(items, sinks, "jobs", f"{path}/checkpoint", order, f"{path}/work",
                          lambda first: records.repair(records.require_fields(first))).awaitTermination()
-    notes = spark.read.parquet(f"{path}/notes").agg(F.count(F.lit(1)).alias("n_notes"))
-    return spark.read.parquet(f"{path}/jobs").select(
-        records.item_key().alias("item_key"), "titulo", "empresa", "salario", "requisitos").crossJoin(F.broadcast(notes))
+    places = stream.places_of(f"{path}/checkpoint")
+    jobs, notes = current(spark, f"{path}/jobs", places), current(spark, f"{path}/notes", places)
+    ids = spark.read.parquet(f"{path}/jobs").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("id").alias("ids"),
+                                                 F.max("id").alias("last"))
+    dense = ids.select(((F.col("n") == F.col("ids")) & (F.col("n") == F.col("last"))).alias("gapless"))
+    # the outbox is read back as well: every record lies in a ticket
+    sent = tickets.drop_known(jobs, spark.read.parquet(f"{path}/outbox").select("title")).agg(
+        F.count(F.lit(1)).alias("n_unsent"))
+    listed = (jobs.withColumn("item_key", records.item_key())
+              .join(notes.select(F.substring_index("content", "\n# ", -1).alias("head"), "content", "path"),
+                    F.expr("head = concat(titulo, ' @ ', empresa)")))
+    return listed.select("item_key", "titulo", "empresa", "localizacao", "origem", "salario", "requisitos",
+                         "link_inscricao", F.col("extraido_em").cast("string").alias("extraido_em"), "path", "content") \
+        .crossJoin(F.broadcast(dense)).crossJoin(F.broadcast(sent))
 
 
 # -- extension surface

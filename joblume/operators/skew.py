@@ -88,6 +88,24 @@ def number_within(rows: DataFrame, group: list[str], position: str, name: str,
             .drop("_chunk", "_local", "_before"))
 
 
+def dense_rank_by(rows: DataFrame, order: list[str], name: str, start: int = 0) -> DataFrame:
+    """Numbers all rows from ``start`` on, without gaps, in the order of ``order``.
+
+    Rows are sorted in ranges, a task each.  A row's place in its task is written
+    down with it, and only the tasks' counts are added up: a row per task.
+    """
+    checkpoint_root(rows.sparkSession)
+    placed = (rows.repartitionByRange(*order).sortWithinPartitions(*order)
+              .withColumn("_place", F.monotonically_increasing_id()).checkpoint())
+    placed = placed.withColumn("_task", F.shiftright("_place", 33))
+    counts = placed.groupBy("_task").agg(F.count(F.lit(1)).alias("_rows"))
+    before = Window.orderBy("_task").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select("_task", F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_before"))
+    return (placed.join(F.broadcast(offsets), "_task")
+            .withColumn(name, F.col("_before") + F.col("_place").bitwiseAND(F.lit((1 << 33) - 1)) + F.lit(start))
+            .drop("_task", "_place", "_before"))
+
+
 def first_per_key(rows: DataFrame, key: list[str], order: list[str | Column]) -> DataFrame:
     """The first row of each key.
 

@@ -18,13 +18,16 @@ all that remains is an equality with the search text.  The answer is exact.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from hashlib import md5
+
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from joblume.functions.text import strip
 from joblume.operators.records import ARRIVAL
 from joblume.operators.skew import BROADCAST_BYTES, measured, spread_join
 from joblume.session import checkpoint_root
+from joblume.sinks.base import stored
 
 # Fixed value: what stands between title and company.
 ANCHOR = " @ "
@@ -64,16 +67,7 @@ def contained(titles: DataFrame, searches: DataFrame, payload: list[str],
     needles = (searches.where(F.col("search").contains(ANCHOR))
                .select(left.alias("needle"), (F.length("search") - F.length(left) - size).alias("_length"))
                .groupBy("needle").agg(F.collect_set("_length").alias("_lengths")))
-    # both sides of every anchor of every title; there may be more, and they may overlap
-    first = F.instr("text", F.lit(ANCHOR))
-    places = (F.when(F.locate(ANCHOR, F.substring(F.col("text"), first + 1, F.length("text"))) == 0, F.array(first))
-              .otherwise(F.filter(F.sequence(F.lit(1), F.length("text")),
-                                  lambda at: F.substring(F.col("text"), at, F.lit(size)) == ANCHOR)))
-    anchored = (titles.where(F.col("text").contains(ANCHOR))
-                .select("text", *payload, F.explode(places).alias("_at"))
-                .select(*payload,
-                        F.left("text", F.col("_at") - 1).alias("before"),
-                        F.substring(F.col("text"), F.col("_at") + size, F.length("text")).alias("after")))
+    anchored = _anchored(titles, payload)
     needles, size_of_needles = measured(needles)
     if size_of_needles <= broadcast_limit:
         matched = (_suffixes(anchored, "before", "after", *payload, suffix="needle")
@@ -89,6 +83,20 @@ def contained(titles: DataFrame, searches: DataFrame, payload: list[str],
                     "start", *payload))
 
 
+def _anchored(titles: DataFrame, payload: list[str]) -> DataFrame:
+    """Both sides of every anchor of every title; there may be several, and they may overlap."""
+    size = len(ANCHOR)
+    first = F.instr("text", F.lit(ANCHOR))
+    places = (F.when(F.locate(ANCHOR, F.substring(F.col("text"), first + 1, F.length("text"))) == 0, F.array(first))
+              .otherwise(F.filter(F.sequence(F.lit(1), F.length("text")),
+                                  lambda at: F.substring(F.col("text"), at, F.lit(size)) == ANCHOR)))
+    return (titles.where(F.col("text").contains(ANCHOR))
+            .select("text", *payload, F.explode(places).alias("_at"))
+            .select(*payload,
+                    F.left("text", F.col("_at") - 1).alias("before"),
+                    F.substring(F.col("text"), F.col("_at") + size, F.length("text")).alias("after")))
+
+
 def _suffixes(anchored: DataFrame, *columns: str, suffix: str) -> DataFrame:
     return (anchored.where(F.length("before") > 0)
             .select(*columns, F.explode(F.sequence(F.lit(1), F.length("before"))).alias("_n"))
@@ -111,14 +119,105 @@ def _match_shuffled(anchored: DataFrame, needles: DataFrame, payload: list[str])
             .where(F.endswith("before", "needle")))
 
 
-def drop_known(items: DataFrame, known: DataFrame, broadcast_limit: int = BROADCAST_BYTES) -> DataFrame:
+class TitleIndex:
+    """Known titles, kept so that looking texts up shuffles the texts alone.
+
+    A title has a row per anchor, per power of two that its part before the
+    anchor is long and per power of two that the part behind is: the key is of
+    the last, and the first, so many characters.  A search text has one such
+    key, of the largest powers within its own parts, and lies in a title exactly
+    if a row of that key ends and goes on with it.  The table is bucketed by key
+    and slot; the slots split what very many titles have in common.
+
+    It is made of files below ``path`` (a table of the session names them) and
+    only added to.  ``batch_id`` tells the titles of a stream's batch, which a
+    replay of that batch does not count as known.
+    """
+
+    BUCKETS = 64
+    SLOTS = 8
+    COLUMNS = "key BIGINT, slot INT, before STRING, after STRING, batch_id BIGINT"
+
+    def __init__(self, path: str, buckets: int = BUCKETS, hidden: int | None = None):
+        self.path, self.buckets, self.hidden = path.rstrip("/"), buckets, hidden
+        self.name = f"titles_{md5(self.path.encode()).hexdigest()}"
+
+    def without(self, batch_id: int | None) -> TitleIndex:
+        return TitleIndex(self.path, self.buckets, batch_id)
+
+    def table(self, spark: SparkSession) -> DataFrame:
+        spark.sql(f"CREATE TABLE IF NOT EXISTS {self.name} ({self.COLUMNS}) USING parquet "
+                  f"CLUSTERED BY (key, slot) INTO {self.buckets} BUCKETS LOCATION '{self.path}/titles'")
+        rows = spark.table(self.name)
+        return rows if self.hidden is None else rows.where(F.coalesce(F.col("batch_id") != self.hidden, F.lit(True)))
+
+    def exists(self, spark: SparkSession) -> bool:
+        return stored(spark, f"{self.path}/sizes") is not None
+
+    def size(self, spark: SparkSession) -> int:
+        """How many titles were added: from notes, a row per addition."""
+        sizes = stored(spark, f"{self.path}/sizes")
+        if sizes is None:
+            return 0
+        return sizes.where(F.coalesce(F.col("batch_id") != F.lit(self.hidden), F.lit(True))) \
+            .agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+
+    def add(self, titles: DataFrame, batch_id: int | None = None) -> None:
+        spark, mark = titles.sparkSession, Observation("titles")
+        texts = titles.where(F.col("title").isNotNull()).observe(mark, F.count(F.lit(1)).alias("n")) \
+            .select(known_title(F.col("title")).alias("text"))
+
+        def powers(side):
+            return F.transform(F.sequence(F.lit(0), F.floor(F.log2(F.length(side))).cast("int")),
+                               lambda p: F.pow(F.lit(2), p).cast("int"))
+
+        rows = (_anchored(texts, []).where((F.length("before") > 0) & (F.length("after") > 0))
+                .select("*", F.explode(powers("before")).alias("k")).select("*", F.explode(powers("after")).alias("m"))
+                .select(_anchor_key(F.right("before", F.col("k")), F.left("after", F.col("m"))).alias("key"),
+                        F.pmod(F.xxhash64("before", "after"), F.lit(self.SLOTS)).cast("int").alias("slot"),
+                        "before", "after", F.lit(batch_id).cast("long").alias("batch_id")))
+        self.table(spark)
+        # a task per bucket, so that an addition has a file per bucket
+        rows.repartition(self.buckets, "key", "slot").write.insertInto(self.name)
+        note = spark.createDataFrame([(mark.get.get("n", 0), batch_id)], "n long, batch_id long")
+        note.coalesce(1).write.mode("append").parquet(f"{self.path}/sizes")
+        spark.catalog.refreshTable(self.name)
+
+    def containing(self, searches: DataFrame) -> DataFrame:
+        """Those ``search`` texts that lie in a known title, each once."""
+        left = F.substring_index("search", ANCHOR, 1)
+        right = F.substring(F.col("search"), F.length(left) + len(ANCHOR) + 1, F.length("search"))
+
+        def power(side):
+            return F.pow(F.lit(2), F.floor(F.log2(F.length(side)))).cast("int")
+
+        parts = (searches.where(F.col("search").contains(ANCHOR)).select("search").distinct()
+                 .select("search", left.alias("_left"), right.alias("_right"))
+                 .where((F.length("_left") > 0) & (F.length("_right") > 0))
+                 .select("*", _anchor_key(F.right("_left", power("_left")), F.left("_right", power("_right"))).alias("key"),
+                         F.explode(F.sequence(F.lit(0), F.lit(self.SLOTS - 1))).alias("slot")))
+        # the texts are made into hash tables, bucket by bucket, and titles stream by
+        return (self.table(searches.sparkSession).join(parts.hint("shuffle_hash"), ["key", "slot"])
+                .where(F.endswith("before", "_left") & F.startswith("after", "_right")).select("search").distinct())
+
+
+def _anchor_key(suffix: Column, prefix: Column) -> Column:
+    return F.xxhash64(F.length(suffix), suffix, F.length(prefix), prefix)
+
+
+def drop_known(items: DataFrame, known: DataFrame | TitleIndex, broadcast_limit: int = BROADCAST_BYTES) -> DataFrame:
     """Leaves out records whose search text lies in a title of the history.
 
-    Records have both fields, as after ``records.finalize``.
+    Records have both fields, as after ``records.finalize``.  The history is a
+    table of titles, which is shuffled if the records' texts are too many to be
+    broadcast, or an index, which never is.
     """
     items = items.withColumn("search", search_text())
-    titles = known.select(known_title(F.col("title")).alias("text")).distinct()
-    inside = contained(titles, items.select("search"), [], broadcast_limit).select("search").distinct()
+    if isinstance(known, TitleIndex):
+        inside = known.containing(items.select("search"))
+    else:
+        titles = known.select(known_title(F.col("title")).alias("text"))
+        inside = contained(titles, items.select("search"), [], broadcast_limit).select("search").distinct()
     return items.join(inside.hint("merge"), "search", "left_anti").drop("search")
 
 
@@ -133,7 +232,9 @@ def drop_repeats(items: DataFrame, order: list[str] | None = None,
     """
     order = order or ARRIVAL
     place = F.col(order[0]) if len(order) == 1 else F.struct(*order)
-    items = items.withColumns({"search": search_text(), "_place": place})
+    checkpoint_root(items.sparkSession)
+    # read four times below
+    items = items.withColumns({"search": search_text(), "_place": place}).checkpoint()
     bodies = items.select(F.col("search").alias("text"), "_place")
     earliest = (contained(bodies, items.select("search"), ["_place"], broadcast_limit)
                 .groupBy("search").agg(F.min("_place").alias("_first")))
@@ -146,7 +247,6 @@ def drop_repeats(items: DataFrame, order: list[str] | None = None,
     if items.where(brackets | odd_origin).isEmpty():
         return still.drop("search", "_place")
 
-    checkpoint_root(items.sparkSession)
     still = still.checkpoint()
     prefix = F.length(F.concat(F.lit("["), F.lower("origem"), F.lit("]")))
     titles = still.select(known_title(ticket_title()).alias("text"), F.col("_place").alias("_by"),

@@ -1,23 +1,25 @@
 """The whole job: URL list and page snapshots to stored records.
 
-Three tables are landed on the way, in the shared folder: what was read off the
-listing pages (so HTML is parsed once), the replies with the records parsed from
-them (so no call to the model is repeated, and all sinks see the same), and the
-final records (which each sink reads).  A lost executor repeats tasks, never a finished stage.
+Four tables are landed on the way, in the shared folder: what was read off the
+listing pages (so HTML is parsed once), the requests, the replies with the records
+parsed from them (so all sinks see the same), and the final records (which each
+sink reads).  A lost executor repeats tasks, never a finished stage.  Replies are
+kept in a ledger: what was asked once, in this run or another, is not asked again.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 from datetime import datetime
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from joblume.functions.text import CONFIGURED_CHAR_LIMIT
 from joblume.operators import batches, links, records, replies
 from joblume.plans.specs import JOBS, SchemaSpec
+from joblume.plans.ledger import ReplyLedger
 from joblume.session import apply_rules, scratch_path
 from joblume.sinks.base import Sink, fan_out
 from joblume.sources import pages as page_source
@@ -36,6 +38,7 @@ class Run:
     counters: DataFrame
     dead_letters: DataFrame
     status: DataFrame | None = None
+    seen: dict[str, int] = field(default_factory=dict)
 
 
 def land(frame: DataFrame, folder: str, name: str) -> DataFrame:
@@ -101,18 +104,46 @@ def count_batches(parsed: DataFrame) -> DataFrame:
                  counted(F.col("reason").isNotNull() & (F.col("reason") != "no reply")).alias("n_invalid")))
 
 
+def final_records(parsed: DataFrame, folder: str, spec: SchemaSpec = JOBS,
+                  stored: DataFrame | None = None) -> tuple[DataFrame, dict[str, int]]:
+    """The final records of parsed replies (url_no, batch_no, url, records), landed, and what was seen on the way.
+
+    Counted while they are landed, without another pass: ``n_records`` found,
+    ``n_repeats`` of them skipped, ``n_stored`` known from earlier runs,
+    ``n_blank`` without a required field, ``n_items`` left.
+    """
+    marks = {name: Observation(name) for name in ("found", "unique", "new", "final")}
+
+    def counted(frame, name):
+        return frame.observe(marks[name], F.count(F.lit(1)).alias("n"))
+
+    found = counted(replies.explode_records(parsed.withColumn("source_url", F.col("url")), [*KEYS, "source_url"]), "found")
+    unique = counted(records.dedupe_first(found, key_parts=spec.key), "unique")
+    new = counted(unique if stored is None else records.drop_stored(unique, stored), "new")
+    final = records.require_fields(new, spec.required)
+    if spec.niche == "jobs":
+        final = records.repair(final)
+    items = land(counted(final, "final"), folder, "items")
+    n = {name: mark.get.get("n", 0) for name, mark in marks.items()}
+    return items, {"n_records": n["found"], "n_repeats": n["found"] - n["unique"], "n_stored": n["unique"] - n["new"],
+                   "n_blank": n["new"] - n["final"], "n_items": n["final"]}
+
+
 def run(spark: SparkSession, urls: DataFrame, pages: DataFrame, now: datetime | str,
         extractor: Callable[[str, str], str], sinks: Sequence[Sink] = (), work_dir: str | None = None,
         spec: SchemaSpec = JOBS, format: str = "markdown", char_limit: int = CONFIGURED_CHAR_LIMIT,
         batch_size: int = links.BATCH_SIZE, per_record: bool = False,
-        stored: DataFrame | None = None, call_partitions: int | None = None,
+        stored: DataFrame | None = None, call_partitions: int | None = None, ledger: str | None = None,
         attempts: int = batches.ATTEMPTS, wait: tuple[float, float] = batches.WAIT, **link_rules) -> Run:
     """Visits ``urls`` (line_no, url) in ``pages`` and hands the records to the sinks.
 
     ``stored`` (item_key) leaves out what earlier runs stored; without it a
     second run stores everything again.  ``call_partitions`` is how many tasks
     call the extractor, where its pace and not the data's size should tell;
-    ``attempts`` and ``wait`` are those of ``call_extractor``.
+    ``attempts`` and ``wait`` are those of ``call_extractor``.  ``ledger`` is
+    the folder of replies that runs share: a request that it answers makes no
+    call, and one whose call failed is sent again by the next run.  Without it
+    the replies of this run alone are kept, below its folder.
     """
     apply_rules(spark)
     for sink in sinks:
@@ -121,19 +152,14 @@ def run(spark: SparkSession, urls: DataFrame, pages: DataFrame, now: datetime |
     folder = work_dir or scratch_path(spark, "run")
     listings = land(read_listings(urls, pages, now, format, char_limit, **link_rules), folder, "listings")
     texts = batch_requests(listings, pages, format, char_limit, batch_size)
-    requests = batches.build_requests(texts, "text", spec.niche)
-    if call_partitions:
-        requests = requests.repartition(call_partitions)
-    answered = batches.call_extractor(requests, extractor, [*KEYS, "url", "n_links"], "text", attempts, wait)
-    parsed = land(replies.parse_replies(answered, spec, per_record), folder, "replies")
-    found = replies.explode_records(parsed.withColumn("source_url", F.col("url")), [*KEYS, "source_url"])
-    unique = records.dedupe_first(found, key_parts=spec.key)
-    if stored is not None:
-        unique = records.drop_stored(unique, stored)
-    final = records.require_fields(unique, spec.required)
-    if spec.niche == "jobs":
-        final = records.repair(final)
-    items = land(final, folder, "items")
+    requests = land(batches.build_requests(texts, "text", spec.niche), folder, "requests")
+    kept = ReplyLedger(ledger or f"{folder}/ledger")
+    answered = kept.answer(requests, extractor, "text", folder, call_partitions, attempts, wait)
+    columns = [*KEYS, "url", "n_links", "response", "call_error"]
+    parsed = land(replies.parse_replies(answered.select(*columns), spec, per_record), folder, "replies")
+    items, seen = final_records(parsed, folder, spec, stored)
+    status = fan_out(items, sinks, spec.niche) if sinks else None
+    for sink in sinks:
+        seen |= getattr(sink, "seen", {})
     return Run(listings=listings, replies=parsed, quarantine=replies.quarantine(parsed), items=items,
-               counters=count_batches(parsed), dead_letters=page_source.missing(urls, listings),
-               status=fan_out(items, sinks, spec.niche) if sinks else None)
+               counters=count_batches(parsed), dead_letters=page_source.missing(urls, listings), status=status, seen=seen)

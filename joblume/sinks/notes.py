@@ -12,7 +12,8 @@ from joblume.functions.recency import now_column
 from joblume.functions.text import flag_text, float_text, iso_timestamp, safe_name
 from joblume.operators.records import ARRIVAL
 from joblume.plans.specs import HARDWARE, JOBS, SchemaSpec
-from joblume.sinks.base import store
+from joblume.sinks.base import placed, store
+from joblume.sinks.note_files import NoteFiles
 
 SPECS = {"jobs": JOBS, "hardware": HARDWARE}
 
@@ -50,14 +51,14 @@ def note_content(spec: SchemaSpec, columns: list[str], now: Column, yaml_quote:
 
 
 def render_notes(items: DataFrame, niche: str, now: datetime | str | Column,
-                 order: list[str] | None = None, yaml_quote: bool = False) -> DataFrame:
+                 order: list[str] | None = None, yaml_quote: bool = False, keep: list[str] | None = None) -> DataFrame:
     """(niche, path, content) of each record; paths differ by the place of the record."""
     spec, moment = SPECS[niche], now_column(now)
     name = F.col(spec.name_field) if spec.name_field in items.columns else F.lit("item")
     places = [F.col(c) for c in (order or ARRIVAL)]
     return items.select(F.lit(niche).alias("niche"),
                         note_filename(name, niche, moment, places).alias("path"),
-                        note_content(spec, items.columns, moment, yaml_quote).alias("content"))
+                        note_content(spec, items.columns, moment, yaml_quote).alias("content"), *(keep or []))
 
 
 class NoteTable:
@@ -72,13 +73,14 @@ class NoteTable:
             .write.mode("overwrite").parquet(self.path)
 
     def write(self, items: DataFrame, niche: str, batch_id: int | None = None) -> None:
-        store(render_notes(items, niche, self.now, self.order, self.yaml_quote), self.path, batch_id)
+        store(render_notes(items, niche, self.now, self.order, self.yaml_quote, placed(items, batch_id)), self.path, batch_id)
 
 
 class NoteFolder:
     """Notes as files in a folder all executors have mounted.
 
-    Tasks write the files, and a task that runs again writes the same files.
+    They come into the folder when all tasks have written theirs; a write that
+    fails leaves nothing.  A batch that is written again replaces its files.
     """
 
     def __init__(self, folder: str, now, order: list[str] | None = None, yaml_quote: bool = False):
@@ -96,14 +98,6 @@ class NoteFolder:
                         pass
 
     def write(self, items: DataFrame, niche: str, batch_id: int | None = None) -> None:
-        folder = self.folder
-
-        def write_files(frames):
-            for frame in frames:
-                for path, content in zip(frame["path"], frame["content"]):
-                    with open(os.path.join(folder, path), "w", encoding="utf-8") as note:
-                        note.write(content)
-                yield frame[["path"]].iloc[:0]
-
-        (render_notes(items, niche, self.now, self.order, self.yaml_quote)
-         .mapInPandas(write_files, "path string").write.format("noop").mode("overwrite").save())
+        items.sparkSession.dataSource.register(NoteFiles)
+        (render_notes(items, niche, self.now, self.order, self.yaml_quote).select("path", "content")
+         .write.format(NoteFiles.name()).option("folder", self.folder).mode("append").save())

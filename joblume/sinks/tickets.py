@@ -2,27 +2,36 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
-from joblume.operators.tickets import drop_known, drop_repeats, with_ticket_fields
+from joblume.operators.tickets import BROADCAST_BYTES, TitleIndex, drop_known, drop_repeats, with_ticket_fields
 from joblume.session import checkpoint_root
 from joblume.sinks.base import store, stored
 
 
-def new_tickets(items: DataFrame, known: DataFrame | None, order: list[str] | None = None) -> DataFrame:
+def new_tickets(items: DataFrame, known: DataFrame | TitleIndex | None, order: list[str] | None = None,
+                broadcast_limit: int = BROADCAST_BYTES) -> DataFrame:
     """(title, body) of the records no known or earlier title contains."""
     if known is not None:
-        checkpoint_root(items.sparkSession)
-        # what follows reads the records several times
-        items = drop_known(items, known).checkpoint()
+        items = drop_known(items, known, broadcast_limit)
     return with_ticket_fields(drop_repeats(items, order)).select("title", "body")
 
 
 class TicketOutbox:
-    """Takes adverts only.  What lies in the outbox already counts as known, as do ``known`` titles."""
+    """Takes adverts only.  What lies in the outbox already counts as known, as do ``known`` titles.
 
-    def __init__(self, path: str, known: DataFrame | None = None, order: list[str] | None = None):
+    With ``index``, a folder, the titles are kept in an index that each write
+    adds its own to, so that the history is neither shuffled nor read whole;
+    ``known`` titles go in with the first write.  ``seen`` tells of the last
+    write how many titles were known and how many records were suppressed.
+    """
+
+    def __init__(self, path: str, known: DataFrame | None = None, order: list[str] | None = None,
+                 index: str | None = None):
         self.path, self.known, self.order = path, known, order
+        self.index = TitleIndex(index) if index else None
+        self.seen: dict[str, int] = {}
 
     def titles(self, spark: SparkSession, batch_id: int | None) -> DataFrame | None:
         sent = stored(spark, self.path)
@@ -36,5 +45,26 @@ class TicketOutbox:
     def write(self, items: DataFrame, niche: str, batch_id: int | None = None) -> None:
         if niche != "jobs":
             return
-        tickets = new_tickets(items, self.titles(items.sparkSession, batch_id), self.order)
+        spark = items.sparkSession
+        given, left, known = Observation("given"), Observation("left"), Observation("known")
+        count = F.count(F.lit(1)).alias("n")
+        if self.index is not None:
+            if self.known is not None and not self.index.exists(spark):
+                self.index.add(self.known.select("title"))
+            history = self.index.without(batch_id)
+            n_known = history.size(spark)
+        else:
+            history = self.titles(spark, batch_id)
+            history = history if history is None else history.observe(known, count)
+            n_known = None
+        checkpoint_root(spark)
+        items = items.observe(given, count).checkpoint()
+        tickets = new_tickets(items, history, self.order).observe(left, count)
         store(tickets, self.path, batch_id)
+        if self.index is not None:
+            part = self.path if batch_id is None else f"{self.path.rstrip('/')}/batch_id={batch_id}"
+            sent = stored(spark, part)
+            if sent is not None:
+                self.index.add(sent.select("title"), batch_id)
+        n_known = (0 if history is None else known.get.get("n", 0)) if n_known is None else n_known
+        self.seen = {"n_known": n_known, "n_suppressed": given.get.get("n", 0) - left.get.get("n", 0)}

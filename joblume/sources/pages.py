@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from hashlib import md5
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from joblume.operators.skew import BROADCAST_BYTES, measured, spread_join
@@ -17,7 +18,34 @@ def has_content(pages: DataFrame) -> DataFrame:
     return pages.where(F.col("html").isNotNull() & (F.col("html") != ""))
 
 
-def fetch(pages: DataFrame, wanted: DataFrame, reduce: Callable[[DataFrame], DataFrame] | None = None,
+class PageStore:
+    """Landed snapshots, bucketed by (url, page_id): a join by both shuffles its other side alone.
+
+    The store is files below ``path`` and is added to as snapshots land; a table
+    of the session names them.  ``buckets`` is fixed when the store is made: its
+    pages by what one task may read, since a bucket is read by one.
+    """
+
+    def __init__(self, path: str, buckets: int = 256):
+        self.path, self.buckets = path.rstrip("/"), buckets
+        self.name = f"pages_{md5(self.path.encode()).hexdigest()}"
+
+    def _named(self, spark: SparkSession) -> str:
+        spark.sql(f"CREATE TABLE IF NOT EXISTS {self.name} (page_id BIGINT, url STRING, html STRING) USING parquet "
+                  f"CLUSTERED BY (url, page_id) INTO {self.buckets} BUCKETS LOCATION '{self.path}'")
+        return self.name
+
+    def add(self, pages: DataFrame) -> None:
+        name = self._named(pages.sparkSession)
+        # a task per bucket, so that an addition has a file per bucket
+        pages.select("page_id", "url", "html").repartition(self.buckets, "url", "page_id").write.insertInto(name)
+        pages.sparkSession.catalog.refreshTable(name)
+
+    def read(self, spark: SparkSession) -> DataFrame:
+        return spark.table(self._named(spark))
+
+
+def fetch(pages: DataFrame | PageStore, wanted: DataFrame, reduce: Callable[[DataFrame], DataFrame] | None = None,
           broadcast_limit: int = BROADCAST_BYTES) -> DataFrame:
     """The latest snapshot of each wanted URL, with what else ``wanted`` has.
 
@@ -33,15 +61,22 @@ def fetch(pages: DataFrame, wanted: DataFrame, reduce: Callable[[DataFrame], Dat
     ``page_id``.  It is done on wanted pages only, unless most are wanted and
     they would have to be shuffled: then all are reduced first, and the shuffle
     is as narrow.
+
+    Out of a ``PageStore`` ``html`` is never shuffled, however long the list:
+    what is wanted is dealt out to its buckets, and pages stream by.
     """
     reduce = reduce or (lambda rows: rows)
+    bucketed = isinstance(pages, PageStore)
+    if bucketed:
+        pages = pages.read(wanted.sparkSession)
     latest = (pages.select("url", "page_id").join(wanted.select("url"), "url", "left_semi")
               .groupBy("url").agg(F.max("page_id").alias("page_id")))
     if len(wanted.columns) > 1:
         latest = latest.join(wanted, "url")
     latest, size = measured(latest)
     place = ["url", "page_id"]
-    strategy = "broadcast" if size <= broadcast_limit else "merge"
+    # of a store's bucket what is wanted is made into a hash table, and its pages are not sorted
+    strategy = "broadcast" if size <= broadcast_limit else "shuffle_hash" if bucketed else "merge"
     hinted = latest.hint(strategy)
     if strategy == "merge":
         n = latest.count()
@@ -67,12 +102,14 @@ def probably_in(rows: DataFrame, wanted: DataFrame, key: list[str], n: int) -> D
             .where("(shiftright(_bits, CAST(_at % 32 AS INT)) & 1) = 1").select(*rows.columns))
 
 
-def lookup(urls: DataFrame, pages: DataFrame) -> DataFrame:
-    """Every line of the list with its page; a URL without one has NULLs.
+def lookup(urls: DataFrame, pages: DataFrame | PageStore,
+           reduce: Callable[[DataFrame], DataFrame] | None = None, broadcast_limit: int = BROADCAST_BYTES) -> DataFrame:
+    """Every line of the list with its page, or what ``reduce`` makes of it; a URL without one has NULLs.
 
     A URL may fill a third of the list, so the join spreads hot ones.
     """
-    return spread_join(urls, fetch(pages, urls.select("url").distinct()), "url", "left", ["line_no"])
+    found = fetch(pages, urls.select("url").distinct(), reduce, broadcast_limit)
+    return spread_join(urls, found, "url", "left", ["line_no"])
 
 
 def missing(urls: DataFrame, found: DataFrame) -> DataFrame:

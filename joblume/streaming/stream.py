@@ -9,9 +9,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from joblume.functions.recency import MAX_AGE_HOURS, is_recent, iso_moment, now_column
-from joblume.operators.skew import first_per_key
 from joblume.session import apply_rules, scratch_path
-from joblume.sinks.base import Sink, fan_out, store, stored
+from joblume.sinks.base import PLACED, Sink, fan_out, store
+from joblume.streaming.state import first_by_order
 
 PAGES_SCHEMA = "page_id long, url string, html string"
 
@@ -54,33 +54,35 @@ def recent_stream(cards: DataFrame, key: str, now: datetime | str | Column, **re
 
 def start_fan_out(items: DataFrame, sinks: Sequence[Sink], niche: str, checkpoint: str,
                   order: list[str] | None = None, work_dir: str | None = None,
-                  finish: Callable[[DataFrame], DataFrame] | None = None, trigger: dict | None = None):
+                  finish: Callable[[DataFrame], DataFrame] | None = None, trigger: dict | None = None,
+                  ttl_hours: float | None = None):
     """Each micro-batch to all sinks; a batch that is replayed replaces its own output.
 
     With ``order`` give all records, repeats included: of equal keys the first
-    in that order passes within a micro-batch, and what an earlier one let pass
-    is kept out of later ones by the keys stored beside the checkpoint.  Then
-    ``finish`` makes the final records.  A sink that failed is told at the end
-    of the batch, after the others wrote, so that the batch is tried again.
+    in that order passes, by state (``first_by_order``), and nothing that was
+    stored is read again.  A record that turns out to be earlier than one that
+    passed in an earlier batch is stored as well; what passed is noted in
+    ``places_of(checkpoint)``, and ``current`` reads a store without what was
+    replaced.  ``finish`` makes the final records.  A sink that failed is told
+    at the end of the batch, after the others wrote, so that the batch is tried
+    again.
 
     ``trigger`` is as for ``writeStream.trigger``; without it the stream ends
     with what there is.
     """
-    folder, keys = work_dir or scratch_path(items.sparkSession, "stream"), f"{checkpoint.rstrip('/')}-keys"
+    folder, places = work_dir or scratch_path(items.sparkSession, "stream"), places_of(checkpoint)
+    if order:
+        apply_rules(items.sparkSession)
+        items = first_by_order(items, "item_key", order, ttl_hours) \
+            .withColumn("item_place", F.struct(*order)).drop("replaces")
 
     def write(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        if order:
-            apply_rules(spark)
-            batch = first_per_key(batch, ["item_key"], order)
-            seen = stored(spark, keys)
-            if seen is not None:
-                batch = batch.join(seen.where(F.col("batch_id") != batch_id).select("item_key"), "item_key", "left_anti")
         path = f"{folder}/batch"
         batch.write.mode("overwrite").parquet(path)
         landed = spark.read.parquet(path)
         if order:
-            store(landed.select("item_key"), keys, batch_id)
+            store(landed.select(*PLACED), places, batch_id)
         status = fan_out(finish(landed) if finish else landed, sinks, niche, batch_id)
         failed = status.where(F.col("error").isNotNull()).collect()   # one row per sink
         if failed:
@@ -90,6 +92,11 @@ def start_fan_out(items: DataFrame, sinks: Sequence[Sink], niche: str, checkpoin
             .trigger(**(trigger or {"availableNow": True})).start())
 
 
+def places_of(checkpoint: str) -> str:
+    """Where a stream notes the places of what passed: beside its checkpoint."""
+    return f"{checkpoint.rstrip('/')}-places"
+
+
 def drain(stream: DataFrame, name: str) -> DataFrame:
     """Runs a stream over all that is there and reads what it wrote."""
     spark = stream.sparkSession

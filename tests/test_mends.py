@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from joblume.operators import batches, records, replies, skew
-from joblume.sinks.base import fan_out, store, stored
+from joblume.sinks.base import current, fan_out, store, stored
 from joblume.sinks.jobs_table import JobsTable
 from joblume.sources import pages as page_source
 from joblume.streaming import stream
@@ -109,13 +109,15 @@ def test_a_stream_keeps_the_record_the_batch_keeps(spark, tmp_path):
         found = replies.explode_records(arriving.withColumn("source_url", F.lit("http://s")), ["batch_id", "source_url"])
         stream.start_fan_out(found.withColumn("item_key", records.item_key()), [jobs], "jobs", str(tmp_path / "cp"),
                              ["batch_id", "pos"], str(tmp_path / "work"), records.require_fields).awaitTermination()
-        return [r.salario for r in spark.read.parquet(jobs.path).collect()]
+        return [r.salario for r in current(spark, jobs.path, stream.places_of(str(tmp_path / "cp"))).collect()]
 
-    jobs = JobsTable(str(tmp_path / "jobs"), NOW)
+    jobs = JobsTable(str(tmp_path / "jobs"), NOW, order=["batch_id", "pos"])
     spark.createDataFrame([reply(2, "second"), reply(1, "first")], schema).coalesce(1).write.parquet(folder)
     assert go() == ["first"]
-    spark.createDataFrame([reply(0, "late")], schema).coalesce(1).write.mode("append").parquet(folder)
+    spark.createDataFrame([reply(3, "later")], schema).coalesce(1).write.mode("append").parquet(folder)
     assert go() == ["first"]
+    spark.createDataFrame([reply(0, "late, but earlier")], schema).coalesce(1).write.mode("append").parquet(folder)
+    assert go() == ["late, but earlier"]
 
 
 def test_a_long_list_filters_the_scan_before_the_shuffle(spark):
