@@ -62,6 +62,12 @@ FROM (SELECT part.*, p_partkey % (SELECT count(*) FROM {pages}) AS page_no FROM
 JOIN {pages} g ON g.page_id = p.page_no
 """
 
+# documents, every other one of those without markup as a paragraph of HTML
+ROUTED = """
+SELECT doc_id, CASE WHEN doc_id % 2 = 0 AND NOT contains(text, '<') AND NOT contains(text, '&')
+  THEN concat('<p>', text, '</p>') ELSE text END AS text FROM {documents}
+"""
+
 # titles of an earlier run: same names, but companies by another column
 TITLES = """
 SELECT p_partkey,
@@ -136,7 +142,7 @@ def items(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def listing_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(page_id, url, html): a listing page with its cards, made in the row."""
+    """(page_id, url, html): the pages with listing cards at the top of their bodies.  Their own list items are cards, too."""
     c = LISTING_COLUMNS
     card = f"""concat('<li class="job-search-card">',
         coalesce(concat('<a class="base-card__full-link" href="', {c['href']}, '"> ', {c['label']}, '</a>'), ''),
@@ -144,10 +150,9 @@ def listing_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
         coalesce(concat('<time', coalesce(concat(' datetime="', {c['datetime_attr']}, '"'), ''), '> ',
                         {c['time_text']}, '</time>'), ''),
         '<p>at <b>', url, '</b></p></li>')"""
-    return table(spark, sf_dir, "pages").selectExpr(
-        "page_id", "url",
-        f"""concat('<html><body><header><b>top</b></header><ul>',
-            array_join(transform(sequence(0L, {N_CARDS} - 1), k -> {card}), ''), '</ul></body></html>') AS html""")
+    listing = f"""concat('<body><header><b>top</b></header><ul>',
+        array_join(transform(sequence(0L, {N_CARDS} - 1), k -> {card}), ''), '</ul>')"""
+    return table(spark, sf_dir, "pages").selectExpr("page_id", "url", f"replace(html, '<body>', {listing}) AS html")
 
 
 def replies(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -214,7 +219,8 @@ def job_site(spark: SparkSession, sf_dir: str, links: int = 7) -> tuple[DataFram
 
 
 def echo_extractor(system: str, text: str) -> str:
-    """Stands in for a model: of each advert its first line and the host of its URL."""
+    """Stands in for a model: of each advert its first line, the host of its URL, and a digest of all its lines."""
+    import hashlib
     import json
     import re
     found = []
@@ -225,5 +231,6 @@ def echo_extractor(system: str, text: str) -> str:
         if lines:
             host = re.search("//([^/?#]*)", url)
             found.append({"titulo": lines[0], "empresa": host.group(1) if host else "self", "localizacao": "",
-                          "origem": "unknown", "salario": "", "requisitos": None, "link_inscricao": url})
+                          "origem": "unknown", "salario": hashlib.md5("\n".join(lines).encode()).hexdigest(),
+                          "requisitos": None, "link_inscricao": url})
     return json.dumps({"vagas": found})

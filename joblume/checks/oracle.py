@@ -5,8 +5,8 @@ from __future__ import annotations
 from joblume.checks import fixtures as fx
 
 NAMES = {name: name for name in ("pages", "events", "part", "documents")}
-URLS, TIMES, CARDS, ITEMS, TITLES, STORED, SNAPSHOTS = (
-    sql.format(**NAMES) for sql in (fx.URLS, fx.TIMES, fx.CARDS, fx.ITEMS, fx.TITLES, fx.STORED, fx.SNAPSHOTS))
+URLS, TIMES, CARDS, ITEMS, TITLES, STORED, SNAPSHOTS, ROUTED = (sql.format(**NAMES) for sql in (
+    fx.URLS, fx.TIMES, fx.CARDS, fx.ITEMS, fx.TITLES, fx.STORED, fx.SNAPSHOTS, fx.ROUTED))
 NOW = f"TIMESTAMP '{fx.NOW}'"
 # Fixed values, written out here so that the SQL does not borrow what it checks.
 _SPACE = ("\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007"
@@ -35,7 +35,7 @@ def _compact(x):
 
 
 # text of a piece of HTML: removed elements, line breaks at blocks, no tags, entities last
-_REMOVED = "script style svg noscript header footer nav iframe button aside form".split()
+_REMOVED = ["script", "style", "svg", "noscript", "header", "footer", "nav", "iframe", "button", "aside", "form"]
 
 
 def _html_text(x):
@@ -115,6 +115,7 @@ placed AS (SELECT page_id, url, unnest(range({fx.N_CARDS})) AS k FROM pages),
 cards AS (SELECT page_id AS listing_id, k AS pos, url, {_COLS['href']} AS href, {_COLS['other_href']} AS other_href,
                  {_COLS['datetime_attr']} AS datetime_attr, {_COLS['time_text']} AS time_text, {_COLS['label']} AS label
           FROM placed),
+own_items AS (SELECT page_id AS listing_id, {fx.N_CARDS} + unnest(range(len(regexp_extract_all(html, '<li[ >]')))) AS pos FROM pages),
 fresh AS (SELECT listing_id, min(pos) AS pos, href FROM cards
           WHERE contains(href, 'http') AND {_fresh('time_text IS NOT NULL')} GROUP BY listing_id, href),
 anchors AS (SELECT listing_id, pos * 2 AS pos, href FROM cards WHERE contains(href, 'http')
@@ -192,12 +193,15 @@ def oracle_sql() -> dict[str, str]:
                    ELSE {_clean(_ARTICLE)} END AS text FROM pages
             UNION ALL SELECT 'document', doc_id,
               contains(text, '=== NOVA VAGA ===') OR NOT starts_with({_strip('text')}, '<'),
-              CASE WHEN contains(text, '=== NOVA VAGA ===') OR NOT starts_with({_strip('text')}, '<') THEN text END
-            FROM documents""",
-        "card_explode": f"WITH {LISTING} SELECT listing_id, pos, href FROM cards",
+              CASE WHEN contains(text, '=== NOVA VAGA ===') OR NOT starts_with({_strip('text')}, '<') THEN text
+                   ELSE {_clean('text')} END
+            FROM ({ROUTED})""",
+        "card_explode": f"""WITH {LISTING} SELECT listing_id, pos, href FROM cards
+            UNION ALL SELECT listing_id, pos, NULL FROM own_items""",
         "card_link_select": f"WITH {LISTING} SELECT listing_id, pos, href FROM cards WHERE contains(href, 'http')",
         "card_time_select": f"""WITH {LISTING} SELECT listing_id, pos, time_text IS NOT NULL AS has_time,
-            CASE WHEN time_text IS NOT NULL THEN datetime_attr END AS datetime_attr, time_text FROM cards""",
+            CASE WHEN time_text IS NOT NULL THEN datetime_attr END AS datetime_attr, time_text FROM cards
+            UNION ALL SELECT listing_id, pos, false, NULL, NULL FROM own_items""",
         "link_fallback": f"WITH {LISTING} SELECT listing_id, pos, href FROM page_links",
         "boilerplate_prune": f"SELECT page_id, {_clean('html')} AS clean_text FROM pages",
         "main_content_select": """SELECT page_id, CASE WHEN contains(html, '<main') THEN 'main'
@@ -325,6 +329,20 @@ def oracle_sql() -> dict[str, str]:
         "schema_spec": f"""WITH {REPLIES}, {HARDWARE}
             SELECT count(*) FILTER (WHERE valid) AS n_valid, count(*) FILTER (WHERE NOT valid) AS n_rejected, 'jobs' AS niche FROM judged
             UNION ALL SELECT count(*) FILTER (WHERE valid), count(*) FILTER (WHERE NOT valid), 'hardware' FROM hardware""",
-        "extractor_seam": f"SELECT page_id, {_FIRST_LINE} AS titulo, 'self' AS empresa, CAST(0 AS BIGINT) AS n_requisitos FROM pages",
-        "whole_run": f"SELECT DISTINCT lower({_FIRST_LINE}) || '|' || lower({_HOST}) AS item_key FROM pages WHERE {_FIRST_LINE} <> ''",
+        "extractor_seam": f"""SELECT page_id, {_FIRST_LINE} AS titulo, 'self' AS empresa, md5({_clean(_ARTICLE)}) AS digest,
+            CAST(0 AS BIGINT) AS n_requisitos FROM pages""",
+        "whole_run": f"""WITH latest AS (SELECT page_id, url, {_clean(_ARTICLE)} AS clean FROM pages
+              QUALIFY row_number() OVER (PARTITION BY url ORDER BY page_id DESC) = 1),
+            targets AS (SELECT p.page_id AS url_no, k, (p.page_id + k) % (SELECT count(*) FROM pages) AS target
+              FROM pages p, (VALUES (0), (1), (2), (4), (5), (6)) cards(k)),
+            hrefs AS (SELECT url_no, min(k) AS k, url FROM targets JOIN pages ON page_id = target GROUP BY url_no, url),
+            listed AS (SELECT url_no, url, row_number() OVER (PARTITION BY url_no ORDER BY k) - 1 AS link_no FROM hrefs),
+            found AS (SELECT url_no, link_no // 5 AS batch_no,
+                row_number() OVER (PARTITION BY url_no, link_no // 5 ORDER BY link_no) - 1 AS pos,
+                'https://list.example/vagas/' || url_no AS source_url, split_part(clean, chr(10), 1) AS titulo, {_HOST} AS empresa,
+                md5(clean) AS digest, url AS link_inscricao FROM listed JOIN latest USING (url) WHERE clean <> ''),
+            keyed AS (SELECT *, {_KEY} AS item_key FROM found)
+            SELECT url_no, batch_no, pos, source_url, item_key, titulo, empresa, '' AS localizacao, 'List' AS origem, digest,
+              '' AS requisitos, link_inscricao FROM keyed
+            QUALIFY row_number() OVER (PARTITION BY item_key ORDER BY url_no, batch_no, pos) = 1""",
     }

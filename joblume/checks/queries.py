@@ -11,6 +11,7 @@ from joblume.functions import recency, text
 from joblume.operators import batches, links, records, replies, tickets
 from joblume.operators.skew import dense_rank_by
 from joblume.plans import run as plan
+from joblume.plans.ledger import ReplyLedger
 from joblume.plans.specs import HARDWARE, JOBS
 from joblume.session import scratch_path
 from joblume.sinks.base import current, fan_out, store
@@ -140,15 +141,14 @@ def empty_result_guard(spark, sf):
 
 
 def text_route(spark, sf):
-    pages = (batches.with_page(_pages(spark, sf), "text")
-             .select(F.lit("page").alias("kind"), F.col("page_id").alias("id"),
-                     batches.is_ready_text(F.col("html")).alias("ready"),
-                     batches.route_text(F.col("html"), batches.clean_text(F.col("page"))).alias("text")))
-    docs = (fx.table(spark, sf, "documents")
-            .select(F.lit("document").alias("kind"), F.col("doc_id").alias("id"),
-                    batches.is_ready_text(F.col("text")).alias("ready"),
-                    F.when(batches.is_ready_text(F.col("text")), F.col("text")).alias("text")))
-    return pages.unionByName(docs)
+    def routed(rows, kind, key, text):
+        html = rows.select(F.lit(kind).alias("kind"), F.col(key).alias("id"), F.col(text).alias("html"))
+        ready = html.withColumn("ready", batches.is_ready_text(F.col("html")))
+        read = batches.with_page(ready.where(~F.col("ready")), "text")
+        return ready.where("ready").select("kind", "id", "ready", F.col("html").alias("text")).unionByName(
+            read.select("kind", "id", "ready", batches.route_text(F.col("html"), batches.clean_text(F.col("page"))).alias("text")))
+    return routed(_pages(spark, sf), "page", "page_id", "html").unionByName(
+        routed(fx.fixture(spark, sf, fx.ROUTED), "document", "doc_id", "text"))
 
 
 # -- page to records
@@ -574,16 +574,27 @@ def schema_spec(spark, sf):
 
 
 def extractor_seam(spark, sf):
-    requests = batches.build_requests(_clean(spark, sf).select("page_id", "clean_text"), "clean_text")
-    answered = batches.call_extractor(requests, fx.echo_extractor, ["page_id"], "clean_text")
-    found = replies.explode_records(replies.parse_replies(answered), ["page_id"])
-    return found.select("page_id", "titulo", "empresa", F.size("requisitos").cast("bigint").alias("n_requisitos"))
+    path = scratch_path(spark, "seam")
+    texts = _clean(spark, sf).select(F.col("page_id").alias("url_no"), F.lit(0).cast("long").alias("batch_no"), "clean_text")
+    requests = plan.land(batches.build_requests(texts, "clean_text"), path, "requests")
+    ledger = ReplyLedger(f"{path}/ledger")
+    ledger.answer(requests, fx.echo_extractor, "clean_text", f"{path}/first")
+
+    def nobody(system, text):
+        raise ValueError("asked again")
+    # a second run over the same pages makes no call
+    answered = ledger.answer(requests, nobody, "clean_text", f"{path}/second")
+    found = replies.explode_records(replies.parse_replies(answered), ["url_no"])
+    return found.select(F.col("url_no").alias("page_id"), "titulo", "empresa", F.col("salario").alias("digest"),
+                        F.size("requisitos").cast("bigint").alias("n_requisitos"))
 
 
 def whole_run(spark, sf):
     urls, pages = fx.job_site(spark, sf)
     done = plan.run(spark, urls, pages, fx.NOW, fx.echo_extractor, format="text")
-    return done.items.select("item_key")
+    return done.items.select("url_no", "batch_no", F.col("pos").cast("bigint").alias("pos"), "source_url", "item_key", "titulo",
+                             "empresa", "localizacao", "origem", F.col("salario").alias("digest"),
+                             joined_list(F.col("requisitos")).alias("requisitos"), "link_inscricao")
 
 
 def queries() -> dict:

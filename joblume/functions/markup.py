@@ -19,8 +19,8 @@ from pyspark.sql import functions as F
 # Fixed values ---------------------------------------------------------------
 
 # elements removed with all they hold
-BOILERPLATE = ("script style svg noscript header footer nav iframe button aside "
-               "form meta link").split()
+BOILERPLATE = ["script", "style", "svg", "noscript", "header", "footer", "nav", "iframe", "button", "aside", "form",
+               "meta", "link"]
 
 # where the main content is looked for: by this order, then document order
 MAIN_SELECTORS = ["main", "article", "#content", "#main", ".job-description",

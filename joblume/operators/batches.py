@@ -70,14 +70,17 @@ def batch_texts(linked: DataFrame, keys: list[str], text: str = "clean_text") ->
     """One text per batch, in link order; ``linked`` keeps links without a text.
 
     A batch whose pages are all missing is an empty text, and still a batch.  A
-    group is one batch, so its size is bounded by the batch size.
+    group is one batch, so its size is bounded by the batch size.  With a
+    ``parse_error`` among the columns, ``n_unread`` counts pages that were there
+    and could not be read.
     """
+    unread = [F.count("parse_error").alias("n_unread")] if "parse_error" in linked.columns else []
     entry = F.when(F.col(text).isNotNull(),
                    F.struct("pos", F.concat(F.lit("URL: "), "href", F.lit("\n"), text).alias("entry")))
     entries = F.transform(F.array_sort(F.collect_list(entry)), lambda e: e["entry"])
     return (linked.groupBy(*keys, "batch_no")
             .agg(F.array_join(entries, BATCH_SEPARATOR).alias("batch_text"),
-                 F.count(F.lit(1)).alias("n_links"), F.count(text).alias("n_texts")))
+                 F.count(F.lit(1)).alias("n_links"), F.count(text).alias("n_texts"), *unread))
 
 
 def system_prompt(niche: str) -> str:

@@ -72,16 +72,18 @@ def batch_requests(listings: DataFrame, pages: DataFrame, format: str = "markdow
 
     def reduce(rows):       # an empty page is an empty text, no miss
         text = batches.clean_text(F.col("page"), char_limit)
-        return batches.with_page(rows, format).select("url", "page_id", text.alias("clean_text"))
+        return batches.with_page(rows, format).select("url", "page_id", text.alias("clean_text"),
+                                                      F.col("page.parse_error").alias("parse_error"))
 
     cleaned = (page_source.fetch(pages, wanted, reduce)
-               .select(F.col("url").alias("href"), "clean_text"))
+               .select(F.col("url").alias("href"), "clean_text", "parse_error"))
     joined = batches.join_details(linked, cleaned, keep_missing=True, row_id=["url_no", "pos"])
     followed = (batches.batch_texts(joined, ["url_no", "url"])
-                .select(*KEYS, "url", F.col("batch_text").alias("text"), "n_links"))
+                .select(*KEYS, "url", F.col("batch_text").alias("text"), "n_links", "n_unread"))
     own = (listings.where(F.col("own_text").isNotNull())
            .select("url_no", F.lit(0).cast("bigint").alias("batch_no"), "url", F.col("own_text").alias("text"),
-                   F.size("links").cast("bigint").alias("n_links")))
+                   F.size("links").cast("bigint").alias("n_links"),
+                   F.when(F.col("parse_error").isNotNull(), 1).otherwise(0).cast("bigint").alias("n_unread")))
     return followed.unionByName(own)
 
 
@@ -93,7 +95,8 @@ def lost_details(listings: DataFrame, pages: DataFrame, batch_size: int = links.
 
 
 def count_batches(parsed: DataFrame) -> DataFrame:
-    """The numbers a run reports, per URL."""
+    """The numbers a run reports, per URL; ``n_unread`` where the replies tell it: linked pages that could not be read."""
+    unread = [F.sum("n_unread").alias("n_unread")] if "n_unread" in parsed.columns else []
     def counted(condition):
         return F.count(F.when(condition, 1))
     return (parsed.groupBy("url_no", F.col("url").alias("source_url"))
@@ -101,7 +104,7 @@ def count_batches(parsed: DataFrame) -> DataFrame:
                  F.coalesce(F.sum(F.when(F.size("records") > 0, F.size("records"))), F.lit(0)).alias("n_records"),
                  counted(F.size("records") == 0).alias("n_empty"),
                  counted(F.col("reason") == "no reply").alias("n_failed"),
-                 counted(F.col("reason").isNotNull() & (F.col("reason") != "no reply")).alias("n_invalid")))
+                 counted(F.col("reason").isNotNull() & (F.col("reason") != "no reply")).alias("n_invalid"), *unread))
 
 
 def final_records(parsed: DataFrame, folder: str, spec: SchemaSpec = JOBS,
@@ -155,7 +158,7 @@ def run(spark: SparkSession, urls: DataFrame, pages: DataFrame, now: datetime |
     requests = land(batches.build_requests(texts, "text", spec.niche), folder, "requests")
     kept = ReplyLedger(ledger or f"{folder}/ledger")
     answered = kept.answer(requests, extractor, "text", folder, call_partitions, attempts, wait)
-    columns = [*KEYS, "url", "n_links", "response", "call_error"]
+    columns = [*KEYS, "url", "n_links", "n_unread", "response", "call_error"]
     parsed = land(replies.parse_replies(answered.select(*columns), spec, per_record), folder, "replies")
     items, seen = final_records(parsed, folder, spec, stored)
     status = fan_out(items, sinks, spec.niche) if sinks else None

@@ -96,6 +96,33 @@ def test_second_run_with_stored_keys_finds_nothing_new(spark, done):
     assert again.items.count() == 0
 
 
+def test_a_second_run_over_the_same_pages_makes_no_call(spark, done, tmp_path):
+    _, _, urls, pages = done
+    urls = urls.where("url <> 'https://plain.net/t'")       # there the model fails
+    calls = tmp_path / "calls"
+    calls.mkdir()
+    folder = str(calls)
+
+    def counting(system, text):
+        import os
+        import uuid
+        open(os.path.join(folder, uuid.uuid4().hex), "w").close()
+        return extractor(system, text)
+
+    ledger = str(tmp_path / "ledger")
+    first = run(spark, urls, pages, NOW, counting, ledger=ledger)
+    made = len(list(calls.iterdir()))
+    again = run(spark, urls, pages, NOW, counting, ledger=ledger)
+    assert made > 0 and len(list(calls.iterdir())) == made
+    assert sorted(r.titulo for r in again.items.collect()) == sorted(r.titulo for r in first.items.collect())
+
+
+def test_what_the_run_has_seen(done):
+    seen = done[0].seen
+    assert seen["n_items"] == 8 and seen["n_records"] == 8 + seen["n_repeats"] + seen["n_blank"] and seen["n_stored"] == 0
+    assert seen["n_known"] >= 0 and seen["n_suppressed"] == 0
+
+
 def test_empty_list_still_resets_notes(spark, done, tmp_path):
     _, _, urls, pages = done
     notes = NoteTable(str(tmp_path / "notes"), NOW)
@@ -126,6 +153,10 @@ def test_command(spark, tmp_path, monkeypatch):
     import echo_titles
     cloudpickle.register_pickle_by_value(echo_titles)
     main(["--urls", str(tmp_path / "urls.txt"), "--pages", str(tmp_path / "pages"), "--output", str(tmp_path / "out"),
-          "--extractor", "echo_titles:reply", "--now", NOW])
-    assert spark.read.parquet(str(tmp_path / "out/jobs")).count() == 6
+          "--extractor", "echo_titles:reply", "--now", NOW, "--char-limit", "9000", "--batch-size", "2",
+          "--rule", "titles=titulo <> 'Job 3'"])
+    stored = spark.read.parquet(str(tmp_path / "out/jobs")).orderBy("id").collect()
+    assert [r.id for r in stored] == [1, 2, 3, 4, 5] and "Job 3" not in {r.titulo for r in stored}
+    assert [r.reason for r in spark.read.parquet(str(tmp_path / "out/jobs-rejects")).collect()] == ["titles"]
+    assert spark.read.parquet(str(tmp_path / "out/counters")).first().n_batches == 4
     assert [r.url for r in spark.read.parquet(str(tmp_path / "out/dead_letters")).collect()] == ["https://nowhere.net/"]
