@@ -39,6 +39,12 @@ def land(frame: DataFrame, name: str) -> DataFrame:
     return frame.sparkSession.read.parquet(path)
 
 
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Spark hands tasks ``rows`` rows at a time at most from now on: whole texts of 10,000 rows are large."""
+    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > rows:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+
+
 def identified(docs: DataFrame, *extra: Column) -> DataFrame:
     """(_id, _tag, _tag2, text): the key of a document and its text, null as "".
 

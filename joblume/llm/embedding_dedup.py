@@ -86,7 +86,7 @@ def _codes(batches):
                     [pa.array(nodes[part]), pa.array([*codes], pa.list_(pa.int64()))], ["node", "codes"])
 
 
-def _local_roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+def local_roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     roots = np.arange(n)
     while True:
         before = roots.copy()
@@ -143,7 +143,7 @@ def _link_cells(rows: pa.Table) -> pa.Table:
             np.add.at(links, i - start, copies[j])
             np.add.at(links, j - start, copies[i])
             some = np.flatnonzero(links)
-            found.append((node[at][some], links[some], node[at][_local_roots(len(at), i - start, j - start)[some]]))
+            found.append((node[at][some], links[some], node[at][local_roots(len(at), i - start, j - start)[some]]))
     columns = zip(*found, strict=True) if found else [[np.empty(0, np.int64)]] * 3
     return pa.table([pa.array(np.concatenate(list(c)), pa.int64()) for c in columns], names=["node", "links", "to"])
 

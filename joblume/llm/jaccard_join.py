@@ -7,8 +7,11 @@ taken with a k of about n / 4.  So a node that shares too few of its prefix with
 anyone is left out before pairs are thought of, and of the others the most
 frequent shingles, now counted exactly, are left out: by k / 2, and k / 2 are asked
 for.  The list of a prefix shingle is
-not expanded into pairs: its nodes are first compared with one of them each, and
-pairs are formed only where nodes that no link has yet joined meet in a list.
+not expanded into pairs: its nodes are first compared with one of them each.  What
+that leaves apart in long lists is compared as families: nodes of lists that
+have the same least node go, with their whole sets, to cells of two blocks each,
+where shared shingles of all pairs are counted at once and only links come out.
+Pairs are formed in short lists alone.
 """
 
 from __future__ import annotations
@@ -20,14 +23,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from joblume.llm.common import KEY, hash_words, identified, land, mix, runs, text_buffer, window_hashes
+from joblume.llm.common import KEY, hash_words, identified, land, mix, runs, small_batches, text_buffer, window_hashes
 from joblume.llm.components import components
+from joblume.llm.embedding_dedup import local_roots
 
 WORDS = 5
 NUMERATOR, DENOMINATOR = 3, 4  # similarity of 0.75, in whole numbers
 FREQUENT = 200_000  # shingles whose counts every task gets: so many numbers, whatever the data
 OFTEN = 4  # a shingle counts as frequent in a batch from so many documents on
-STAR_ROUNDS = 4  # at most; without new links there are fewer
+STAR_ROUNDS = 2  # at most; without new links there are fewer
+LONG = 64  # nodes; longer lists are compared as families
+CELL_BYTES = 1024 * 1024  # of a block's sets, about
+_COLUMNS = 2048  # shingles that are counted at a time
 MEMBERS = 256  # sets that one task compares with one centre at a time
 CHUNK_BYTES = 1024 * 1024
 BATCH_BYTES = 8 * 1024 * 1024
@@ -287,6 +294,82 @@ def _remaining_pairs(entries: DataFrame) -> DataFrame:
             .select(F.col("x.sig").alias("a"), F.col("y.sig").alias("b"), F.expr(PAIR_NEEDS).alias("needs")))
 
 
+def shared_counts(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """How many shingles each set on the left shares with each other set on the right."""
+    counts = np.zeros((len(left), len(right)), np.float32)
+    sides = []
+    for sets in (left, right):
+        owner = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+        sides.append((np.concatenate([np.empty(0, np.uint64), *sets]), owner))
+    # what one side alone has is shared by nobody
+    columns = np.intersect1d(np.unique(sides[0][0]), np.unique(sides[1][0]), assume_unique=True)
+    if left is right:
+        values, times = np.unique(sides[0][0], return_counts=True)
+        columns = values[times > 1]
+    if not len(columns):
+        return counts
+    placed = []
+    for values, owner in sides:
+        at = np.minimum(np.searchsorted(columns, values), len(columns) - 1)
+        some = columns[at] == values
+        at, owner = at[some], owner[some]
+        order = np.argsort(at, kind="stable")
+        placed.append((at[order], owner[order]))
+    for start in range(0, len(columns), _COLUMNS):
+        dense = []
+        for (at, owner), size in zip(placed, counts.shape, strict=True):
+            a, b = np.searchsorted(at, [start, start + _COLUMNS])
+            part = np.zeros((size, min(_COLUMNS, len(columns) - start)), np.float32)
+            part[owner[a:b], at[a:b] - start] = 1
+            dense.append(part)
+        counts += dense[0] @ dense[1].T
+    return counts
+
+
+def _link_cell(rows: pa.Table) -> pa.Table:
+    """Links within a cell, as one per node: (node, a node that its links lead to)."""
+    node, block = rows["sig"].to_numpy(), rows["block"].to_numpy()
+    low, high = rows["low"][0].as_py(), rows["high"][0].as_py()
+    sets = [np.frombuffer(x.as_py(), np.uint64) for x in rows["shingles"]]
+    left, right = np.flatnonzero(block == low), np.flatnonzero(block == high)
+    own = [sets[i] for i in left]
+    shared = shared_counts(own, own if low == high else [sets[i] for i in right]).astype(np.int64)
+    sizes = np.array([len(x) for x in sets], np.int64)
+    union = sizes[left][:, None] + sizes[right][None, :] - shared
+    a, b = np.nonzero(DENOMINATOR * shared >= NUMERATOR * union)
+    roots = local_roots(len(node), left[a], right[b])
+    moved = np.flatnonzero(roots != np.arange(len(node)))
+    return pa.table({"a": pa.array(node[moved]), "b": pa.array(node[roots[moved]])})
+
+
+def _family_links(entries: DataFrame, sets_of) -> DataFrame:
+    """Links of all nodes with different roots that meet in a long list.
+
+    A family is the lists that have the same least node, by a hash: lists of one
+    group of near copies are a few families, and whoever shares a long list is
+    in its family.  All of a family is compared, block by block.
+    """
+    long = (entries.groupBy("shingle").agg(F.count(F.lit(1)).alias("_n"), F.min(F.struct(F.xxhash64("sig"), "sig")).alias("_f"))
+            .where(F.col("_n") > LONG).select("shingle", F.col("_f.sig").alias("family")))
+    members = land(entries.join(long, "shingle").groupBy("family", "sig").agg(F.first("n").alias("n"), F.first("root").alias("root")),
+                   "members")
+    size = F.ceil(F.sum("n") * 8 / CELL_BYTES).cast("int")
+    families = (members.groupBy("family").agg(size.alias("blocks"), F.min("root").alias("_a"), F.max("root").alias("_b"))
+                .where("_a <> _b").select("family", "blocks"))
+    placed = (members.join(families, "family").withColumn("block", F.pmod(F.xxhash64("sig", "family"), "blocks").cast("int"))
+              .select("family", "sig", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("_other"))
+              .select("family", "sig", "block", F.least("block", "_other").alias("low"), F.greatest("block", "_other").alias("high")))
+    placed = land(placed, "cells")
+    sets = sets_of(placed.select("sig").distinct())
+    return land(placed.join(sets, "sig").groupBy("family", "low", "high").applyInArrow(_link_cell, "a long, b long"), "links")
+
+
+def _short(entries: DataFrame) -> DataFrame:
+    """Entries of lists that are no families."""
+    short = entries.groupBy("shingle").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") <= LONG).select("shingle")
+    return entries.join(short, "shingle", "left_semi")
+
+
 def _once(pairs: DataFrame, tested: DataFrame | None) -> DataFrame:
     """Pairs that share as many lists as they need, without those tested before, whichever way round."""
     both = pairs.withColumn("_low", F.least("a", "b")).withColumn("_high", F.greatest("a", "b"))
@@ -304,10 +387,10 @@ def _bit(ids: np.ndarray, tags: np.ndarray) -> np.ndarray:
 
 
 def _sets(keyed: DataFrame, nodes: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
-    """(sig, shingles) of at least the ``wanted`` nodes (sig), each from one of its documents.
+    """(sig, shingles), once each, of at least the ``wanted`` nodes (sig), each from one of its documents.
 
     Which documents are read is told to the tasks by a bit filter of fixed size;
-    where it is full it lets more through, which does no harm.
+    where it is full more documents are read, and more sets shuffled, than needed.
     """
     def bits(batches):
         for batch in batches:
@@ -331,11 +414,14 @@ def _sets(keyed: DataFrame, nodes: DataFrame, wanted: DataFrame, words: int) ->
                                                   pa.array([x.tobytes() for x in sets], pa.binary())],
                                                  ["sig", "shingles"])
 
-    return land(keyed.mapInArrow(with_sets, "sig long, shingles binary"), "sets")
+    # repeated rows, and what passes a full filter, bring a set more than once
+    return land(keyed.mapInArrow(with_sets, "sig long, shingles binary").groupBy("sig")
+                .agg(F.first("shingles").alias("shingles")), "sets")
 
 
 def link_documents(docs: DataFrame, words: int = WORDS) -> DataFrame:
     """(_id, _tag, _tag2, sig, n, root) of each distinct document: nodes of equal root are linked, directly or not."""
+    small_batches(docs.sparkSession)
     keyed = identified(docs)
     surveyed = land(keyed.mapInArrow(_survey(words), "_id long, _tag long, _tag2 long, sig long, n long, shingle long, count long"),
                     "survey")
@@ -345,7 +431,8 @@ def link_documents(docs: DataFrame, words: int = WORDS) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(
         (frequent["shingle"].to_numpy().view(np.uint64), frequent["count"].to_numpy()))
     total = surveyed.agg(F.sum("n")).first()[0] or 0
-    buckets = max(1, math.ceil(total / 4 / BUCKET_ENTRIES))
+    # a prefix has a quarter of a set, and what EXTRA adds
+    buckets = max(1, math.ceil(total * (1 / 4 + 1 / EXTRA) / BUCKET_ENTRIES))
     entries = land(keyed.select("text").mapInArrow(_postings(words, buckets, shared),
                                                    "bucket int, frequent boolean, entries binary")
                    .repartition(buckets, "bucket").groupBy("bucket")
@@ -354,23 +441,30 @@ def link_documents(docs: DataFrame, words: int = WORDS) -> DataFrame:
         entries = _peel(entries, NODE_NEEDS)
     entries = _peel(_rarest(entries), f"{NODE_NEEDS} - {LEFT_OUT.format(n='n')}")
     roots = tested = None
-    number, last = 0, False
-    while not last:
-        unsettled = land(_unsettled(entries, roots), "lists")
-        last = number >= STAR_ROUNDS
-        pairs = _once(_remaining_pairs(unsettled) if last else _star_pairs(unsettled, number), tested)
-        number += 1
-        if pairs.isEmpty():
-            number = STAR_ROUNDS
-            continue
+
+    def joined(found):
+        """Roots with more links; what earlier ones joined goes in as one link per node."""
+        return components(found if roots is None else found.unionByName(roots.toDF("a", "b")))
+
+    def compared(pairs):
         wanted = pairs.select(F.explode(F.array("a", "b")).alias("sig")).distinct()
-        found = land(_verify(pairs, _sets(keyed, nodes, wanted, words)).distinct(), "links")
+        return land(_verify(pairs, _sets(keyed, nodes, wanted, words)).distinct(), "links")
+
+    for number in range(STAR_ROUNDS):
+        pairs = _once(_star_pairs(land(_unsettled(entries, roots), "lists"), number), tested)
         tested = pairs if tested is None else tested.unionByName(pairs)
-        if found.isEmpty():
-            number = STAR_ROUNDS
-            continue
-        # what earlier rounds joined goes in as one link per node
-        roots = components(found if roots is None else found.unionByName(roots.toDF("a", "b")))
+        if pairs.isEmpty() or (found := compared(pairs)).isEmpty():
+            break
+        roots = joined(found)
+    unsettled = land(_unsettled(entries, roots), "lists")
+    found = _family_links(unsettled, lambda wanted: _sets(keyed, nodes, wanted, words))
+    if not found.isEmpty():
+        roots = joined(found)
+        unsettled = land(_unsettled(unsettled.drop("root"), roots), "lists")
+    # who meets in a long list is settled; all others share as much as they need in short ones
+    pairs = _once(_remaining_pairs(_short(unsettled)), tested)
+    if not pairs.isEmpty() and not (found := compared(pairs)).isEmpty():
+        roots = joined(found)
     if roots is None:
         return nodes.withColumn("root", F.col("sig"))
     return (nodes.join(roots.withColumnRenamed("node", "sig"), "sig", "left")

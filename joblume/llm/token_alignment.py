@@ -23,7 +23,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from joblume.llm.common import runs
+from joblume.llm.common import runs, small_batches
 from joblume.session import scratch_path
 
 BATCH_BYTES = 2 * 1024 * 1024  # text that is tokenized and joined together
@@ -330,8 +330,7 @@ def align_tokens(docs: DataFrame, path_a: str, path_b: str) -> DataFrame:
     found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text")) \
         .mapInArrow(_aligned(path_a, path_b), ALIGNED)
     spark = docs.sparkSession
-    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > BATCH_ROWS:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    small_batches(spark, BATCH_ROWS)
     path = scratch_path(spark, "tokens")
     found.withColumn("_row", F.monotonically_increasing_id()).write.option("compression", "zstd").parquet(path)
     return spark.read.parquet(path)

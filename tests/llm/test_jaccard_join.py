@@ -41,8 +41,39 @@ def brute_force(rows):
     return sorted(out, key=str)
 
 
+def test_shared_counts_against_sets(monkeypatch):
+    monkeypatch.setattr(jaccard_join, "_COLUMNS", 7)
+    r = np.random.default_rng(1)
+    left, right = ([np.unique(r.integers(0, 60, r.integers(0, 40)).astype(np.uint64)) for _ in range(n)] for n in (9, 12))
+    for a, b in ((left, right), (left, left), (left, []), ([np.empty(0, np.uint64)], right)):
+        got = jaccard_join.shared_counts(a, b)
+        # what a set shares with itself is not asked for
+        assert all(got[i, j] == len(np.intersect1d(x, y)) for i, x in enumerate(a) for j, y in enumerate(b) if x is not y)
+
+
+@pytest.mark.parametrize("long, cell", [(8, 2000), (3, 500)])
+def test_a_large_group_that_no_centre_joins(documents, monkeypatch, long, cell):
+    # copies with so many edits that most pairs are not similar, but chains of similar ones are there
+    monkeypatch.setattr(jaccard_join, "LONG", long)
+    monkeypatch.setattr(jaccard_join, "CELL_BYTES", cell)
+    monkeypatch.setattr(jaccard_join, "STAR_ROUNDS", 1)
+    r = random.Random(long)
+    base = [f"w{i}" for i in range(60)]
+    rows = []
+    for i in range(120):
+        copy = list(base)
+        for _ in range(r.randrange(0, 4)):
+            copy[r.randrange(60)] = r.choice([f"x{i}", f"y{r.randrange(5)}"])
+        rows.append((i, " ".join(copy[r.randrange(8):60 - r.randrange(8)])))
+    got = sorted(((str(x.doc_id), x.n_shingles, x.component_id)
+                  for x in near_duplicate_classes(documents(rows)).collect()), key=str)
+    assert got == brute_force(rows) and len({g[2] for g in got}) > 3
+
+
 @pytest.mark.parametrize("seed", [1, 2])
 def test_against_brute_force(documents, odd, monkeypatch, seed):
+    monkeypatch.setattr(jaccard_join, "LONG", 5 * seed)
+    monkeypatch.setattr(jaccard_join, "CELL_BYTES", 1000)
     monkeypatch.setattr(jaccard_join, "BUCKET_ENTRIES", 100)
     monkeypatch.setattr(jaccard_join, "MEMBERS", 4)
     monkeypatch.setattr(jaccard_join, "OFTEN", 2 + 2 * seed)
@@ -107,3 +138,16 @@ def test_components(spark, edges):
             if a != b:
                 expected[a] = expected[b] = min(expected[a], expected[b])
     assert got == expected
+
+
+def test_texts_of_one_crc_under_a_null_id_are_two_documents(documents):
+    import zlib
+    seen, pair, r = {}, None, random.Random(0)
+    while pair is None:
+        text = " ".join(f"{r.randrange(10**6)}" for _ in range(25))
+        other = seen.setdefault(zlib.crc32(text.encode()), text)
+        pair = (other, text) if other != text else None
+    rows = [(None, pair[0]), (None, pair[1])]
+    assert near_duplicate_classes(documents(rows)).count() == 2
+    import corpus_pipeline as cp
+    assert sorted(x.text for x in cp.near_duplicates(None, documents(rows), "").collect()) == sorted(pair)
