@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from joblume.llm import oracle
 from joblume.llm.balanced_shards import balance_shards
 from joblume.llm.common import table
 from joblume.llm.decontamination import find_leaks
@@ -114,4 +115,5 @@ def queries():
 
 
 def oracle_sql():
-    return {}
+    return {"op1_embedding_dedup": oracle.EMBEDDING_DEDUP, "op4_line_dedup": oracle.LINE_DEDUP,
+            "op8_substring_dedup": oracle.SUBSTRING_DEDUP, "op10_jaccard_join": oracle.JACCARD_JOIN}
