@@ -442,7 +442,7 @@ def jobs_table_sink(spark, sf):
 def ticket_outbox_sink(spark, sf):
     path = scratch_path(spark, "outbox")
     known = fx.fixture(spark, sf, fx.TITLES).where("title <> ''").select("title")
-    sink = TicketOutbox(path, known, POS, index=f"{path}-index")
+    sink = TicketOutbox(path, known, POS, index=f"{path}-index", buckets=8)
     final = _final(spark, sf)
     sink.write(final, "jobs")
     sink.write(final, "jobs")       # all that was sent is known the second time
@@ -541,7 +541,7 @@ def stream_fan_out(spark, sf):
     parsed = replies.parse_replies(arriving).withColumn("source_url", F.lit("https://list.example/"))
     items = replies.explode_records(parsed, ["batch_id", "source_url"]).withColumn("item_key", records.item_key())
     order = ["batch_id", "pos"]
-    outbox = TicketOutbox(f"{path}/outbox", None, order, index=f"{path}/index")
+    outbox = TicketOutbox(f"{path}/outbox", None, order, index=f"{path}/index", buckets=8)
     sinks = [NoteTable(f"{path}/notes", fx.NOW, order), outbox, JobsTable(f"{path}/jobs", fx.NOW, order=order)]
     stream.start_fan_out(items, sinks, "jobs", f"{path}/checkpoint", order, f"{path}/work",
                          lambda first: records.repair(records.require_fields(first))).awaitTermination()

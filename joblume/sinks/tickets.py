@@ -28,9 +28,9 @@ class TicketOutbox:
     """
 
     def __init__(self, path: str, known: DataFrame | None = None, order: list[str] | None = None,
-                 index: str | None = None):
+                 index: str | None = None, buckets: int = TitleIndex.BUCKETS):
         self.path, self.known, self.order = path, known, order
-        self.index = TitleIndex(index) if index else None
+        self.index = TitleIndex(index, buckets) if index else None
         self.seen: dict[str, int] = {}
 
     def titles(self, spark: SparkSession, batch_id: int | None) -> DataFrame | None:

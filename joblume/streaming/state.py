@@ -36,10 +36,10 @@ class FirstByOrder(StatefulProcessor):
     def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
         best = min(rows, key=lambda row: self._rank(row[c] for c in self.order))
         here = tuple(best[c] for c in self.order)
-        replaces = self.passed.exists()
-        if not replaces or self._rank(here) < self._rank(self.passed.get()):
+        before = self.passed.get()      # None if nothing has passed; each call to the state costs
+        if before is None or self._rank(here) < self._rank(before):
             self.passed.update(here)
-            yield Row(**best.asDict(), replaces=replaces)
+            yield Row(**best.asDict(), replaces=before is not None)
 
     def close(self) -> None:
         pass
