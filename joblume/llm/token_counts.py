@@ -43,40 +43,24 @@ class Splitter:
         self._special = re.compile("(" + "|".join(map(re.escape, names)) + ")") if names else None
         self._names = set(names)
         self._pattern = regex.compile(PATTERN)
-        self._known: dict[str, list[str]] = {}
 
-    def counts(self, text: str) -> Counter:
-        """How often each pre-token, or special string, occurs in the text."""
+    def cut(self, text: str) -> tuple[list[str], list[str]]:
+        """(pre-tokens, words) of the text; a word stands for the pre-tokens that ``parts`` gives."""
         if self._special and any(name in text for name in self._names):
-            found = Counter()
+            found = []
             for part in self._special.split(text):
-                if part in self._names:
-                    found[part] += 1
-                elif part:
-                    found.update(self._plain(part))
-            return found
-        return self._plain(text)
-
-    def _plain(self, text: str) -> Counter:
+                found += [part] if part in self._names else self._pattern.findall(part)
+            return found, []
         if _RUN_OF_BLANKS.search(text):
-            return Counter(self._pattern.findall(text))
+            return self._pattern.findall(text), []
         # no run of blanks holds a space: each space begins a new pre-token, so what
         # lies between spaces can be cut on its own, once per worker
-        first, *rest = text.split(" ")
-        found: Counter = Counter()
-        known = self._known
-        if len(known) > _FLUSH:
-            known.clear()
-        pieces = Counter(rest)
-        for piece, n in pieces.items():
-            parts = known.get(piece)
-            if parts is None:
-                parts = known[piece] = self._pattern.findall(" " + piece)
-            for part in parts:
-                found[part] += n
-        for part in self._pattern.findall(first):
-            found[part] += 1
-        return found
+        first, *words = text.split(" ")
+        return self._pattern.findall(first), words
+
+    def parts(self, word: str) -> list[str]:
+        """Pre-tokens of a word with the space before it."""
+        return self._pattern.findall(" " + word)
 
     def pieces(self, pretokens: list[str]) -> list[int]:
         return [len(e.ids) for e in self._tokenizer.encode_batch(pretokens, add_special_tokens=False)]
@@ -90,14 +74,25 @@ def _vocabulary(path: str):
                                           schema=schema)
 
     def distinct(batches: Iterator[pa.RecordBatch]):
-        splitter, found = Splitter(path), Counter()
+        splitter, found, words = Splitter(path), Counter(), Counter()
+
+        def settle():
+            for word, n in words.items():
+                for pretoken in splitter.parts(word):
+                    found[pretoken] += n
+            words.clear()
+
         for rows in runs(batches, BATCH_BYTES):
             for text in rows["text"].to_pylist():
-                for pretoken, n in splitter.counts(text).items():
-                    found[pretoken] += n
-                if len(found) > _FLUSH:
-                    yield out(found)
-                    found = Counter()
+                pretokens, more = splitter.cut(text)
+                found.update(pretokens)
+                words.update(more)
+            if len(words) > _FLUSH:
+                settle()
+            if len(found) > _FLUSH:
+                yield out(found)
+                found.clear()
+        settle()
         yield out(found)
     return distinct
 
@@ -117,24 +112,58 @@ def _encode(path: str):
 ROWS = "doc_id long, text_hash long, n_bytes long, base long, pretoken string, n long"
 
 
+class _Known:
+    """Tokens of words by the head's pre-tokens, and the other pre-tokens that they have."""
+
+    def __init__(self, splitter: Splitter, head: dict[str, int]):
+        self._splitter, self._head = splitter, head
+        self._whole: dict[str, int] = {}  # words of the head's pre-tokens alone
+        self._rest: dict[str, tuple[int, list[str]]] = {}
+
+    def tokens(self, text: str) -> tuple[int, Counter]:
+        """(tokens of the head's pre-tokens, how often each other pre-token occurs)."""
+        if len(self._whole) + len(self._rest) > _FLUSH:
+            self._whole.clear()
+            self._rest.clear()
+        pretokens, words = self._splitter.cut(text)
+        total, others = self._split(pretokens)
+        others = Counter(others)
+        known = list(map(self._whole.get, words))
+        if None in known:
+            for i, n in enumerate(known):
+                if n is None:
+                    known[i], rest = self._learn(words[i])
+                    others.update(rest)
+        return total + sum(known), others
+
+    def _learn(self, word: str) -> tuple[int, list[str]]:
+        found = self._rest.get(word)
+        if found is None:
+            found = self._split(self._splitter.parts(word))
+            if found[1]:
+                self._rest[word] = found
+            else:
+                self._whole[word] = found[0]
+        return found
+
+    def _split(self, pretokens: list[str]) -> tuple[int, list[str]]:
+        pieces = [self._head.get(p) for p in pretokens]
+        return sum(n for n in pieces if n is not None), [p for p, n in zip(pretokens, pieces, strict=True) if n is None]
+
+
 def _frequencies(path: str, head):
     """Per document a row with ``base``, the tokens of the head's pre-tokens, and a row for each other pre-token."""
     schema = pa.schema([("doc_id", pa.int64()), ("text_hash", pa.int64()), ("n_bytes", pa.int64()),
                         ("base", pa.int64()), ("pretoken", pa.string()), ("n", pa.int64())])
 
     def frequencies(batches):
-        splitter, pieces = Splitter(path), head.value
+        known = _Known(Splitter(path), head.value)
         for rows in runs(batches, BATCH_BYTES):
             out = []
             for id_, key, size, text in zip(*(rows[c].to_pylist() for c in ("doc_id", "text_hash", "n_bytes", "text")),
                                             strict=True):
-                base = 0
-                for pretoken, n in splitter.counts(text).items():
-                    each = pieces.get(pretoken)
-                    if each is None:
-                        out.append((id_, key, size, None, pretoken, n))
-                    else:
-                        base += each * n
+                base, others = known.tokens(text)
+                out += [(id_, key, size, None, pretoken, n) for pretoken, n in others.items()]
                 # n = 0: joins with nothing that counts, and spreads over the tasks
                 out.append((id_, key, size, base, f"\0{key}", 0))
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in
