@@ -46,7 +46,7 @@ class TicketOutbox:
         if niche != "jobs":
             return
         spark = items.sparkSession
-        given, left, known = Observation("given"), Observation("left"), Observation("known")
+        given, left = Observation("given"), Observation("left")
         count = F.count(F.lit(1)).alias("n")
         if self.index is not None:
             if self.known is not None and not self.index.exists(spark):
@@ -55,8 +55,8 @@ class TicketOutbox:
             n_known = history.size(spark)
         else:
             history = self.titles(spark, batch_id)
-            history = history if history is None else history.observe(known, count)
-            n_known = None
+            # without records the history is left out of the plan, and an observation of it would see nothing
+            n_known = 0 if history is None else history.count()
         checkpoint_root(spark)
         items = items.observe(given, count).checkpoint()
         tickets = new_tickets(items, history, self.order).observe(left, count)
@@ -66,5 +66,4 @@ class TicketOutbox:
             sent = stored(spark, part)
             if sent is not None:
                 self.index.add(sent.select("title"), batch_id)
-        n_known = (0 if history is None else known.get.get("n", 0)) if n_known is None else n_known
         self.seen = {"n_known": n_known, "n_suppressed": given.get.get("n", 0) - left.get.get("n", 0)}

@@ -270,6 +270,22 @@ def test_outbox_with_an_index_is_the_outbox_without(spark, tmp_path):
     assert plain.seen == {"n_known": 6, "n_suppressed": 5} and indexed.seen["n_suppressed"] == 5
 
 
+def test_titles_of_which_nothing_reaches_the_index(spark, tmp_path):
+    # Spark leaves out what it finds to be empty, and what was observed there with it
+    index = tickets.TitleIndex(str(tmp_path / "index"), buckets=2)
+    for number, titles in enumerate((["no anchor", "nor here", None], [])):
+        path = str(tmp_path / f"titles{number}")
+        spark.createDataFrame([(t,) for t in titles], "title string").write.parquet(path)
+        index.add(spark.read.parquet(path))
+    assert index.size(spark) == 2
+    # the second write sends nothing, and the third has no records
+    for name in ("with", "without"):
+        sink = TicketOutbox(str(tmp_path / name), index=str(tmp_path / f"{name}-index") if name == "with" else None, buckets=2)
+        for batch_id, n in ((0, 2), (1, 2), (2, 0)):
+            sink.write(items(spark, n), "jobs", batch_id)
+        assert spark.read.parquet(sink.path).count() == 2 and sink.seen == {"n_known": 2, "n_suppressed": 0}
+
+
 # -- title pages
 
 def page(*titles, next_page=None):
