@@ -509,15 +509,20 @@ def sink_protocol(spark, sf):
 # -- streams
 
 def _scrambled(frame, by, folder, parts=3):
-    """A table as files that land out of order, the first of them twice."""
-    for part in [*reversed(range(parts)), 0]:
-        frame.where(F.pmod(by, F.lit(parts)) == part).coalesce(1).write.mode("append").parquet(folder)
+    """A table as parts that land out of order, the first of them twice; returns how many files a part has, about.
+
+    Each task writes files of its own, so that none reads the whole table.
+    """
+    order = [*reversed(range(parts)), 0]
+    for part in order:
+        frame.where(F.pmod(by, F.lit(parts)) == part).write.mode("append").parquet(folder)
+    return -(-len(frame.sparkSession.read.parquet(folder).inputFiles()) // len(order))
 
 
 def stream_page_dedupe(spark, sf):
     path = scratch_path(spark, "pages")
-    _scrambled(_pages(spark, sf), F.col("page_id"), path)
-    pages = stream.read_stream(spark, path, stream.PAGES_SCHEMA, files_per_trigger=1)
+    files = _scrambled(_pages(spark, sf), F.col("page_id"), path)
+    pages = stream.read_stream(spark, path, stream.PAGES_SCHEMA, files_per_trigger=files)
     clean = batches.clean_text(F.col("page"))
     items = (batches.with_page(pages, "text")
              .select("page_id", "url", F.md5(clean).alias("digest"), F.length(clean).cast("bigint").alias("n_chars"),
@@ -536,8 +541,8 @@ def stream_recency(spark, sf):
 
 def stream_fan_out(spark, sf):
     path = scratch_path(spark, "stream-fan-out")
-    _scrambled(fx.replies(spark, sf), F.col("batch_id"), f"{path}/landed")
-    arriving = stream.read_stream(spark, f"{path}/landed", "batch_id long, response string", files_per_trigger=1)
+    files = _scrambled(fx.replies(spark, sf), F.col("batch_id"), f"{path}/landed")
+    arriving = stream.read_stream(spark, f"{path}/landed", "batch_id long, response string", files_per_trigger=files)
     parsed = replies.parse_replies(arriving).withColumn("source_url", F.lit("https://list.example/"))
     items = replies.explode_records(parsed, ["batch_id", "source_url"]).withColumn("item_key", records.item_key())
     order = ["batch_id", "pos"]

@@ -84,6 +84,16 @@ def test_a_blank_record_that_turns_out_first_takes_its_key_away(spark, tmp_path)
     assert sorted((r.item_key, r.n, r.titulo) for r in settled(passed, "item_key", ["n"]).collect()) == [("k", 1, ""), ("m", 2, "x")]
 
 
+def test_parts_that_arrive_are_not_written_by_one_task(spark, tmp_path):
+    from joblume.checks.queries import _scrambled
+    folder, rows = str(tmp_path / "in"), [(i, "x" * i) for i in range(60)]
+    files = _scrambled(spark.createDataFrame(rows, "page_id long, html string").repartition(4, "page_id"), F.col("page_id"), folder)
+    assert files == 4
+    landed = spark.read.parquet(folder)
+    assert len(landed.inputFiles()) == 16
+    assert sorted(map(tuple, landed.collect())) == sorted(rows + [row for row in rows if row[0] % 3 == 0])
+
+
 def test_no_batch_reads_what_passed_before(spark, tmp_path, monkeypatch):
     from joblume.sinks import base
     read = []
