@@ -35,6 +35,8 @@ STAR_ROUNDS = 2  # at most; without new links there are fewer
 LONG = 64  # nodes; longer lists are compared as families
 CELL_BYTES = 1024 * 1024  # of a block's sets, about
 _COLUMNS = 2048  # shingles that are counted at a time
+SLICE_COUNTS = 1 << 19  # pairs of sets that are counted at a time, about
+DENSE_VALUES = 1 << 22  # of the sets on the right, for the shingles that are counted at a time
 MEMBERS = 256  # sets that one task compares with one centre at a time
 CHUNK_BYTES = 1024 * 1024
 BATCH_BYTES = 8 * 1024 * 1024
@@ -294,9 +296,11 @@ def _remaining_pairs(entries: DataFrame) -> DataFrame:
             .select(F.col("x.sig").alias("a"), F.col("y.sig").alias("b"), F.expr(PAIR_NEEDS).alias("needs")))
 
 
-def shared_counts(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
-    """How many shingles each set on the left shares with each other set on the right."""
-    counts = np.zeros((len(left), len(right)), np.float32)
+def shared_slices(left: list[np.ndarray], right: list[np.ndarray]):
+    """(first, counts): how many shingles the sets on the left from ``first`` on share with each other set on the right.
+
+    A slice has about SLICE_COUNTS counts, as sets may be many where they are short.
+    """
     sides = []
     for sets in (left, right):
         owner = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
@@ -306,24 +310,33 @@ def shared_counts(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray
     if left is right:
         values, times = np.unique(sides[0][0], return_counts=True)
         columns = values[times > 1]
-    if not len(columns):
-        return counts
     placed = []
     for values, owner in sides:
         at = np.minimum(np.searchsorted(columns, values), len(columns) - 1)
-        some = columns[at] == values
+        some = columns[at] == values if len(columns) else np.zeros(len(values), bool)
         at, owner = at[some], owner[some]
         order = np.argsort(at, kind="stable")
         placed.append((at[order], owner[order]))
-    for start in range(0, len(columns), _COLUMNS):
-        dense = []
-        for (at, owner), size in zip(placed, counts.shape, strict=True):
-            a, b = np.searchsorted(at, [start, start + _COLUMNS])
-            part = np.zeros((size, min(_COLUMNS, len(columns) - start)), np.float32)
-            part[owner[a:b], at[a:b] - start] = 1
-            dense.append(part)
-        counts += dense[0] @ dense[1].T
-    return counts
+    rows, width = max(1, SLICE_COUNTS // max(1, len(right))), max(1, min(_COLUMNS, DENSE_VALUES // max(1, len(right))))
+    for first in range(0, len(left), rows):
+        counts = np.zeros((min(rows, len(left) - first), len(right)), np.float32)
+        at, owner = placed[0]
+        some = (owner >= first) & (owner < first + rows)
+        own = at[some], owner[some] - first
+        for start in range(0, len(columns), width):
+            dense = []
+            for (at, owner), size in zip((own, placed[1]), counts.shape, strict=True):
+                a, b = np.searchsorted(at, [start, start + width])
+                part = np.zeros((size, min(width, len(columns) - start)), np.float32)
+                part[owner[a:b], at[a:b] - start] = 1
+                dense.append(part)
+            counts += dense[0] @ dense[1].T
+        yield first, counts
+
+
+def shared_counts(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """How many shingles each set on the left shares with each other set on the right, all at once."""
+    return np.concatenate([np.zeros((0, len(right)), np.float32), *(counts for _, counts in shared_slices(left, right))])
 
 
 def _link_cell(rows: pa.Table) -> pa.Table:
@@ -333,11 +346,16 @@ def _link_cell(rows: pa.Table) -> pa.Table:
     sets = [np.frombuffer(x.as_py(), np.uint64) for x in rows["shingles"]]
     left, right = np.flatnonzero(block == low), np.flatnonzero(block == high)
     own = [sets[i] for i in left]
-    shared = shared_counts(own, own if low == high else [sets[i] for i in right]).astype(np.int64)
-    sizes = np.array([len(x) for x in sets], np.int64)
-    union = sizes[left][:, None] + sizes[right][None, :] - shared
-    a, b = np.nonzero(DENOMINATOR * shared >= NUMERATOR * union)
-    roots = local_roots(len(node), left[a], right[b])
+    sizes, roots = np.array([len(x) for x in sets], np.int64), np.arange(len(node))
+    for first, counts in shared_slices(own, own if low == high else [sets[i] for i in right]):
+        shared, part = counts.astype(np.int64), left[first:first + len(counts)]
+        union = sizes[part][:, None] + sizes[right][None, :] - shared
+        a, b = np.nonzero(DENOMINATOR * shared >= NUMERATOR * union)
+        # links between what earlier slices joined
+        a, b = roots[part[a]], roots[right[b]]
+        some = a != b
+        if some.any():
+            roots = local_roots(len(node), a[some], b[some])[roots]
     moved = np.flatnonzero(roots != np.arange(len(node)))
     return pa.table({"a": pa.array(node[moved]), "b": pa.array(node[roots[moved]])})
 

@@ -51,6 +51,31 @@ def test_shared_counts_against_sets(monkeypatch):
         assert all(got[i, j] == len(np.intersect1d(x, y)) for i, x in enumerate(a) for j, y in enumerate(b) if x is not y)
 
 
+def test_a_cell_of_many_short_sets_is_counted_in_slices(monkeypatch):
+    monkeypatch.setattr(jaccard_join, "SLICE_COUNTS", 500)
+    monkeypatch.setattr(jaccard_join, "DENSE_VALUES", 300)
+    r = np.random.default_rng(3)
+    sets = [np.setdiff1d(np.arange(16), r.integers(0, 16, r.integers(0, 12))).astype(np.uint64) + np.uint64(i % 5 * 9)
+            for i in range(150)]
+    sizes = []
+    counted = jaccard_join.shared_slices
+    monkeypatch.setattr(jaccard_join, "shared_slices", lambda *sides: (sizes.append(c.size) or (i, c) for i, c in counted(*sides)))
+    for low, high in ((0, 0), (0, 1)):
+        block = [i % (high + 1) for i in range(len(sets))]
+        rows = pa.table({"sig": pa.array(range(len(sets))), "block": pa.array(block), "low": pa.array([low] * len(sets)),
+                         "high": pa.array([high] * len(sets)), "shingles": pa.array([x.tobytes() for x in sets])})
+        got = jaccard_join._link_cell(rows)
+        parent = list(range(len(sets)))
+        for i, j in combinations(range(len(sets)), 2):
+            shared, total = len(np.intersect1d(sets[i], sets[j])), len(sets[i]) + len(sets[j])
+            if (low == high or block[i] != block[j]) and 100 * shared >= 75 * (total - shared) and parent[i] != parent[j]:
+                old, new = max(parent[i], parent[j]), min(parent[i], parent[j])
+                parent = [new if x == old else x for x in parent]
+        assert dict(zip(got["a"].to_pylist(), got["b"].to_pylist(), strict=True)) == {
+            i: x for i, x in enumerate(parent) if i != x} and got.num_rows > 20
+    assert len(sizes) > 10 and max(sizes) <= 500
+
+
 @pytest.mark.parametrize("long, cell", [(8, 2000), (3, 500)])
 def test_a_large_group_that_no_centre_joins(documents, monkeypatch, long, cell):
     # copies with so many edits that most pairs are not similar, but chains of similar ones are there
