@@ -17,6 +17,7 @@ Pairs are formed in short lists alone.
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -38,9 +39,12 @@ _COLUMNS = 2048  # shingles that are counted at a time
 SLICE_COUNTS = 1 << 19  # pairs of sets that are counted at a time, about
 DENSE_VALUES = 1 << 22  # of the sets on the right, for the shingles that are counted at a time
 MEMBERS = 256  # sets that one task compares with one centre at a time
-CHUNK_BYTES = 1024 * 1024
+CHUNK_BYTES = 256 * 1024
 BATCH_BYTES = 8 * 1024 * 1024
+POSTING_BYTES = 4 * 1024 * 1024  # of texts whose entries are packed together
 BUCKET_ENTRIES = 1_000_000
+SORT_BITS = 3  # a bucket's entries are sorted in so many parts, by the first bits of their shingles
+PACKS = 64  # that leave a task at a time
 SUFFIX_PARTS = 64
 EXTRA = 4  # prefixes have one shingle in so many more than one shared shingle asks for
 PEELS = 2  # times that nodes which share too little are left out
@@ -71,9 +75,20 @@ def signature(shingles: np.ndarray) -> int:
                .view(np.int64)[0])
 
 
-def _sets_of(rows: pa.Table, words: int) -> list[np.ndarray]:
-    return [x for chunk in runs(rows.to_batches(), CHUNK_BYTES)
-            for part in chunk.to_batches() for x in shingle_sets(part.column(part.schema.get_field_index("text")), words)]
+def _sets_of(rows: pa.Table, words: int) -> Iterator[np.ndarray]:
+    for chunk in runs(rows.to_batches(), CHUNK_BYTES):
+        for part in chunk.to_batches():
+            yield from shingle_sets(part.column(part.schema.get_field_index("text")), words)
+
+
+def _frequent(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """(shingles, counts) of what OFTEN of the sets or more have."""
+    values = np.concatenate([np.empty(0, np.uint64), *sets])
+    values.sort()
+    # of so many equal ones the first lies that far before the last
+    last = values[OFTEN - 1:]
+    often = np.unique(last[last == values[:len(last)]])
+    return often, np.searchsorted(values, often, "right") - np.searchsorted(values, often, "left")
 
 
 def _survey(words: int):
@@ -82,20 +97,17 @@ def _survey(words: int):
 
     def survey(batches):
         for rows in runs(batches, BATCH_BYTES):
-            sets = _sets_of(rows, words)
+            sets = list(_sets_of(rows, words))
             sigs = [signature(x) for x in sets]
             size = len(sets)
             yield pa.RecordBatch.from_arrays(
                 [*(rows[c].combine_chunks() for c in KEY), pa.array(sigs, pa.int64()),
                  pa.array([len(x) for x in sets], pa.int64()), pa.nulls(size, pa.int64()), pa.nulls(size, pa.int64())],
                 names)
-            distinct = dict(zip(sigs, sets, strict=True))
-            shingles, counts = np.unique(np.concatenate([np.empty(0, np.uint64), *distinct.values()]), return_counts=True)
-            some = counts >= OFTEN
-            n = int(some.sum())
+            shingles, counts = _frequent(list(dict(zip(sigs, sets, strict=True)).values()))
             yield pa.RecordBatch.from_arrays(
-                [pa.nulls(n, pa.int64())] * (len(KEY) + 2) + [pa.array(shingles[some].view(np.int64)),
-                                                 pa.array(counts[some].astype(np.int64))], names)
+                [pa.nulls(len(shingles), pa.int64())] * (len(KEY) + 2) + [pa.array(shingles.view(np.int64)),
+                                                 pa.array(counts.astype(np.int64))], names)
     return survey
 
 
@@ -139,32 +151,36 @@ def _postings(words: int, buckets: int, shared):
 
     def postings(batches):
         order = RareFirst(*shared.value)
-        for rows in runs(batches, BATCH_BYTES):
+        for rows in runs(batches, POSTING_BYTES):
             found = {}
             for shingles in _sets_of(rows, words):
-                if len(shingles):
-                    found.setdefault(signature(shingles), shingles)
+                if len(shingles) and (sig := signature(shingles)) not in found:
+                    prefix, counts = order.prefix(shingles)
+                    found[sig] = len(shingles), prefix.copy(), counts > 0
             if not found:
                 continue
-            prefixes = [order.prefix(x) for x in found.values()]
-            lengths = [len(p) for p, _ in prefixes]
-            entries = np.zeros(sum(lengths), _ENTRY)
-            entries["shingle"] = np.concatenate([p for p, _ in prefixes])
-            entries["sig"] = np.repeat(np.array(list(found), np.int64), lengths)
-            entries["n"] = np.repeat(np.array([len(x) for x in found.values()], np.int32), lengths)
-            entries["pos"] = np.concatenate([np.arange(n, dtype=np.int32) for n in lengths])
-            often = np.concatenate([c for _, c in prefixes]) > 0
-            bucket = (mix(entries["shingle"]) % np.uint64(buckets)).astype(np.int64)
-            bucket[often] = entries["sig"][often] % buckets
-            key = bucket * 2 + often
+            sizes, prefixes, marks = zip(*found.values(), strict=True)
+            lengths = [len(p) for p in prefixes]
+            sigs, sizes = np.array(list(found), np.int64), np.array(sizes, np.int32)
+            shingles, often = np.concatenate(prefixes), np.concatenate(marks)
+            found = prefixes = marks = None
+            node = np.repeat(np.arange(len(sigs), dtype=np.int32), lengths)
+            pos = np.concatenate([np.arange(n, dtype=np.int32) for n in lengths])
+            key = (mix(shingles) % np.uint64(buckets)).astype(np.int64)
+            key[often] = sigs[node[often]] % buckets
+            key = key * 2 + often
             turn = np.argsort(key, kind="stable")
-            entries, key = entries[turn], key[turn]
-            cuts = np.append(np.flatnonzero(np.diff(key, prepend=-1)), len(key))
-            out = [(int(key[a] // 2), bool(key[a] % 2), _pack(entries[a:b])) for a, b in
-                   zip(cuts[:-1], cuts[1:], strict=True)]
-            for at in range(0, len(out), 512):
+            key = key[turn]
+            cuts = np.append(np.flatnonzero(np.diff(key, prepend=-1)), len(key)).tolist()
+            for at in range(0, len(cuts) - 1, PACKS):
+                out = []
+                for a, b in zip(cuts[at:at + PACKS], cuts[at + 1:at + PACKS + 1], strict=False):
+                    some, entries = turn[a:b], np.empty(b - a, _ENTRY)
+                    entries["shingle"], entries["pos"] = shingles[some], pos[some]
+                    entries["sig"], entries["n"] = sigs[node[some]], sizes[node[some]]
+                    out.append((int(key[a] // 2), bool(key[a] % 2), _pack(entries)))
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(
-                    zip(*out[at:at + 512], strict=True), schema, strict=True)], schema=schema)
+                    zip(*out, strict=True), schema, strict=True)], schema=schema)
     return postings
 
 
@@ -177,37 +193,53 @@ def _pack(entries: np.ndarray) -> bytes:
     return len(entries).to_bytes(8, "little") + pa.compress(data, codec="zstd", asbytes=True)
 
 
-def _unpack(packed: bytes) -> np.ndarray:
-    n = int.from_bytes(packed[:8], "little")
-    data = pa.decompress(packed[8:], decompressed_size=n * _ENTRY.itemsize, codec="zstd", asbytes=True)
-    entries, at = np.empty(n, _ENTRY), 0
-    for f in _ENTRY.names:
-        entries[f] = np.frombuffer(data, _ENTRY[f], n, at)
-        at += n * _ENTRY[f].itemsize
-    return entries
+def _unpack(packed: list[pa.Buffer]) -> dict[str, np.ndarray]:
+    """The columns of all packs, one behind the other."""
+    sizes = [int.from_bytes(x[:8], "little") for x in packed]
+    columns, first = {f: np.empty(sum(sizes), _ENTRY[f]) for f in _ENTRY.names}, 0
+    for x, n in zip(packed, sizes, strict=True):
+        data, at = pa.decompress(x[8:], decompressed_size=n * _ENTRY.itemsize, codec="zstd", asbytes=True), 0
+        for f, column in columns.items():
+            column[first:first + n] = np.frombuffer(data, _ENTRY[f], n, at)
+            at += n * _ENTRY[f].itemsize
+        first += n
+    return columns
 
 
-def _distinct(entries: np.ndarray) -> np.ndarray:
-    """The entries by shingle, one per node: copies of a text in several batches bring the same ones."""
-    entries = entries[np.lexsort((entries["sig"], entries["shingle"]))]
-    new = np.ones(len(entries), bool)
-    new[1:] = (entries["shingle"][1:] != entries["shingle"][:-1]) | (entries["sig"][1:] != entries["sig"][:-1])
-    return entries[new]
+def _distinct(entries: dict[str, np.ndarray], twins: bool) -> np.ndarray:
+    """Which entries are left, by shingle, if one per node is: copies of a text in several batches bring the same ones.
+
+    ``twins``: only those whose shingle occurs with another node too.
+    """
+    part, left = (entries["shingle"] >> np.uint64(64 - SORT_BITS)).astype(np.uint8), [np.empty(0, np.int64)]
+    for k in range(1 << SORT_BITS):
+        at = np.flatnonzero(part == k)
+        at = at[np.lexsort((entries["sig"][at], entries["shingle"][at]))]
+        shingle, sig = entries["shingle"][at], entries["sig"][at]
+        new = np.ones(len(at), bool)
+        new[1:] = (shingle[1:] != shingle[:-1]) | (sig[1:] != sig[:-1])
+        at, shingle = at[new], shingle[new]
+        if twins:
+            twin = np.zeros(len(at), bool)
+            same = shingle[1:] == shingle[:-1]
+            twin[1:] |= same
+            twin[:-1] |= same
+            at = at[twin]
+        left.append(at)
+    return np.concatenate(left)
 
 
 def _shared_lists(rows: pa.Table) -> pa.Table:
     """The distinct entries of a bucket whose shingle occurs with another node too."""
-    often, rest = [np.empty(0, _ENTRY)], [np.empty(0, _ENTRY)]
-    for frequent, packed in zip(rows["frequent"].to_pylist(), rows["entries"], strict=True):
-        (often if frequent else rest).append(_unpack(packed.as_py()))
-    rest = _distinct(np.concatenate(rest))
-    twin = np.zeros(len(rest), bool)
-    same = rest["shingle"][1:] == rest["shingle"][:-1]
-    twin[1:] |= same
-    twin[:-1] |= same
-    found = np.concatenate([_distinct(np.concatenate(often)), rest[twin]])
-    return pa.table({"shingle": pa.array(found["shingle"].view(np.int64)), "sig": pa.array(found["sig"]),
-                     "n": pa.array(found["n"]), "pos": pa.array(found["pos"])})
+    marks, packed, found = rows["frequent"].to_pylist(), [x.as_buffer() for x in rows["entries"]], []
+    for marked in (True, False):
+        entries = _unpack([x for x, mark in zip(packed, marks, strict=True) if mark == marked])
+        left = _distinct(entries, twins=not marked)
+        found.append({f: column[left] for f, column in entries.items()})
+    often, rest = found
+    columns = {f: np.concatenate([often[f], rest[f]]) for f in _ENTRY.names}
+    return pa.table({"shingle": pa.array(columns["shingle"].view(np.int64)), "sig": pa.array(columns["sig"]),
+                     "n": pa.array(columns["n"]), "pos": pa.array(columns["pos"])})
 
 
 def _compare(centre: np.ndarray, sets: list[np.ndarray]) -> np.ndarray:
@@ -427,7 +459,7 @@ def _sets(keyed: DataFrame, nodes: DataFrame, wanted: DataFrame, words: int) ->
             bit = _bit(batch.column(0).to_numpy(), batch.column(1).to_numpy())
             some = batch.filter(pa.array(shared.value[bit // 32] >> (bit % 32).astype(np.uint32) & 1 == 1))
             for rows in runs(iter([some]), CHUNK_BYTES):
-                sets = _sets_of(rows, words)
+                sets = list(_sets_of(rows, words))
                 yield pa.RecordBatch.from_arrays([pa.array([signature(x) for x in sets], pa.int64()),
                                                   pa.array([x.tobytes() for x in sets], pa.binary())],
                                                  ["sig", "shingles"])

@@ -176,3 +176,50 @@ def test_texts_of_one_crc_under_a_null_id_are_two_documents(documents):
     assert near_duplicate_classes(documents(rows)).count() == 2
     import corpus_pipeline as cp
     assert sorted(x.text for x in cp.near_duplicates(None, documents(rows), "").collect()) == sorted(pair)
+
+
+def _peak(job):
+    """MB that numpy held at most while ``job`` ran, besides what was there."""
+    import tracemalloc
+    tracemalloc.start()
+    try:
+        out = job()
+        return out, tracemalloc.get_traced_memory()[1] / 1e6
+    finally:
+        tracemalloc.stop()
+
+
+def test_a_bucket_is_settled_within_little_more_than_its_entries():
+    r = np.random.default_rng(3)
+    entries = np.zeros(400_000, jaccard_join._ENTRY)
+    entries["shingle"], entries["sig"] = r.integers(0, 2**64, len(entries), np.uint64), r.integers(0, 2**62, len(entries))
+    entries["shingle"][:100] = entries["shingle"][100:200]
+    packs = [jaccard_join._pack(x) for x in np.array_split(entries, 20)]
+    rows = pa.table({"frequent": [False] * 20, "entries": pa.array(packs, pa.binary())})
+    found, peak = _peak(lambda: jaccard_join._shared_lists(rows))
+    assert found.num_rows == 200
+    assert peak < 2 * entries.nbytes / 1e6
+
+
+def test_a_batch_is_surveyed_and_packed_within_a_few_times_its_sets():
+    r = random.Random(4)
+    text = [" ".join(f"{r.randrange(10**6)}" for _ in range(500)) for _ in range(1200)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(text)))] * 3 + [pa.array(text)], ["_id", "_tag", "_tag2", "text"])
+    mb = len(text) * 496 * 8 / 1e6
+    out, peak = _peak(lambda: sum(x.num_rows for x in jaccard_join._survey(5)(iter([batch]))))
+    assert out == len(text) and peak < 4 * mb
+
+    class Shared:
+        value = np.empty(0, np.uint64), np.empty(0, np.int64)
+    out, peak = _peak(lambda: sum(x.num_rows for x in jaccard_join._postings(5, 8, Shared)(iter([batch]))))
+    assert out == 8 and peak < 5 * mb
+
+
+def test_frequent_shingles_are_counted_exactly():
+    r = np.random.default_rng(5)
+    for sizes in ((), (0,), (1,), (2, 1), (40,) * 30):
+        sets = [np.unique(r.integers(0, 60, n).astype(np.uint64)) for n in sizes]
+        values, counts = np.unique(np.concatenate([np.empty(0, np.uint64), *sets]), return_counts=True)
+        some = counts >= jaccard_join.OFTEN
+        got = jaccard_join._frequent(sets)
+        assert got[0].tolist() == values[some].tolist() and got[1].tolist() == counts[some].tolist()
